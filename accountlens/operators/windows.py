@@ -42,9 +42,9 @@ class Measure:
         return condition & within_days(events, None if self.cumulative else lookback, last)
 
     def total(self, condition: Column) -> Column:
-        if self.how == "sum":
-            return F.sum(F.when(condition, F.col(self.column))).alias(self.name)
-        return F.count(F.when(condition, 1)).alias(self.name)
+        value = F.col(self.column) if self.how == "sum" else F.lit(1)
+        aggregate = F.sum if self.how == "sum" else F.count
+        return aggregate(F.when(condition, value)).alias(self.name)
 
 
 def daily_series(
@@ -63,12 +63,14 @@ def daily_series(
     last = as_date(as_of_date)
     lookback = last - timedelta(days=days - 1 + width - 1)
     wanted = {m: m.wanted(events, lookback, last) for m in measures}
+    kept = events.where(reduce(or_, wanted.values()))
+    if len(measures) == 1:
+        wanted = {measures[0]: F.lit(True)}
     day = event_day(events)
     if any(m.cumulative for m in measures):
         day = F.greatest(day, F.lit(lookback))
     daily = (
-        events.where(reduce(or_, wanted.values()))
-        .groupBy("company", day.alias("day"))
+        kept.groupBy("company", day.alias("day"))
         .agg(*[m.total(condition) for m, condition in wanted.items()])
     )
     return dense_series(
@@ -246,18 +248,22 @@ def _distinct_by_change(
     return dense_series(daily, companies, last, days, width, cumulative=[name])
 
 
-def headline(series: DataFrame, *names: str) -> DataFrame:
-    """Per company, the values of the last day, NULL and 0 included."""
-    values = [F.max_by(F.struct(n), "day")[n].alias(n) for n in names]
-    return series.groupBy("company").agg(*values)
+def at_last_day(*names: str) -> list[Column]:
+    """Aggregates giving the values of the last day, NULL and 0 included."""
+    return [F.max_by(n, "day").alias(n) for n in names]
 
 
-def last_nonnull(value: str, *names: str) -> list[Column]:
+def at_last_nonnull(value: str, *names: str) -> list[Column]:
     """Aggregates giving `names` on the last day whose `value` is not NULL."""
-    latest = F.max_by(F.struct(*names), F.when(F.col(value).isNotNull(), F.col("day")))
-    return [latest[n].alias(n) for n in names]
+    known_day = F.when(F.col(value).isNotNull(), F.col("day"))
+    return [F.max_by(n, known_day).alias(n) for n in names]
+
+
+def headline(series: DataFrame, *names: str) -> DataFrame:
+    """Per company, the values of the last day, NULL and 0 included."""
+    return series.groupBy("company").agg(*at_last_day(*names))
 
 
 def headline_last_nonnull(series: DataFrame, value: str, *names: str) -> DataFrame:
     """Per company, `names` on the last day whose `value` is not NULL; NULLs if there is none."""
-    return series.groupBy("company").agg(*last_nonnull(value, *names))
+    return series.groupBy("company").agg(*at_last_nonnull(value, *names))

@@ -179,7 +179,7 @@ def comments_recent(model: EventModel, as_of_ts: datetime | str | None = None) -
             & since(events, now - timedelta(days=7))
         )
         .select("company", "user", "comment", "timestamp", event_day(events).alias("comment_date"))
-        .withColumn("rank", F.row_number().over(newest))
+        .withColumn("rank", F.row_number().over(newest).cast("long"))
         .where(F.col("rank") <= COMMENT_LIMIT)
     )
     ts, name = F.col("timestamp"), fmt.user_name(F.col("user"))

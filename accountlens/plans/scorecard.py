@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from accountlens.functions import formatting as fmt
 from accountlens.functions.dates import as_date, within_days
-from accountlens.operators.windows import daily_series, headline, last_nonnull, trailing_distinct
+from accountlens.operators.windows import (
+    at_last_day,
+    at_last_nonnull,
+    daily_series,
+    headline,
+    trailing_distinct,
+)
 from accountlens.plans.cards import (
     ACTIVE_TYPES,
     PROVISIONED,
@@ -34,9 +40,8 @@ def company_scorecard(
     """
     last = as_date(as_of_date)
     activity = user_activity(model, as_of_date=last, days=days)
-    latest = [F.max_by(F.struct(n), "day")[n].alias(n) for n in ACTIVITY_NAMES]
     activity = activity.groupBy("company").agg(
-        *latest, *last_nonnull("avg_rating", "avg_rating", "num_rating")
+        *at_last_day(*ACTIVITY_NAMES), *at_last_nonnull("avg_rating", "avg_rating", "num_rating")
     )
     active = trailing_distinct(
         model.user_events, model.companies, "sdau", "user", ACTIVE_TYPES, last, days=1

@@ -143,7 +143,7 @@ def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_status(
         {
             "company_events": staging.company_events(spark, sf_dir),
-            "companies": staging.companies(spark, sf_dir),
+            "companies": staging.companies(spark, sf_dir).withColumnRenamed("company", "name"),
             "projects": staging.projects(spark, sf_dir),
             "renewals": staging.renewal_inputs(spark, sf_dir),
             "user_events": staging.user_events(spark, sf_dir),
@@ -171,7 +171,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the totals stream over the events file to its end and read the totals."""
     source = spark.readStream.schema(staging.table(spark, sf_dir, "events").schema)
-    events = source.parquet(f"{sf_dir}/events.parquet")
+    events = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     bodies = staging.event_bodies(staging.stg_events(spark, sf_dir, events))
     companies = etl.build_companies(_users(spark, sf_dir))
     path = new_shared_path(spark, "company-totals")

@@ -38,6 +38,12 @@ COLLECTIONS = {
     "renewals": _struct(id=_TEXT, company=_TEXT, amount=_INT, health=T.IntegerType(), due=_INSTANT),
 }
 
+# The field every real row of a table has.
+IDENTITY = {
+    "user_events": "type", "company_events": "type", "users": "email", "companies": "name",
+    "projects": "name", "trending": "metric", "renewals": "company",
+}
+
 # Event types with a table of their own, and the contract value of one box.
 COMPANY_EVENT_TYPES = ("purchased", "provisioned")
 CONTRACT_VALUE_PER_BOX = 2499

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accountlens.plans.cards import EventModel
-from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, PARTITIONS, USER_EVENTS
+from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, IDENTITY, PARTITIONS, USER_EVENTS
 
 
 def _events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -57,12 +57,15 @@ def run_query(spark: SparkSession, sql: str, args: dict[str, str] | None = None,
 
 
 def table_status(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per table: all documents, documents with any content besides their id, and whether the two differ."""
+    """Per table: all documents, real ones (their identifying field is set), whether others exist.
+
+    Each count reads one column.
+    """
 
     def status(name: str, df: DataFrame) -> DataFrame:
-        content = [F.col(c) for c in df.columns if c not in ("id", "event_date")]
-        real = F.count(F.when(F.coalesce(*[c.cast("string") for c in content]).isNotNull(), 1))
-        counts = df.agg(F.count("*").alias("total_documents"), real.alias("real_documents"))
+        counts = df.agg(
+            F.count("*").alias("total_documents"), F.count(IDENTITY[name]).alias("real_documents")
+        )
         return counts.select(
             F.lit(name).alias("table_name"),
             "total_documents",
@@ -71,3 +74,11 @@ def table_status(tables: dict[str, DataFrame]) -> DataFrame:
         )
 
     return reduce(DataFrame.unionByName, [status(name, df) for name, df in tables.items()])
+
+
+def store_status(spark: SparkSession, root: str) -> DataFrame:
+    """Status of every stored table."""
+    stored = {name: collection(spark, root, name) for name in COLLECTIONS}
+    stored["user_events"] = user_events(spark, f"{root}/user_events")
+    stored["company_events"] = company_events(spark, f"{root}/company_events")
+    return table_status(stored)
