@@ -1,0 +1,148 @@
+"""Round trips of the write paths."""
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from accountlens.operators.updates import update_by_field
+from accountlens.plans import cards
+from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, USER_EVENTS
+from accountlens.sources import staging, store, tables
+from accountlens.sources.reload import reload_all
+
+
+@pytest.fixture
+def root(tmp_path):
+    return str(tmp_path / "store")
+
+
+def calls(spark, n=4):
+    rows = [(datetime(2024, 1, 1 + i % 2, i % 24), "call", f"u{i}", "a") for i in range(n)]
+    return spark.createDataFrame(rows, "timestamp timestamp, type string, user string, company string")
+
+
+def test_event_table_lifecycle(spark, root):
+    assert store.create_event_tables(spark, root) == ["user_events", "company_events"]
+    stored = tables.user_events(spark, f"{root}/user_events")
+    assert stored.columns == [*USER_EVENTS.names, "event_date"]
+    assert stored.count() == 0
+
+    assert store.append_events(calls(spark), root, "user_events") == 4
+    assert store.append_events(calls(spark, 3), root, "user_events") == 3
+    assert store.append_events(calls(spark).where("false"), root, "user_events") == 0
+    stored = tables.user_events(spark, f"{root}/user_events")
+    assert stored.count() == 7
+    assert [f.dataType for f in stored.schema.fields[:-1]] == [f.dataType for f in USER_EVENTS]
+    assert stored.where(F.col("event_date") == F.to_date("timestamp")).count() == 7
+
+    store.truncate_table(spark, root, "user_events")
+    assert tables.user_events(spark, f"{root}/user_events").count() == 0
+    assert tables.company_events(spark, f"{root}/company_events").columns == [*COMPANY_EVENTS.names, "event_date"]
+    with pytest.raises(ValueError, match="unknown event table"):
+        store.append_events(calls(spark), root, "other")
+
+
+def test_repeated_batch_replaces_itself(spark, root):
+    store.create_event_tables(spark, root)
+    store.append_events(calls(spark), root, "user_events")
+    for _ in range(2):
+        assert store.append_events(calls(spark, 6), root, "user_events", batch="b1") == 6
+    assert tables.user_events(spark, f"{root}/user_events").count() == 10
+
+
+def test_events_without_timestamp_are_kept(spark, root):
+    store.create_event_tables(spark, root)
+    frame = calls(spark).withColumn("timestamp", F.when(F.col("user") != "u0", F.col("timestamp")))
+    store.append_events(frame, root, "user_events")
+    stored = tables.user_events(spark, f"{root}/user_events")
+    assert stored.count() == 4 and stored.where("event_date is null").count() == 1
+
+
+def test_stored_cards_read_only_the_days_they_need(spark, root):
+    store.create_event_tables(spark, root)
+    old = calls(spark).withColumn("timestamp", F.col("timestamp") - F.expr("interval 400 days"))
+    store.append_events(calls(spark).unionByName(old), root, "user_events")
+    store.create_collections(spark, root)
+    store.replace_collection(spark.createDataFrame([("a",)], "name string"), root, "companies")
+    model = tables.event_model(spark, root)
+    series = cards.calls_count(model, as_of_date=date(2024, 1, 5))
+    assert [r["calls"] for r in series.orderBy("day").collect()][-6:] == [0, 2, 4, 4, 4, 4]
+    plan = series._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_collections(spark, root):
+    assert store.create_collections(spark, root) == list(COLLECTIONS)
+    users = spark.createDataFrame([("x@y", "a"), ("z@y", "b")], "email string, company string")
+    assert store.replace_collection(users, root, "users") == 2
+    read = tables.collection(spark, root, "users")
+    assert read.schema.names == ["id", "email", "company", "reg_date"]
+    assert read.select("id").distinct().count() == 2
+    assert store.clear_collection(spark, root, "users") == 2
+    assert store.clear_collection(spark, root, "users") == 0
+    assert store.replace_collection(users.where("false"), root, "users") == 0
+    with pytest.raises(ValueError, match="unknown collection"):
+        tables.collection(spark, root, "nothing")
+
+
+def test_collection_updated_in_place(spark, root):
+    store.create_collections(spark, root)
+    store.replace_collection(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string"), root, "companies")
+    updates = spark.createDataFrame([("a", 5, 2)], "name string, boxes_bought long, boxes_prov long")
+    updated, _ = update_by_field(tables.collection(spark, root, "companies"), updates, "name")
+    assert store.rewrite_collection(updated, root, "companies") == 2
+    stored = {r["name"]: (r["boxes_bought"], r["boxes_prov"]) for r in tables.collection(spark, root, "companies").collect()}
+    assert stored == {"a": (5, 2), "b": (None, None)}
+
+
+def test_status_sees_placeholders(spark, root):
+    store.create_event_tables(spark, root)
+    store.create_collections(spark, root)
+    store.replace_collection(spark.createDataFrame([("a",), (None,)], "email string"), root, "users")
+    status = {r["table_name"]: tuple(r)[1:] for r in tables.store_status(spark, root).collect()}
+    assert status["users"] == (2, 1, True)
+    assert status["renewals"] == status["user_events"] == (0, 0, False)
+    assert len(status) == 7
+
+
+def test_query_text_with_a_bound_name(spark):
+    frame = spark.createDataFrame([("a",), ("a' OR '1'='1",)], "company string")
+    sql = "SELECT * FROM {events} WHERE company = :name"
+    for name in ("a", "a' OR '1'='1"):
+        assert [r[0] for r in tables.run_query(spark, sql, {"name": name}, events=frame).collect()] == [name]
+
+
+@pytest.mark.parametrize("limit", [None, 0, ""])
+def test_directory_without_limit(spark, limit):
+    frame = spark.createDataFrame([("b", "x", 1), ("a", "y", 2)], "email string, company string, offset int")
+    assert [r["email"] for r in tables.user_directory(frame, limit).collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("limit", [None, 40])
+def test_full_reload(spark, root, sf_dir, limit):
+    directory = staging.user_directory(spark, sf_dir)
+    purchases = staging.purchase_records(spark, sf_dir)
+    records = staging.call_records(spark, sf_dir)
+    tickets = staging.user_events(spark, sf_dir).where("type = 'support_ticket'")
+    counts = reload_all(
+        root, directory, records, tickets, purchases, staging.projects(spark, sf_dir),
+        staging.renewal_inputs(spark, sf_dir), "2024-01-30 12:00:00", limit,
+    )
+    status = {r["table_name"]: r["total_documents"] for r in tables.store_status(spark, root).collect()}
+    assert counts == status
+    names = {r["name"] for r in tables.collection(spark, root, "companies").collect()}
+    assert counts["users"] == (limit or directory.count())
+    assert counts["trending"] == 10 * counts["companies"] == 10 * len(names)
+    kept = [r for r in purchases.collect() if r["company"] in names]
+    assert counts["company_events"] == len(kept) + sum(r["qty"] for r in kept)
+    companies = {r["name"]: r for r in tables.collection(spark, root, "companies").collect()}
+    for name, doc in companies.items():
+        assert doc["boxes_bought"] == doc["boxes_prov"] == sum(r["qty"] for r in kept if r["company"] == name)
+    stored = tables.user_events(spark, f"{root}/user_events")
+    assert stored.where("timestamp > timestamp'2024-01-30 12:00:00'").where("type <> 'support_ticket'").count() == 0
+    again = reload_all(
+        root, directory, records, tickets, purchases, staging.projects(spark, sf_dir),
+        staging.renewal_inputs(spark, sf_dir), "2024-01-30 12:00:00", limit,
+    )
+    assert again == counts
