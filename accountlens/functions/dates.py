@@ -43,17 +43,21 @@ def event_day(events: DataFrame) -> Column:
 
 
 def within_days(events: DataFrame, first: date | None, last: date | None) -> Column:
-    """Calendar days `first..last`, both inclusive; None leaves that side open."""
+    """Calendar days `first..last`, both inclusive; None leaves that side open.
+
+    On a stored table the partition column decides alone, so `timestamp` need not be read.
+    """
+    stored = "event_date" in events.columns
     bounds = []
     if first is not None:
-        bounds.append(F.col("timestamp") >= midnight(first))
+        bounds.append(
+            F.col("event_date") >= F.lit(first) if stored else F.col("timestamp") >= midnight(first)
+        )
     if last is not None:
-        bounds.append(F.col("timestamp") < midnight(last + timedelta(days=1)))
-    if "event_date" in events.columns:
-        if first is not None:
-            bounds.append(F.col("event_date") >= F.lit(first))
-        if last is not None:
-            bounds.append(F.col("event_date") <= F.lit(last))
+        end = last + timedelta(days=1)
+        bounds.append(
+            F.col("event_date") <= F.lit(last) if stored else F.col("timestamp") < midnight(end)
+        )
     return _all(bounds)
 
 

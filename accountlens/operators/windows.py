@@ -34,12 +34,10 @@ class Measure:
     how: str = "count"
     cumulative: bool = False
 
-    def wanted(self, events: DataFrame, lookback: date, last: date) -> Column:
+    def wanted(self) -> Column:
         kind = F.col("type")
         condition = kind == self.types[0] if len(self.types) == 1 else kind.isin(*self.types)
-        if self.column is not None:
-            condition &= F.col(self.column).isNotNull()
-        return condition & within_days(events, None if self.cumulative else lookback, last)
+        return condition if self.column is None else condition & F.col(self.column).isNotNull()
 
     def total(self, condition: Column) -> Column:
         value = F.col(self.column) if self.how == "sum" else F.lit(1)
@@ -55,35 +53,35 @@ def daily_series(
     days: int = 30,
     width: int = 7,
 ) -> DataFrame:
-    """`(company, day, <measure>...)` for every company and spine day, in one scan of events.
+    """`(company, day, <measure>...)` for every company and spine day.
 
-    Days before the look-back only matter to cumulative measures and are folded into its
-    first day.
+    All trailing measures share one scan of the look-back days. All cumulative ones share a
+    scan of the whole history, which reads their event types only and folds earlier days
+    into the first look-back day.
     """
     last = as_date(as_of_date)
     lookback = last - timedelta(days=days - 1 + width - 1)
-    wanted = {m: m.wanted(events, lookback, last) for m in measures}
-    kept = events.where(reduce(or_, wanted.values()))
-    if len(measures) == 1:
-        wanted = {measures[0]: F.lit(True)}
+    trailing = [m for m in measures if not m.cumulative]
+    cumulative = [m for m in measures if m.cumulative]
     day = event_day(events)
-    if any(m.cumulative for m in measures):
-        day = F.greatest(day, F.lit(lookback))
-    daily = (
-        kept.groupBy("company", day.alias("day"))
-        .agg(*[m.total(condition) for m, condition in wanted.items()])
-    )
+    parts = []
+    if trailing:
+        parts.append(_daily_totals(events.where(within_days(events, lookback, last)), day, trailing))
+    if cumulative:
+        folded = F.greatest(day, F.lit(lookback))
+        parts.append(_daily_totals(events.where(within_days(events, None, last)), folded, cumulative))
+    daily = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return dense_series(
-        daily,
-        companies,
-        last,
-        days,
-        width,
-        trailing=[m.name for m in measures if not m.cumulative],
-        cumulative=[m.name for m in measures if m.cumulative],
+        daily, companies, last, days, width, [m.name for m in trailing], [m.name for m in cumulative]
     )
 
 
+def _daily_totals(events: DataFrame, day: Column, measures: list[Measure]) -> DataFrame:
+    wanted = [m.wanted() for m in measures]
+    totals = [m.total(w if len(measures) > 1 else F.lit(True)) for m, w in zip(measures, wanted)]
+    return events.where(reduce(or_, wanted)).groupBy("company", day.alias("day")).agg(*totals)
+
+
 def dense_series(
     daily: DataFrame,
     companies: DataFrame,

@@ -234,7 +234,7 @@ def card(
 
 
 def user_activity(model: EventModel, **span) -> DataFrame:
-    """Every additive user series from one scan: calls, dial-ins, tickets, registrations, ratings."""
+    """Every additive user series together: calls, dial-ins, tickets, registrations, ratings."""
     measures = [CALLS, DIALINS, TICKETS, REGISTERED, RATING_TOTAL, RATING_COUNT]
     series = daily_series(model.user_events, model.companies, measures, **span)
     average = ratio(RATING_TOTAL.name, RATING_COUNT.name)

@@ -33,10 +33,11 @@ def company_scorecard(
     company_as_of_date: date | str | None = None,
     days: int = 30,
 ) -> DataFrame:
-    """Every headline from two scans of user events and one of company events.
+    """Every headline from three scans of user events and one of company events.
 
-    Active users need only the last window, so that scan reads 7 days. All parts are one row
-    per company and partitioned by it before they are joined.
+    The scans of user events read the look-back days, the registrations of all time, and the
+    7 days that active users need. All parts are one row per company and partitioned by it
+    before they are joined.
     """
     last = as_date(as_of_date)
     activity = user_activity(model, as_of_date=last, days=days)

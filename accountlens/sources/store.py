@@ -44,9 +44,10 @@ def truncate_table(spark: SparkSession, root: str, table: str) -> None:
 def append_events(df: DataFrame, root: str, table: str, batch: str | None = None) -> int:
     """Append rows and return how many; columns not given become NULL.
 
-    Appending the same `batch` again replaces what that batch wrote, so a retry is safe.
-    Days are rebalanced to files of even size, which splits a day that holds most rows, and
-    sorted so that row groups can be skipped by type and company.
+    Appending the same `batch` again replaces what that batch wrote, so a retry is safe; an
+    append without a name gets one of its own. Days are rebalanced to files of even size,
+    which splits a day that holds most rows, and sorted so that row groups can be skipped by
+    type and company.
     """
     observed = Observation()
     rows = (
@@ -57,8 +58,9 @@ def append_events(df: DataFrame, root: str, table: str, batch: str | None = None
         .sortWithinPartitions("event_date", "ingest_batch", "type", "company")
         .observe(observed, F.count(F.lit(1)).alias("rows"))
     )
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*PARTITIONS.names).parquet(f"{root}/{table}")
+    writer = rows.write.mode("overwrite" if batch else "append")
+    writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS.names)
+    writer.parquet(f"{root}/{table}")
     return observed.get.get("rows", 0)
 
 

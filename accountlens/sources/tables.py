@@ -36,8 +36,9 @@ def collection(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def event_model(spark: SparkSession, root: str) -> EventModel:
-    """The stored tables as input of the cards."""
-    companies = collection(spark, root, "companies").select(F.col("name").alias("company"))
+    """The stored tables as input of the cards; companies sharing a name are one."""
+    named = collection(spark, root, "companies").where(F.col("name").isNotNull())
+    companies = named.select(F.col("name").alias("company")).distinct()
     return EventModel(
         user_events(spark, f"{root}/user_events"),
         company_events(spark, f"{root}/company_events"),

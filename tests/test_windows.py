@@ -195,6 +195,31 @@ def test_one_company_is_a_slice_of_all(spark, sf_dir, name):
     assert sorted(map(str, one.collect())) == sorted(map(str, everyone.collect()))
 
 
+CORRELATED = """
+SELECT c.company, d.day, (
+  SELECT {measure} FROM {{events}} e WHERE e.company = c.company AND {types}
+    AND to_date(e.timestamp) >= date_sub(d.day, 6) AND to_date(e.timestamp) <= d.day) AS {name}
+FROM {{companies}} c, (SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-30')) AS day) d
+"""
+
+
+@pytest.mark.parametrize(
+    "card,name,measure,types",
+    [
+        (cards.calls_count, "calls", "count(*)", "e.type = 'call'"),
+        (cards.users_active, "sdau", "count(DISTINCT e.user)", "e.type IN ('call', 'dialin')"),
+    ],
+)
+def test_windowed_form_equals_correlated_text(spark, sf_dir, card, name, measure, types):
+    from accountlens.sources import staging, tables
+
+    model = staging.event_model(spark, sf_dir)
+    text = CORRELATED.format(measure=measure, types=types, name=name)
+    want = tables.run_query(spark, text, events=model.user_events, companies=model.companies)
+    got = card(model, as_of_date=AS_OF).drop("label")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_unknown_company_and_unknown_card(spark, sf_dir):
     from accountlens.sources import staging
 
