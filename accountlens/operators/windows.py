@@ -196,24 +196,18 @@ def _distinct_by_mask(
     masks = seen.groupBy("company", key).agg(F.bit_or(bit).alias("mask"))
     window_bits = (1 << width) - 1
     counts = masks.groupBy("company").agg(
-        *[
-            F.count(F.when(F.col("mask").bitwiseAND(F.lit(window_bits << i).cast("long")) != 0, 1)).alias(f"d{i}")
-            for i in range(days)
-        ]
-    )
-    per_day = F.array(
-        *[
-            F.struct(
-                F.lit(first + timedelta(days=i)).alias("day"),
-                F.coalesce(F.col(f"d{i}"), F.lit(0)).alias(name),
-            )
-            for i in range(days)
-        ]
+        *[F.expr(f"count_if(mask & {window_bits << i}L <> 0) AS d{i}") for i in range(days)]
     )
+    per_day = F.posexplode(F.array(*[f"d{i}" for i in range(days)])).alias("i", "n")
     return (
         companies.select("company")
         .join(counts, "company", "left")
-        .select("company", F.inline(per_day))
+        .select("company", per_day)
+        .select(
+            "company",
+            F.date_add(F.lit(first), F.col("i")).alias("day"),
+            F.coalesce("n", F.lit(0)).alias(name),
+        )
     )
 
 

@@ -1,8 +1,8 @@
 """Dashboard cards, each for all companies in one plan or for one company by name."""
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,22 +32,42 @@ COMMENT_LIMIT = 50
 RECENT_COMMENTS = 3
 
 
-@dataclass(frozen=True)
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class EventModel:
-    """The two event tables and the company list (`company`, one row each)."""
+    """The two event tables and the company list (`company`, one row each).
+
+    A table may be given as a function; it is called when a card first needs the table, so
+    no other table is listed or planned.
+    """
+
+    def __init__(self, user_events: Source, company_events: Source, companies: Source):
+        self._sources = (user_events, company_events, companies)
+
+    def _load(self, index: int) -> DataFrame:
+        source = self._sources[index]
+        return source() if callable(source) else source
+
+    @cached_property
+    def user_events(self) -> DataFrame:
+        return self._load(0)
+
+    @cached_property
+    def company_events(self) -> DataFrame:
+        return self._load(1)
 
-    user_events: DataFrame
-    company_events: DataFrame
-    companies: DataFrame
+    @cached_property
+    def companies(self) -> DataFrame:
+        return self._load(2)
 
     def only(self, company: str) -> "EventModel":
         """One company by exact name; it need not be in the company list."""
         wanted = F.lit(company)
-        spark = self.user_events.sparkSession
         return EventModel(
-            self.user_events.where(F.col("company") == wanted),
-            self.company_events.where(F.col("company") == wanted),
-            spark.range(1).select(wanted.alias("company")),
+            lambda: self.user_events.where(F.col("company") == wanted),
+            lambda: self.company_events.where(F.col("company") == wanted),
+            lambda: self.companies.sparkSession.range(1).select(wanted.alias("company")),
         )
 
 
@@ -76,8 +96,9 @@ def customer_overview(model: EventModel) -> DataFrame:
 
 
 def _series(model: EventModel, measure: Measure, **span) -> DataFrame:
-    table = model.company_events if measure in (PURCHASED, PROVISIONED) else model.user_events
-    return labelled(daily_series(table, model.companies, [measure], **span))
+    of_company = measure in (PURCHASED, PROVISIONED)
+    events = model.company_events if of_company else model.user_events
+    return labelled(daily_series(events, model.companies, [measure], **span))
 
 
 def boxes_purchased(model: EventModel, **span) -> DataFrame:

@@ -173,11 +173,9 @@ def _totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(staging.table(spark, sf_dir, "events").schema)
     events = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     bodies = staging.event_bodies(staging.stg_events(spark, sf_dir, events))
-    companies = etl.build_companies(_users(spark, sf_dir))
-    path = new_shared_path(spark, "company-totals")
-    stream = ingest.start_company_totals(bodies, companies, path, f"{path}-checkpoint")
-    stream.awaitTermination()
-    return ingest.current_totals(spark, path)
+    path = new_shared_path(spark, "company-sums")
+    ingest.start_company_totals(bodies, path, f"{path}-checkpoint").awaitTermination()
+    return ingest.current_totals(spark, path, etl.build_companies(_users(spark, sf_dir)))
 
 
 def _on(frame: Query, plan: Callable[[DataFrame], DataFrame]) -> Query:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from accountlens.functions.dates import as_instant
 from accountlens.operators.shaping import clamp_future, union_events
 from accountlens.operators.updates import update_by_field
-from accountlens.plans.cards import EventModel
 from accountlens.plans.etl import (
     build_companies,
     build_renewals,
@@ -23,13 +22,20 @@ from accountlens.plans.etl import (
     trending_snapshot,
 )
 from accountlens.schemas import COMPANY_EVENTS, USER_EVENTS
+from accountlens.session import checkpointed
 from accountlens.sources.store import (
     append_events,
     replace_collection,
     rewrite_collection,
     truncate_table,
 )
-from accountlens.sources.tables import collection, company_events, event_model, user_directory
+from accountlens.sources.tables import (
+    collection,
+    company_events,
+    company_names,
+    event_model,
+    user_directory,
+)
 
 
 def reload_all(
@@ -61,9 +67,8 @@ def reload_all(
     users = collection(spark, root, "users")
 
     counts["companies"] = replace_collection(build_companies(users), root, "companies")
-    names = collection(spark, root, "companies").select(F.col("name").alias("company"))
-    emails = users.select(F.col("email").alias("user")).distinct()
     if user_limit:
+        names, emails = company_names(spark, root), users.select(F.col("email").alias("user"))
         calls, tickets = (df.join(emails, "user", "left_semi") for df in (calls, tickets))
         purchases, projects = (df.join(names, "company", "left_semi") for df in (purchases, projects))
     counts["projects"] = replace_collection(projects, root, "projects")
@@ -76,7 +81,7 @@ def reload_all(
     boxes = union_events(bought, name_boxes(provision_devices(purchases)), schema=COMPANY_EVENTS)
     counts["company_events"] = append_events(boxes, root, "company_events")
 
-    totals = company_totals(company_events(spark, f"{root}/company_events"))
+    totals = checkpointed(company_totals(company_events(spark, f"{root}/company_events")))
     updated, _ = update_by_field(collection(spark, root, "companies"), totals_as_updates(totals), "name")
     rewrite_collection(updated, root, "companies")
     counts["renewals"] = replace_collection(build_renewals(totals, renewal_inputs), root, "renewals")

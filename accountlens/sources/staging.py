@@ -3,7 +3,7 @@
 Timestamps are declared as instants in the read schema, so filters on them reach the scan.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountlens.plans.cards import EventModel
@@ -23,216 +23,170 @@ _READ = {
     ),
 }
 
-_OS = ["Mac OSX", "Windows", "Linux", "ios", "Android"]
-_PROJECTS = ["Pilot", "Pro Eval", "Global Launch", "QBR", "Case Study"]
-_DRIVERS = ["Video", "Audio", "Network"]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_READ[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.array(*[F.lit(v) for v in values])[index.cast("int")]
-
-
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     customer = table(spark, sf_dir, "customer")
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", F.col("n_name").alias("company")
-    )
+    named = customer.join(nation, F.expr("c_nationkey = n_nationkey"))
+    return named.selectExpr("c_custkey", "n_name AS company")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _customers(spark, sf_dir)
+    return table(spark, sf_dir, "orders").join(customers, F.expr("o_custkey = c_custkey"))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("company"))
+    return table(spark, sf_dir, "nation").selectExpr("n_name AS company")
 
 
 def stg_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     events = table(spark, sf_dir, "events") if events is None else events
-    by_type, by_size, user = F.col("event_id") % 20, F.col("event_id") % 17, F.col("user_id")
-    return events.join(_customers(spark, sf_dir), F.col("user_id") == F.col("c_custkey")).select(
+    return events.join(_customers(spark, sf_dir), F.expr("user_id = c_custkey")).selectExpr(
         "event_id",
         "ts",
         "user_id",
         "event_type",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
         "company",
-        _email(user).alias("email"),
-        F.when(by_type < 7, "Web")
-        .when(by_type < 14, "Presentation")
-        .when(by_type < 18, "Room-and-Web")
-        .otherwise("Multi-room-and-Web")
-        .alias("c_type"),
-        F.when(by_size < 6, 2)
-        .when(by_size < 12, 3)
-        .when(by_size < 16, 4)
-        .otherwise(10 + (user % 5).cast("int"))
-        .alias("c_users"),
-        _pick(_OS, user % 5).alias("c_os"),
+        "concat('user', user_id, '@example.com') AS email",
+        """CASE WHEN event_id % 20 < 7 THEN 'Web' WHEN event_id % 20 < 14 THEN 'Presentation'
+           WHEN event_id % 20 < 18 THEN 'Room-and-Web' ELSE 'Multi-room-and-Web' END AS c_type""",
+        """CASE WHEN event_id % 17 < 6 THEN 2 WHEN event_id % 17 < 12 THEN 3 WHEN event_id % 17 < 16 THEN 4
+           ELSE 10 + CAST(user_id % 5 AS INT) END AS c_users""",
+        """CASE user_id % 5 WHEN 0 THEN 'Mac OSX' WHEN 1 THEN 'Windows' WHEN 2 THEN 'Linux'
+           WHEN 3 THEN 'ios' ELSE 'Android' END AS c_os""",
     )
 
 
-def _email(key: Column) -> Column:
-    return F.concat(F.lit("user"), key.cast("string"), F.lit("@example.com"))
-
-
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, kind = F.col("k"), F.col("event_type")
-    rated = (kind == "purchase") & (k % 3 != 0)
-    event_id = F.col("event_id").cast("string")
-    of_type = (
-        F.when(kind == "click", "call")
-        .when(kind == "view", "dialin")
-        .when(kind == "error", "support_ticket")
-        .when(kind == "signup", "register")
-        .when(rated, "rating")
-        .when(kind == "purchase", "comment")
-    )
-    return stg_events(spark, sf_dir).select(
-        F.col("ts").alias("timestamp"),
-        of_type.alias("type"),
-        F.col("email").alias("user"),
+    """Clicks are calls, views dial-ins, errors tickets, signups registrations, purchases feedback."""
+    return stg_events(spark, sf_dir).selectExpr(
+        "ts AS timestamp",
+        """CASE event_type WHEN 'click' THEN 'call' WHEN 'view' THEN 'dialin' WHEN 'error' THEN 'support_ticket'
+           WHEN 'signup' THEN 'register'
+           WHEN 'purchase' THEN CASE WHEN k % 3 <> 0 THEN 'rating' ELSE 'comment' END END AS type""",
+        "email AS user",
         "company",
-        F.when(kind.isin("click", "view"), k).cast("long").alias("call_duration"),
-        F.when((kind == "click") & (k != 0), F.col("c_type")).alias("call_type"),
-        F.when(kind == "click", F.col("c_users")).cast("long").alias("call_num_users"),
-        F.when((kind == "click") & (k != 1), F.col("c_os")).alias("call_os"),
-        F.when(rated, 1 + k % 5).cast("long").alias("rating"),
-        F.when(
-            (kind == "purchase") & (k % 3 == 0) & (k != 99), F.concat(F.lit("comment "), k.cast("string"))
-        ).alias("comment"),
-        F.when(kind.isin("click", "purchase"), event_id).alias("session_id"),
-        F.lit(None).cast("long").alias("dialin_duration"),
-        F.when(kind == "error", F.concat_ws("-", "email", event_id)).alias("ticket_number"),
-        F.when(kind == "error", _pick(_DRIVERS, k % 3)).alias("ticket_driver"),
+        "CAST(CASE WHEN event_type IN ('click', 'view') THEN k END AS BIGINT) AS call_duration",
+        "CASE WHEN event_type = 'click' AND k <> 0 THEN c_type END AS call_type",
+        "CAST(CASE WHEN event_type = 'click' THEN c_users END AS BIGINT) AS call_num_users",
+        "CASE WHEN event_type = 'click' AND k <> 1 THEN c_os END AS call_os",
+        "CAST(CASE WHEN event_type = 'purchase' AND k % 3 <> 0 THEN 1 + k % 5 END AS BIGINT) AS rating",
+        """CASE WHEN event_type = 'purchase' AND k % 3 = 0 AND k <> 99 THEN concat('comment ', k) END
+           AS comment""",
+        "CASE WHEN event_type IN ('click', 'purchase') THEN CAST(event_id AS STRING) END AS session_id",
+        "CAST(NULL AS BIGINT) AS dialin_duration",
+        "CASE WHEN event_type = 'error' THEN concat(email, '-', event_id) END AS ticket_number",
+        """CASE WHEN event_type = 'error'
+           THEN CASE k % 3 WHEN 0 THEN 'Video' WHEN 1 THEN 'Audio' ELSE 'Network' END END AS ticket_driver""",
     )
 
 
 def company_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One `purchased` event per order, one `provisioned` event per line not returned."""
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").join(
-        _customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")
-    )
+    lines, orders = table(spark, sf_dir, "lineitem"), _orders(spark, sf_dir)
+    same_order = F.expr("l_orderkey = o_orderkey")
     per_order = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
-    same_order = F.col("l_orderkey") == F.col("o_orderkey")
-    purchased = per_order.join(orders, same_order).select(
-        F.col("o_orderdate").alias("timestamp"),
-        F.lit("purchased").alias("type"),
+    purchased = per_order.join(orders, same_order).selectExpr(
+        "o_orderdate AS timestamp",
+        "'purchased' AS type",
         "company",
-        F.col("n").alias("purchased"),
-        number.alias("provisioned"),
-        text.alias("serial_number"),
-        text.alias("box_name"),
+        "n AS purchased",
+        "CAST(NULL AS BIGINT) AS provisioned",
+        "CAST(NULL AS STRING) AS serial_number",
+        "CAST(NULL AS STRING) AS box_name",
     )
-    serial = F.concat(F.lit("A"), (F.lit(100000) + F.col("l_orderkey")).cast("string"))
-    provisioned = lines.where(F.col("l_returnflag") != "R").join(orders, same_order).select(
-        F.col("l_shipdate").alias("timestamp"),
-        F.lit("provisioned").alias("type"),
+    provisioned = lines.where("l_returnflag <> 'R'").join(orders, same_order).selectExpr(
+        "l_shipdate AS timestamp",
+        "'provisioned' AS type",
         "company",
-        number.alias("purchased"),
-        F.lit(1).cast("long").alias("provisioned"),
-        serial.alias("serial_number"),
-        text.alias("box_name"),
+        "CAST(NULL AS BIGINT) AS purchased",
+        "1L AS provisioned",
+        "concat('A', 100000 + l_orderkey) AS serial_number",
+        "CAST(NULL AS STRING) AS box_name",
     )
     return purchased.unionByName(provisioned)
 
 
 def event_model(spark: SparkSession, sf_dir: str) -> EventModel:
     return EventModel(
-        user_events(spark, sf_dir), company_events(spark, sf_dir), companies(spark, sf_dir)
+        lambda: user_events(spark, sf_dir),
+        lambda: company_events(spark, sf_dir),
+        lambda: companies(spark, sf_dir),
     )
 
 
 def user_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _customers(spark, sf_dir).select(
-        _email(key).alias("email"),
+    return _customers(spark, sf_dir).selectExpr(
+        "concat('user', c_custkey, '@example.com') AS email",
         "company",
-        (key % 365).cast("int").alias("offset"),
-        (key % 121).cast("int").alias("delay_minutes"),
+        "CAST(c_custkey % 365 AS INT) AS offset",
+        "CAST(c_custkey % 121 AS INT) AS delay_minutes",
     )
 
 
 def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    return stg_events(spark, sf_dir).where(F.col("event_type") == "click").select(
-        F.col("ts").alias("timestamp"),
-        F.col("email").alias("user"),
+    return stg_events(spark, sf_dir).where("event_type = 'click'").selectExpr(
+        "ts AS timestamp",
+        "email AS user",
         "company",
-        k.cast("long").alias("call_duration"),
-        F.col("c_type").alias("call_type"),
-        F.col("c_users").cast("long").alias("call_num_users"),
-        F.col("c_os").alias("call_os"),
-        F.col("event_id").cast("string").alias("session_id"),
-        F.when(k % 2 == 0, 1 + k % 5).cast("long").alias("rating"),
-        F.when(k % 7 == 0, F.concat(F.lit("comment "), k.cast("string")))
-        .when(k % 7 == 1, "")
-        .alias("comment"),
-        F.when(k < 40, k).cast("long").alias("dialin_length"),
+        "CAST(k AS BIGINT) AS call_duration",
+        "c_type AS call_type",
+        "CAST(c_users AS BIGINT) AS call_num_users",
+        "c_os AS call_os",
+        "CAST(event_id AS STRING) AS session_id",
+        "CAST(CASE WHEN k % 2 = 0 THEN 1 + k % 5 END AS BIGINT) AS rating",
+        "CASE WHEN k % 7 = 0 THEN concat('comment ', k) WHEN k % 7 = 1 THEN '' END AS comment",
+        "CAST(CASE WHEN k < 40 THEN k END AS BIGINT) AS dialin_length",
     )
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = _customers(spark, sf_dir)
-    return table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-
-
 def purchase_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    return _orders(spark, sf_dir).select(
+    return _orders(spark, sf_dir).selectExpr(
         "company",
-        F.col("o_orderdate").alias("timestamp"),
-        key.alias("purchase_id"),
-        (key % 16).cast("int").alias("qty"),
-        (2 + key % 13).cast("int").alias("lag_days"),
+        "o_orderdate AS timestamp",
+        "o_orderkey AS purchase_id",
+        "CAST(o_orderkey % 16 AS INT) AS qty",
+        "CAST(2 + o_orderkey % 13 AS INT) AS lag_days",
     )
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    return _orders(spark, sf_dir).where(F.col("o_orderpriority") == "1-URGENT").select(
-        key.cast("string").alias("id"),
-        _pick(_PROJECTS, key % 5).alias("name"),
+    return _orders(spark, sf_dir).where("o_orderpriority = '1-URGENT'").selectExpr(
+        "CAST(o_orderkey AS STRING) AS id",
+        """CASE o_orderkey % 5 WHEN 0 THEN 'Pilot' WHEN 1 THEN 'Pro Eval' WHEN 2 THEN 'Global Launch'
+           WHEN 3 THEN 'QBR' ELSE 'Case Study' END AS name""",
         "company",
-        F.when(key % 97 != 0, F.col("o_orderdate")).alias("date"),
+        "CASE WHEN o_orderkey % 97 <> 0 THEN o_orderdate END AS date",
     )
 
 
 def renewal_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    due = F.date_add(F.lit("2024-01-30").cast("date"), 30 + (key * 37) % 91)
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_name").alias("company"),
-        due.cast("timestamp").alias("due"),
-        (10 + (key * 29) % 91).alias("health"),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_name AS company",
+        "CAST(date_add(DATE'2024-01-30', 30 + (n_nationkey * 37) % 91) AS TIMESTAMP) AS due",
+        "10 + (n_nationkey * 29) % 91 AS health",
     )
 
 
 def event_bodies(staged: DataFrame) -> DataFrame:
     """JSON bodies, five invalid and three valid classes; also of a stream of staged events."""
-    company, k = F.col("company"), F.col("k")
-
-    def body(**fields) -> Column:
-        return F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
-
-    purchased, provisioned, call = F.lit("purchased"), F.lit("provisioned"), F.lit("call")
-    klass = F.col("event_id") % 8
-    text = (
-        F.when(klass == 0, F.lit("{}"))
-        .when(klass == 1, body(company=company, purchased=k))
-        .when(klass == 2, body(type=purchased, purchased=k))
-        .when(klass == 3, body(type=purchased, company=company))
-        .when(klass == 4, body(type=provisioned, company=company))
-        .when(klass == 5, body(type=purchased, company=company, purchased=k))
-        .when(
-            klass == 6,
-            F.concat(
-                F.lit('{"type":"provisioned","company":"'), company, F.lit('","provisioned":null}')
-            ),
-        )
-        .otherwise(body(type=call, user=F.col("email"), company=company, call_duration=k))
+    return staged.selectExpr(
+        "event_id",
+        "ts",
+        """CASE event_id % 8
+           WHEN 0 THEN '{}'
+           WHEN 1 THEN concat('{"company":"', company, '","purchased":', k, '}')
+           WHEN 2 THEN concat('{"type":"purchased","purchased":', k, '}')
+           WHEN 3 THEN concat('{"type":"purchased","company":"', company, '"}')
+           WHEN 4 THEN concat('{"type":"provisioned","company":"', company, '"}')
+           WHEN 5 THEN concat('{"type":"purchased","company":"', company, '","purchased":', k, '}')
+           WHEN 6 THEN concat('{"type":"provisioned","company":"', company, '","provisioned":null}')
+           ELSE concat('{"type":"call","user":"', email, '","company":"', company, '","call_duration":', k, '}')
+           END AS body""",
     )
-    return staged.select("event_id", "ts", text.alias("body"))

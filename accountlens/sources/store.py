@@ -44,8 +44,8 @@ def truncate_table(spark: SparkSession, root: str, table: str) -> None:
 def append_events(df: DataFrame, root: str, table: str, batch: str | None = None) -> int:
     """Append rows and return how many; columns not given become NULL.
 
-    Appending the same `batch` again replaces what that batch wrote, so a retry is safe; an
-    append without a name gets one of its own. Days are rebalanced to files of even size,
+    Appending the same rows under the same `batch` name again replaces them, so a retry is
+    safe; an append without a name gets one of its own. Days are rebalanced to files of even size,
     which splits a day that holds most rows, and sorted so that row groups can be skipped by
     type and company.
     """

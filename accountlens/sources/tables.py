@@ -35,14 +35,18 @@ def collection(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(collection_schema(name)).parquet(f"{root}/{name}")
 
 
+def company_names(spark: SparkSession, root: str) -> DataFrame:
+    """The stored companies by name; those sharing a name are one."""
+    names = collection(spark, root, "companies").select(F.col("name").alias("company"))
+    return names.where(F.col("company").isNotNull()).distinct()
+
+
 def event_model(spark: SparkSession, root: str) -> EventModel:
-    """The stored tables as input of the cards; companies sharing a name are one."""
-    named = collection(spark, root, "companies").where(F.col("name").isNotNull())
-    companies = named.select(F.col("name").alias("company")).distinct()
+    """The stored tables as input of the cards."""
     return EventModel(
-        user_events(spark, f"{root}/user_events"),
-        company_events(spark, f"{root}/company_events"),
-        companies,
+        lambda: user_events(spark, f"{root}/user_events"),
+        lambda: company_events(spark, f"{root}/company_events"),
+        lambda: company_names(spark, root),
     )
 
 

@@ -128,10 +128,10 @@ def _write_batch(df: DataFrame, path: str, batch: str) -> None:
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch").parquet(path)
 
 
-def company_deltas(bodies: DataFrame) -> DataFrame:
+def company_sums(bodies: DataFrame) -> DataFrame:
     """Boxes added per company by valid company events; a NULL amount adds nothing.
 
-    On a stream this is the running sum since its start, one state row per company.
+    On a stream these are the running sums since its start, one state row per company.
     """
     routed = route_events(bodies).where(F.col("target") == "company_events")
     amounts = [
@@ -143,59 +143,56 @@ def company_deltas(bodies: DataFrame) -> DataFrame:
     return routed.groupBy(_field("company").alias("company")).agg(*amounts)
 
 
-def apply_deltas(deltas: DataFrame, companies: DataFrame) -> DataFrame:
-    """Totals after the deltas; `known` is false for a name that is not in `companies`."""
-    known = F.col("name").isNotNull()
+def add_sums(companies: DataFrame, sums: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Totals of the companies that have sums, and the sums of names `companies` does not have.
+
+    A missing or NULL total counts as 0.
+    """
     zero = F.lit(0)
-    return deltas.join(companies, deltas["company"] == companies["name"], "left").select(
-        "company",
+    known = sums.withColumnRenamed("company", "name").join(companies, "name")
+    totals = known.select(
+        F.col("name").alias("company"),
         (F.coalesce("boxes_bought", zero) + F.col("purchased")).alias("boxes_bought"),
         (F.coalesce("boxes_prov", zero) + F.col("provisioned")).alias("boxes_prov"),
-        known.alias("known"),
     )
+    unknown = sums.join(companies.select(F.col("name").alias("company")), "company", "left_anti")
+    return totals, unknown
 
 
-_TOTALS_LOG = T.StructType(
-    [
-        T.StructField("company", T.StringType()),
-        T.StructField("boxes_bought", T.LongType()),
-        T.StructField("boxes_prov", T.LongType()),
-        T.StructField("known", T.BooleanType()),
-        T.StructField("batch", T.LongType()),
-    ]
-)
+_SUMS = "company string, purchased long, provisioned long, batch long, slot int"
 
 
-def start_company_totals(
-    bodies: DataFrame, companies: DataFrame, path: str, checkpoint: str, **trigger
-) -> StreamingQuery:
-    """Log the running totals of every company a micro-batch touches.
+def start_company_totals(bodies: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the running sums of all companies under `path`.
 
-    Update mode emits only those companies, and the log partition is named by the batch, so
-    a replay overwrites itself. Totals start from the values in `companies`.
+    Every micro-batch writes all sums, one row per company, to one of two alternating slots:
+    storage stays bounded, a replayed batch overwrites its own slot, and readers always find
+    the other one whole. The stream holds no company totals of its own, so `companies` may
+    change while it runs.
     """
 
-    def log(deltas: DataFrame, batch_id: int) -> None:
-        totals = apply_deltas(deltas, companies).withColumn("batch", F.lit(batch_id).cast("long"))
-        writer = totals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch").parquet(path)
+    def keep(sums: DataFrame, batch_id: int) -> None:
+        stamped = sums.withColumn("batch", F.lit(batch_id).cast("long"))
+        writer = stamped.withColumn("slot", F.lit(batch_id % 2)).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)
 
     return (
-        company_deltas(bodies)
-        .writeStream.outputMode("update")
-        .foreachBatch(log)
+        company_sums(bodies)
+        .writeStream.outputMode("complete")
+        .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def logged_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The latest logged totals per company, unknown names included."""
-    latest = F.max_by(F.struct("boxes_bought", "boxes_prov", "known"), "batch").alias("t")
-    return spark.read.schema(_TOTALS_LOG).parquet(path).groupBy("company").agg(latest).select("company", "t.*")
+def running_sums(spark: SparkSession, path: str) -> DataFrame:
+    """The sums after the latest micro-batch."""
+    latest = F.max_by(F.struct("purchased", "provisioned"), "batch").alias("latest")
+    kept = spark.read.schema(_SUMS).parquet(path)
+    return kept.groupBy("company").agg(latest).select("company", "latest.*")
 
 
-def current_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The latest totals of known companies."""
-    return logged_totals(spark, path).where("known").drop("known")
+def current_totals(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
+    """Totals of `companies` plus the running sums; names it does not have are skipped."""
+    return add_sums(companies, running_sums(spark, path))[0]

@@ -94,16 +94,17 @@ def test_totals_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path
     )
     stream = write_bodies(spark, sf_dir, str(tmp_path / "in"), 4)
     path = str(tmp_path / "totals")
-    query = ingest.start_company_totals(stream, companies, path, str(tmp_path / "checkpoint"))
+    query = ingest.start_company_totals(stream, path, str(tmp_path / "checkpoint"))
     query.awaitTermination()
     assert len(query.recentProgress) >= 4
+    assert sorted(p.name for p in (tmp_path / "totals").glob("slot=*")) == ["slot=0", "slot=1"]
 
     want = {
         n: ((0 if n == without_total else 1000) + s["purchased"], s["provisioned"])
         for n, s in sums.items()
         if n != unknown
     }
-    got = {r["company"]: (r["boxes_bought"], r["boxes_prov"]) for r in ingest.current_totals(spark, path).collect()}
+    got = {r["company"]: (r["boxes_bought"], r["boxes_prov"]) for r in ingest.current_totals(spark, path, companies).collect()}
     assert got == want
-    skipped = ingest.logged_totals(spark, path).where("not known").collect()
+    skipped = ingest.add_sums(companies, ingest.running_sums(spark, path))[1].collect()
     assert [r["company"] for r in skipped] == [unknown]
