@@ -25,7 +25,7 @@ CORRELATED = """
 SELECT c.company, d.day, (
   SELECT {measure} FROM user_events e WHERE e.company = c.company AND {types}
     AND to_date(e.timestamp) >= date_sub(d.day, 6) AND to_date(e.timestamp) <= d.day) AS value
-FROM companies c, (SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-30')) AS day) d
+FROM companies c LATERAL VIEW explode(sequence(DATE'2024-01-01', DATE'2024-01-30')) d AS day
 """
 
 
