@@ -34,7 +34,7 @@ from accountlens.sources.tables import (
     company_events,
     company_names,
     event_model,
-    user_directory,
+    first_users,
 )
 
 
@@ -59,8 +59,7 @@ def reload_all(
     now = as_instant(as_of_ts)
     counts = {}
 
-    listed = user_directory(directory, user_limit).select("email")
-    chosen = directory.join(listed, "email", "left_semi") if user_limit else directory
+    chosen = first_users(directory, user_limit) if user_limit else directory
     counts["users"] = replace_collection(enrich_users(chosen, now), root, "users")
     if counts["users"] == 0:
         raise ValueError("no user records: cannot load without source users")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from accountlens.operators.shaping import normalise_events
 from accountlens.schemas import COLLECTIONS, EVENT_TABLES, PARTITIONS
-from accountlens.session import checkpointed
+from accountlens.session import checkpointed, require_utc
 from accountlens.sources.tables import collection, collection_schema
 
 
@@ -49,6 +49,7 @@ def append_events(df: DataFrame, root: str, table: str, batch: str | None = None
     which splits a day that holds most rows, and sorted so that row groups can be skipped by
     type and company.
     """
+    require_utc(df.sparkSession)
     observed = Observation()
     rows = (
         normalise_events(df, event_schema(table))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from accountlens.plans.cards import EventModel
 from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, IDENTITY, PARTITIONS, USER_EVENTS
+from accountlens.session import require_utc
 
 
 def _events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -25,6 +26,11 @@ def company_events(spark: SparkSession, path: str) -> DataFrame:
     return _events(spark, path, COMPANY_EVENTS)
 
 
+def rejected_events(spark: SparkSession, path: str) -> DataFrame:
+    """Bodies the ingest stream turned away, with the reason."""
+    return spark.read.schema("body string, error string, ingest_batch string").parquet(path)
+
+
 def collection_schema(name: str) -> T.StructType:
     if name not in COLLECTIONS:
         raise ValueError(f"unknown collection {name!r}, expected one of {sorted(COLLECTIONS)}")
@@ -43,6 +49,7 @@ def company_names(spark: SparkSession, root: str) -> DataFrame:
 
 def event_model(spark: SparkSession, root: str) -> EventModel:
     """The stored tables as input of the cards."""
+    require_utc(spark)
     return EventModel(
         lambda: user_events(spark, f"{root}/user_events"),
         lambda: company_events(spark, f"{root}/company_events"),
@@ -50,12 +57,17 @@ def event_model(spark: SparkSession, root: str) -> EventModel:
     )
 
 
-def user_directory(directory: DataFrame, limit: int | None = None) -> DataFrame:
-    """`email, company, offset` by e-mail; a falsy limit means all rows."""
-    ordered = directory.select("email", "company", "offset").orderBy("email", "company", "offset")
+def first_users(directory: DataFrame, limit: int | None = None) -> DataFrame:
+    """Users by e-mail; a falsy limit means all."""
+    ordered = directory.orderBy("email", "company", "offset")
     return ordered.limit(int(limit)) if limit else ordered
 
 
+def user_directory(directory: DataFrame, limit: int | None = None) -> DataFrame:
+    """`email, company, offset` by e-mail; a falsy limit means all."""
+    return first_users(directory.select("email", "company", "offset"), limit)
+
+
 def run_query(spark: SparkSession, sql: str, args: dict[str, str] | None = None, **tables: DataFrame) -> DataFrame:
     """SQL text with named parameters (`:name`) over frames given as `{name}`."""
     return spark.sql(sql, args=args, **tables)

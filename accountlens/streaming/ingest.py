@@ -21,42 +21,58 @@ NOT_STORED = "Error adding event: "
 
 REJECTS = "rejects"
 
+_DECLARED = list(dict.fromkeys(name for schema in EVENT_TABLES.values() for name in schema.names))
 
-def _field(key: str) -> Column:
-    return F.col("fields")[key]
 
+def _field(name: str) -> Column:
+    """The text of a top-level field; NULL if it is missing or null."""
+    return F.col(f"_{name}")
 
-def _has(key: str) -> Column:
-    return F.map_contains_key("fields", key)
 
+def _has(name: str) -> Column:
+    return F.array_contains("keys", name)
 
-def parse_bodies(df: DataFrame) -> DataFrame:
-    """Add `fields`, the top-level keys and their text; NULL if the body is not an object.
 
-    The one-element explode keeps later filters above the parser. Pushed below it, each of
-    their many references to a field would parse the body again.
+def _computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-element generator.
+
+    Filters stay above a generator. Pushed below plain columns, each of their many
+    references would be computed again.
     """
-    parsed = F.from_json("body", "map<string,string>")
-    return df.select("*", F.explode(F.array(parsed)).alias("fields"))
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
-def validate_events(df: DataFrame) -> DataFrame:
-    """Add `fields` and `error`: the first rule a body breaks, or NULL.
+def parse_bodies(df: DataFrame) -> DataFrame:
+    """Add the declared fields of each body as text (`_<name>`) and all its top-level `keys`.
 
-    Rules ask for the presence of a key, not for a value. A non-empty array carries data but
-    no type.
+    `keys` is NULL if the body is not an object. Both are read once, whatever is filtered later.
     """
+    fields = F.json_tuple("body", *_DECLARED).alias(*[f"_{name}" for name in _DECLARED])
+    return _computed_once(df.select("*", fields), keys=F.json_object_keys("body"))
+
+
+def _rule_error() -> Column:
     kind = _field("type")
     of_company = kind.isin(*COMPANY_EVENT_TYPES)
-    error = (
-        F.when(F.json_array_length("body") > 0, NO_TYPE)
-        .when(F.col("fields").isNull() | (F.size("fields") == 0), NO_DATA)
+    # A non-empty array carries data but no type.
+    no_object = F.when(F.json_array_length("body") > 0, NO_TYPE).otherwise(NO_DATA)
+    return (
+        F.when(F.col("keys").isNull(), no_object)
+        .when(F.size("keys") == 0, NO_DATA)
         .when(~_has("type"), NO_TYPE)
         .when(of_company & ~_has("company"), NO_COMPANY)
         .when((kind == "purchased") & ~_has("purchased"), NO_PURCHASED)
         .when((kind == "provisioned") & ~_has("provisioned"), NO_PROVISIONED)
     )
-    return parse_bodies(df).withColumn("error", error)
+
+
+def validate_events(df: DataFrame) -> DataFrame:
+    """Add the parsed columns and `error`: the first rule a body breaks, or NULL.
+
+    Rules ask for the presence of a key, not for a value.
+    """
+    return parse_bodies(df).withColumn("error", _rule_error())
 
 
 def _typed(field: T.StructField) -> Column:
@@ -65,8 +81,9 @@ def _typed(field: T.StructField) -> Column:
 
 def _storage_error(schema: T.StructType) -> Column:
     """What keeps a body out of its table: an undeclared key or a value of the wrong type."""
-    undeclared = F.array_except(F.map_keys("fields"), F.array(*[F.lit(n) for n in schema.names]))
-    error = F.when(F.size(undeclared) > 0, F.concat(F.lit(NOT_STORED + "no such field: "), F.get(undeclared, F.lit(0))))
+    undeclared = F.array_except("keys", F.array(*[F.lit(n) for n in schema.names]))
+    message = F.concat(F.lit(NOT_STORED + "no such field: "), F.get(undeclared, F.lit(0)))
+    error = F.when(F.size(undeclared) > 0, message)
     for field in schema:
         if not isinstance(field.dataType, T.StringType):
             wrong = _field(field.name).isNotNull() & _typed(field).isNull()
@@ -75,17 +92,17 @@ def _storage_error(schema: T.StructType) -> Column:
 
 
 def route_events(df: DataFrame) -> DataFrame:
-    """Add `target`: `company_events`, `user_events` (unknown types too) or `rejects`."""
-    checked = validate_events(df)
+    """Add the parsed columns, `error`, and `target`: an event table (unknown types too) or `rejects`."""
     for_company = F.coalesce(_field("type").isin(*COMPANY_EVENT_TYPES), F.lit(False))
-    stored = F.when(for_company, _storage_error(EVENT_TABLES["company_events"])).otherwise(
+    storage_error = F.when(for_company, _storage_error(EVENT_TABLES["company_events"])).otherwise(
         _storage_error(EVENT_TABLES["user_events"])
     )
-    error = F.coalesce("error", stored)
     table = F.when(for_company, "company_events").otherwise("user_events")
-    return checked.withColumn("error", error).withColumn(
-        "target", F.when(F.col("error").isNotNull(), REJECTS).otherwise(table)
+    checked = _computed_once(
+        parse_bodies(df), error=F.coalesce(_rule_error(), storage_error), table=table
     )
+    target = F.when(F.col("error").isNotNull(), REJECTS).otherwise(F.col("table"))
+    return checked.withColumn("target", target).drop("table")
 
 
 def typed_events(routed: DataFrame, table: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accountlens.operators.updates import update_by_field
 from accountlens.plans import cards
 from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, USER_EVENTS
+from accountlens.session import pin_utc
 from accountlens.sources import staging, store, tables
 from accountlens.sources.reload import reload_all
 
@@ -43,6 +44,17 @@ def test_event_table_lifecycle(spark, root):
         store.append_events(calls(spark), root, "other")
 
 
+def test_days_are_cut_in_utc_only(spark, root):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="pin_utc"):
+            store.append_events(calls(spark), root, "user_events")
+        with pytest.raises(ValueError, match="pin_utc"):
+            tables.event_model(spark, root)
+    finally:
+        pin_utc(spark)
+
+
 def test_repeated_batch_replaces_itself(spark, root):
     store.create_event_tables(spark, root)
     store.append_events(calls(spark), root, "user_events")

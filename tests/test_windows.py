@@ -1,5 +1,6 @@
 """Edge cases of the daily series on small literal frames."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -144,6 +145,35 @@ def test_both_distinct_forms_agree_with_brute_force(spark, companies, days, widt
         assert {(r["company"], r["day"]): r["n"] for r in series.collect()} == want
 
 
+def test_all_user_series_against_brute_force(spark, companies):
+    rng = random.Random(11)
+    kinds = ["call", "dialin", "support_ticket", "register", "rating", "load", None]
+    rows = [
+        (
+            datetime(2024, 2, 5) - timedelta(minutes=rng.randrange(100 * 24 * 60)),
+            rng.choice(kinds),
+            rng.choice(["u", "v", None]),
+            rng.choice(["a", "a", "b", "elsewhere", None]),
+            rng.choice([None, 1, 2, 5]),
+        )
+        for _ in range(800)
+    ]
+    model = cards.EventModel(events(spark, rows), spark.createDataFrame([], COMPANY_EVENTS), companies)
+    for days, width in ((30, 7), (4, 2), (45, 1)):
+        got = cards.user_activity(model, as_of_date=AS_OF, days=days, width=width).collect()
+        assert len(got) == 3 * days
+        for r in got:
+            own = [(t.date(), k, x) for t, k, _, c, x in rows if c == r["company"] and t.date() <= r["day"]]
+            week = [(k, x) for d, k, x in own if d > r["day"] - timedelta(days=width)]
+            rated = [x for k, x in week if k == "rating" and x is not None]
+            assert r["calls"] == sum(k == "call" for k, _ in week)
+            assert r["dialins"] == sum(k == "dialin" for k, _ in week)
+            assert r["support_tickets"] == sum(k == "support_ticket" for k, _ in week)
+            assert r["total_registered"] == sum(k == "register" for _, k, _ in own)
+            assert r["num_rating"] == len(rated)
+            assert r["avg_rating"] == (sum(rated) / len(rated) if rated else None)
+
+
 def test_pct_is_null_before_any_purchase_and_not_capped(spark, companies):
     rows = [
         (at(10), "provisioned", "a", None, 2),
