@@ -196,7 +196,7 @@ def _distinct_by_mask(
     masks = seen.groupBy("company", key).agg(F.bit_or(bit).alias("mask"))
     window_bits = (1 << width) - 1
     counts = masks.groupBy("company").agg(
-        *[F.expr(f"count_if(mask & {window_bits << i}L <> 0) AS d{i}") for i in range(days)]
+        *[F.expr(f"count(CASE WHEN mask & {window_bits << i}L <> 0 THEN 1 END) AS d{i}") for i in range(days)]
     )
     per_day = F.posexplode(F.array(*[f"d{i}" for i in range(days)])).alias("i", "n")
     return (

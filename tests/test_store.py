@@ -63,6 +63,25 @@ def test_repeated_batch_replaces_itself(spark, root):
     assert tables.user_events(spark, f"{root}/user_events").count() == 10
 
 
+def test_a_day_with_most_rows_is_split_into_files(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.create_event_tables(spark, root)
+    hot = spark.range(0, 300_000, 1, 8).select(
+        F.when(F.col("id") % 10 > 0, F.lit("2024-01-02")).otherwise("2024-01-03").cast("timestamp").alias("timestamp"),
+        F.lit("call").alias("type"),
+        F.uuid().alias("user"),
+        F.lit("a").alias("company"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        assert store.append_events(hot, root, "user_events", batch="b") == 300_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    day = tmp_path / "store" / "user_events" / "event_date=2024-01-02" / "ingest_batch=b"
+    assert len(list(day.glob("*.parquet"))) > 3
+    assert tables.user_events(spark, f"{root}/user_events").count() == 300_000
+
+
 def test_events_without_timestamp_are_kept(spark, root):
     store.create_event_tables(spark, root)
     frame = calls(spark).withColumn("timestamp", F.when(F.col("user") != "u0", F.col("timestamp")))
