@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accountlens.functions import formatting as fmt
-from accountlens.functions.dates import as_date, as_instant, instant, midnight
+from accountlens.functions.dates import as_date, as_instant, instant
+from accountlens.model import EventModel
 from accountlens.operators.numbering import running_number
 from accountlens.operators.shaping import normalise_events
 from accountlens.operators.windows import trailing_distinct, trailing_window
-from accountlens.plans.cards import ACTIVE_TYPES, EventModel
+from accountlens.plans.cards import ACTIVE_TYPES
 from accountlens.schemas import COMPANY_EVENTS, CONTRACT_VALUE_PER_BOX, USER_EVENTS
 
 TREND_OFFSETS = (0, 7, 14, 21, 28)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accountlens.functions import formatting as fmt
 from accountlens.functions.dates import as_date, within_days
+from accountlens.model import EventModel
 from accountlens.operators.windows import (
     at_last_day,
     at_last_nonnull,
@@ -18,7 +19,6 @@ from accountlens.plans.cards import (
     ACTIVE_TYPES,
     PROVISIONED,
     PURCHASED,
-    EventModel,
     provisioned_pct,
     user_activity,
 )

@@ -6,7 +6,7 @@ Timestamps are declared as instants in the read schema, so filters on them reach
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountlens.plans.cards import EventModel
+from accountlens.model import EventModel
 
 _READ = {
     "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",

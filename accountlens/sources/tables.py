@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accountlens.plans.cards import EventModel
+from accountlens.model import EventModel
 from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, IDENTITY, PARTITIONS, USER_EVENTS
 from accountlens.session import require_utc
 

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from accountlens.model import EventModel
 from accountlens.operators.shaping import normalise_events
 from accountlens.plans import cards
 from accountlens.schemas import COMPANY_EVENTS, USER_EVENTS
@@ -14,7 +15,7 @@ NOW = datetime(2024, 1, 30, 12)
 def model(spark, rows, schema):
     frame = normalise_events(spark.createDataFrame(rows, schema), USER_EVENTS)
     companies = spark.createDataFrame([("a",)], "company string")
-    return cards.EventModel(frame, spark.createDataFrame([], COMPANY_EVENTS), companies)
+    return EventModel(frame, spark.createDataFrame([], COMPANY_EVENTS), companies)
 
 
 def test_breakdown_counts_from_the_exact_instant_and_into_the_future(spark):

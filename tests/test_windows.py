@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from accountlens.model import EventModel
 from accountlens.operators.shaping import normalise_events
 from accountlens.operators.windows import (
     _distinct_by_change,
@@ -158,7 +159,7 @@ def test_all_user_series_against_brute_force(spark, companies):
         )
         for _ in range(800)
     ]
-    model = cards.EventModel(events(spark, rows), spark.createDataFrame([], COMPANY_EVENTS), companies)
+    model = EventModel(events(spark, rows), spark.createDataFrame([], COMPANY_EVENTS), companies)
     for days, width in ((30, 7), (4, 2), (45, 1)):
         got = cards.user_activity(model, as_of_date=AS_OF, days=days, width=width).collect()
         assert len(got) == 3 * days
@@ -187,7 +188,7 @@ def test_pct_is_null_before_any_purchase_and_not_capped(spark, companies):
         ),
         COMPANY_EVENTS,
     )
-    model = cards.EventModel(events(spark, [(at(1), "call", "u", "a", None)]), frame, companies)
+    model = EventModel(events(spark, [(at(1), "call", "u", "a", None)]), frame, companies)
     series = cards.boxes_provisioned_pct(model, as_of_date=AS_OF)
     assert by_day(series, "pct_provisioned", "a")[8:14] == [None, None, 200.0, 200.0, 66.67, 66.67]
     overview = {r["company"]: (r["purchased"], r["acv"], r["acv_text"]) for r in cards.customer_overview(model).collect()}
