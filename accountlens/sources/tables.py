@@ -26,6 +26,17 @@ def company_events(spark: SparkSession, path: str) -> DataFrame:
     return _events(spark, path, COMPANY_EVENTS)
 
 
+def event_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """JSON bodies, one per line of text files, as `body`."""
+    return spark.read.text(path).select(F.col("value").alias("body"))
+
+
+def event_body_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same as a stream of new files."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    return lines.select(F.col("value").alias("body"))
+
+
 def rejected_events(spark: SparkSession, path: str) -> DataFrame:
     """Bodies the ingest stream turned away, with the reason."""
     return spark.read.schema("body string, error string, ingest_batch string").parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from accountlens.operators.updates import update_by_field
 from accountlens.schemas import COMPANY_EVENT_TYPES, EVENT_TABLES
 from accountlens.sources.store import append_events
 
@@ -213,3 +214,9 @@ def running_sums(spark: SparkSession, path: str) -> DataFrame:
 def current_totals(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
     """Totals of `companies` plus the running sums; names it does not have are skipped."""
     return add_sums(companies, running_sums(spark, path))[0]
+
+
+def companies_now(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
+    """The company documents with their totals brought up to date."""
+    totals = current_totals(spark, path, companies).withColumnRenamed("company", "name")
+    return update_by_field(companies, totals, "name")[0]

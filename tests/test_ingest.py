@@ -125,6 +125,7 @@ def test_totals_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path
 
     name = F.col("company")
     companies = staging.companies(spark, sf_dir).where(name != unknown).select(
+        name.alias("id"),
         name.alias("name"),
         F.when(name != without_total, F.lit(1000)).cast("long").alias("boxes_bought"),
         F.lit(None).cast("long").alias("boxes_prov"),
@@ -145,3 +146,24 @@ def test_totals_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path
     assert got == want
     skipped = ingest.add_sums(companies, ingest.running_sums(spark, path))[1].collect()
     assert [r["company"] for r in skipped] == [unknown]
+    documents = {r["name"]: (r["boxes_bought"], r["boxes_prov"]) for r in ingest.companies_now(spark, path, companies).collect()}
+    assert {n: documents[n] for n in want} == want
+    assert len(documents) == companies.count()
+
+
+def test_bodies_from_text_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = ['{"type":"load"}', "", '{"type":"purchased","company":"a","purchased":3}', "oops"]
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "in" / "b.txt").write_text('{"type":"purchased","company":"a","purchased":4}\n')
+    folder, root = str(tmp_path / "in"), str(tmp_path / "store")
+    assert tables.event_bodies(spark, folder).count() == 5
+    store.create_event_tables(spark, root)
+    stream = tables.event_body_stream(spark, folder, files_per_batch=1)
+    ingest.start_ingest(stream, root, str(tmp_path / "c1")).awaitTermination()
+    assert tables.user_events(spark, f"{root}/user_events").count() == 1
+    assert tables.company_events(spark, f"{root}/company_events").agg(F.sum("purchased")).first()[0] == 7
+    assert tables.rejected_events(spark, f"{root}/rejects").count() == 2
+    path = str(tmp_path / "totals")
+    ingest.start_company_totals(stream, path, str(tmp_path / "c2")).awaitTermination()
+    assert [tuple(r) for r in ingest.running_sums(spark, path).collect()] == [("a", 7, 0)]

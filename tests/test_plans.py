@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 
 import __spark_entry__ as spark_entry
+from accountlens.model import EventModel
 from accountlens.plans import cards
 from accountlens.plans.scorecard import company_scorecard
 from accountlens.sources import staging, store, tables
@@ -32,15 +33,21 @@ def test_no_pairing_and_no_python(name, spark, sf_dir):
 
 
 @pytest.fixture(scope="module")
-def stored(spark, sf_dir, tmp_path_factory):
+def staged(spark, sf_dir):
+    """The staged tables, company events of the last months only (every day is a directory)."""
+    model = staging.event_model(spark, sf_dir)
+    recent = model.company_events.where("timestamp >= timestamp'2001-06-15'")
+    return EventModel(model.user_events, recent, model.companies)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, staged, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("plans") / "store")
     store.create_event_tables(spark, root)
     store.create_collections(spark, root)
-    model = staging.event_model(spark, sf_dir)
-    store.append_events(model.user_events, root, "user_events")
-    recent = model.company_events.where("timestamp >= timestamp'2001-07-01'")
-    store.append_events(recent, root, "company_events")
-    names = model.companies.withColumnRenamed("company", "name")
+    store.append_events(staged.user_events, root, "user_events")
+    store.append_events(staged.company_events, root, "company_events")
+    names = staged.companies.withColumnRenamed("company", "name")
     store.replace_collection(names, root, "companies")
     return tables.event_model(spark, root)
 
@@ -71,6 +78,22 @@ def test_rolling_cards_prune_days(stored):
         assert "GreaterThanOrEqual(timestamp" in scan
 
 
+@pytest.mark.parametrize("name", [*cards.SERIES_CARDS, *cards.ROLLING_CARDS])
+@pytest.mark.parametrize("user_day,company_day", [("2024-01-30", "2001-08-01"), ("2024-01-12", "2001-07-10")])
+def test_stored_tables_give_what_the_source_frames_give(staged, stored, name, user_day, company_day):
+    when = {
+        "as_of_date": company_day if name.startswith("boxes") else user_day,
+        "as_of_ts": f"{user_day} 12:00:00",
+    }
+    got, want = (cards.card(name, model, **when) for model in (stored, staged))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stored_scorecard_equals_source_frames(staged, stored):
+    got, want = (company_scorecard(model, AS_OF, date(2001, 8, 1)) for model in (stored, staged))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_scorecard_scans_each_table_as_seldom_as_stated(stored):
     found = scans(company_scorecard(stored, AS_OF, date(2001, 8, 1)))
     users = [s for s in found if "/user_events" in s]
