@@ -317,6 +317,12 @@ _STATUS = " UNION ALL ".join(
     " UNION ALL SELECT 'users', COUNT(*), COUNT(*), FALSE FROM user_directory"
 )
 
+_UPDATED_COMPANIES = (
+    "SELECT c.name AS id, c.name, earliest_reg, COALESCE(t.purchased, 0) AS boxes_bought, "
+    "COALESCE(t.provisioned, 0) AS boxes_prov FROM (SELECT company AS name, MIN(reg_date) AS earliest_reg "
+    "FROM users GROUP BY company) c LEFT JOIN totals t ON t.company = c.name"
+)
+
 _DIRECTORY = 'SELECT email, company, "offset" FROM user_directory ORDER BY email'
 
 
@@ -408,11 +414,14 @@ def oracle_sql() -> dict[str, str]:
             days=_TREND_DAYS,
             trends=_TREND,
         ),
-        "update_by_field": _with(
-            "SELECT c.name AS id, c.name, earliest_reg, COALESCE(t.purchased, 0) AS boxes_bought, "
-            "COALESCE(t.provisioned, 0) AS boxes_prov FROM (SELECT company AS name, MIN(reg_date) AS earliest_reg "
-            "FROM users GROUP BY company) c LEFT JOIN totals t ON t.company = c.name"
+        "update_by_field": _with(_UPDATED_COMPANIES),
+        "update_by_field_unmatched": _with(
+            "SELECT email, company FROM user_directory d WHERE NOT EXISTS (SELECT 1 FROM user_events e "
+            "WHERE e.type = 'register' AND e.\"user\" = d.email)"
         ),
+        "append_events": _with("SELECT *, CAST(timestamp AS DATE) AS event_date FROM user_events"),
+        "replace_collection": _with("SELECT * FROM users"),
+        "rewrite_collection": _with(_UPDATED_COMPANIES),
         "upsert_by_id": _with(
             "SELECT COALESCE(s.id, d.email) AS id, CASE WHEN d.email IS NULL THEN s.company "
             "WHEN d.\"offset\" <> 0 THEN d.company END AS company, s.reg_date, d.email "
@@ -430,6 +439,14 @@ def oracle_sql() -> dict[str, str]:
             raw="SELECT *, json_extract_string(body, '$.user') AS \"user\", "
                 "json_extract_string(body, '$.company') AS company FROM routed",
         ),
+        "ingest_stream": _with(
+            "SELECT json_extract_string(body, '$.type') AS type, json_extract_string(body, '$.user') AS \"user\", "
+            "json_extract_string(body, '$.company') AS company, "
+            "CAST(json_extract_string(body, '$.call_duration') AS BIGINT) AS call_duration, "
+            "CAST(json_extract_string(body, '$.purchased') AS BIGINT) AS purchased, "
+            "CAST(json_extract_string(body, '$.provisioned') AS BIGINT) AS provisioned "
+            "FROM routed WHERE target <> 'rejects'"
+        ),
         "company_totals_stream": _with(
             "SELECT json_extract_string(body, '$.company') AS company, "
             "CAST(SUM(CASE WHEN json_extract_string(body, '$.type') = 'purchased' "

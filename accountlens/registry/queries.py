@@ -15,7 +15,7 @@ from accountlens.plans import cards, etl, home
 from accountlens.plans.scorecard import company_scorecard, headline_values
 from accountlens.schemas import USER_EVENTS
 from accountlens.session import new_shared_path, pin_utc
-from accountlens.sources import staging, tables
+from accountlens.sources import staging, store, tables
 from accountlens.streaming import ingest
 
 AS_OF_DATE = date(2024, 1, 30)
@@ -125,14 +125,26 @@ def _update_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update_by_field(companies, updates, "name")[0]
 
 
-def _upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users seen registering, merged with the directory; a zero offset clears the company."""
-    seen = (
+def _seen_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users seen registering."""
+    return (
         staging.user_events(spark, sf_dir)
         .where(F.col("type") == "register")
         .groupBy(F.col("user").alias("id"))
         .agg(F.max("company").alias("company"), F.min("timestamp").alias("reg_date"))
     )
+
+
+def _unmatched_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory entries of users never seen registering."""
+    seen = _seen_users(spark, sf_dir).withColumn("email", F.col("id"))
+    given = staging.user_directory(spark, sf_dir).select("email", "company")
+    return update_by_field(seen, given, "email")[1]
+
+
+def _upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users seen registering, merged with the directory; a zero offset clears the company."""
+    seen = _seen_users(spark, sf_dir)
     given = staging.user_directory(spark, sf_dir).select(
         F.col("email").alias("id"), "email", F.when(F.col("offset") != 0, F.col("company")).alias("company")
     )
@@ -168,11 +180,53 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.typed_events(ingest.route_events(_bodies(spark, sf_dir)), "user_events")
 
 
-def _totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the totals stream over the events file to its end and read the totals."""
+def _body_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(staging.table(spark, sf_dir, "events").schema)
     events = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    bodies = staging.event_bodies(staging.stg_events(spark, sf_dir, events))
+    return staging.event_bodies(staging.stg_events(spark, sf_dir, events))
+
+
+def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run the ingest stream over the events file to its end and read both stored tables."""
+    root = new_shared_path(spark, "ingest")
+    store.create_event_tables(spark, root)
+    ingest.start_ingest(_body_stream(spark, sf_dir), root, f"{root}-checkpoint").awaitTermination()
+    users = tables.user_events(spark, f"{root}/user_events")
+    boxes = tables.company_events(spark, f"{root}/company_events")
+    return users.unionByName(boxes, allowMissingColumns=True).select(
+        "type", "user", "company", "call_duration", "purchased", "provisioned"
+    )
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events after a round trip through the stored table."""
+    root = new_shared_path(spark, "events")
+    store.create_event_tables(spark, root)
+    store.append_events(staging.user_events(spark, sf_dir), root, "user_events")
+    return tables.user_events(spark, f"{root}/user_events")
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users after a round trip through their collection; generated ids are left out."""
+    root = new_shared_path(spark, "users")
+    store.replace_collection(_users(spark, sf_dir), root, "users")
+    return tables.collection(spark, root, "users").drop("id")
+
+
+def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The companies collection, stored and then updated in place with its totals."""
+    root = new_shared_path(spark, "companies")
+    companies = etl.build_companies(_users(spark, sf_dir)).withColumn("id", F.col("name"))
+    store.replace_collection(companies, root, "companies")
+    stored = tables.collection(spark, root, "companies")
+    updates = etl.totals_as_updates(_totals(spark, sf_dir))
+    store.rewrite_collection(update_by_field(stored, updates, "name")[0], root, "companies")
+    return tables.collection(spark, root, "companies")
+
+
+def _totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run the totals stream over the events file to its end and read the totals."""
+    bodies = _body_stream(spark, sf_dir)
     path = new_shared_path(spark, "company-sums")
     ingest.start_company_totals(bodies, path, f"{path}-checkpoint").awaitTermination()
     return ingest.current_totals(spark, path, etl.build_companies(_users(spark, sf_dir)))
@@ -225,7 +279,11 @@ QUERIES: dict[str, Query] = {
     "home_renewals": _on(_renewals, home.home_renewals),
     "home_trends": _on(_trends, home.home_trends),
     "update_by_field": _update_by_field,
+    "update_by_field_unmatched": _unmatched_updates,
     "upsert_by_id": _upsert_by_id,
+    "append_events": _appended,
+    "replace_collection": _replaced,
+    "rewrite_collection": _rewritten,
     "user_directory": _on(staging.user_directory, tables.user_directory),
     "user_directory_first_100": _on(
         staging.user_directory, lambda directory: tables.user_directory(directory, 100)
@@ -234,6 +292,7 @@ QUERIES: dict[str, Query] = {
     "validate_events": _validate,
     "route_events": _route,
     "ingested_user_events": _ingested,
+    "ingest_stream": _ingest_stream,
     "company_totals_stream": _totals_stream,
 }
 
