@@ -1,5 +1,6 @@
 """Full reload of a store from source frames."""
 
+import logging
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,8 @@ from accountlens.sources.tables import (
     first_users,
 )
 
+log = logging.getLogger(__name__)
+
 
 def reload_all(
     root: str,
@@ -81,7 +84,12 @@ def reload_all(
     counts["company_events"] = append_events(boxes, root, "company_events")
 
     totals = checkpointed(company_totals(company_events(spark, f"{root}/company_events")))
-    updated, _ = update_by_field(collection(spark, root, "companies"), totals_as_updates(totals), "name")
+    updated, unmatched = update_by_field(
+        collection(spark, root, "companies"), totals_as_updates(totals), "name"
+    )
+    missing = unmatched.count()
+    if missing:
+        log.warning("%d companies have events but no document, their totals are skipped", missing)
     rewrite_collection(updated, root, "companies")
     counts["renewals"] = replace_collection(build_renewals(totals, renewal_inputs), root, "renewals")
 
