@@ -317,6 +317,20 @@ _STATUS = " UNION ALL ".join(
     " UNION ALL SELECT 'users', COUNT(*), COUNT(*), FALSE FROM user_directory"
 )
 
+_DISPLAY = """
+SELECT timestamp, "user", strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS datetime_text,
+  CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
+       ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS iso_text,
+  strftime(timestamp, '%b %d') AS day_label, strftime(timestamp, '%m/%d') AS short_date,
+  split_part("user", '@', 1) AS user_name, upper(left("user", 1)) AS user_initial,
+  format('{:,}', call_duration * 2499) AS thousands,
+  CASE WHEN call_duration IS NULL OR call_duration = 0 THEN 'TBD'
+       ELSE '$' || format('{:,}', call_duration * 2499) END AS money,
+  '$' || format('{:,}', call_duration * 2499) || '.00' AS money_cents,
+  CASE WHEN rating IS NULL OR rating = 0 THEN '0%' ELSE printf('%.1f%%', rating * 1001 / 16.0::DOUBLE) END AS percent,
+  CAST(printf('%.2f', rating * 1001 / 16.0::DOUBLE) AS DOUBLE) AS rounded
+FROM user_events"""
+
 _UPDATED_COMPANIES = (
     "SELECT c.name AS id, c.name, earliest_reg, COALESCE(t.purchased, 0) AS boxes_bought, "
     "COALESCE(t.provisioned, 0) AS boxes_prov FROM (SELECT company AS name, MIN(reg_date) AS earliest_reg "
@@ -422,6 +436,11 @@ def oracle_sql() -> dict[str, str]:
         "append_events": _with("SELECT *, CAST(timestamp AS DATE) AS event_date FROM user_events"),
         "replace_collection": _with("SELECT * FROM users"),
         "rewrite_collection": _with(_UPDATED_COMPANIES),
+        "truncate_table": _with(
+            "SELECT COUNT(*) AS appended, CAST(0 AS BIGINT) AS remaining FROM user_events"
+        ),
+        "clear_collection": _with("SELECT COUNT(*) AS deleted, CAST(0 AS BIGINT) AS remaining FROM users"),
+        "display_texts": _with(_DISPLAY),
         "upsert_by_id": _with(
             "SELECT COALESCE(s.id, d.email) AS id, CASE WHEN d.email IS NULL THEN s.company "
             "WHEN d.\"offset\" <> 0 THEN d.company END AS company, s.reg_date, d.email "

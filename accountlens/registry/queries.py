@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from accountlens.functions import formatting as fmt
 from accountlens.operators.shaping import clamp_future, union_events
 from accountlens.operators.spine import calendar_spine
 from accountlens.operators.updates import update_by_field, upsert_by_id
 from accountlens.operators.windows import headline_last_nonnull
 from accountlens.plans import cards, etl, home
 from accountlens.plans.scorecard import company_scorecard, headline_values
-from accountlens.schemas import USER_EVENTS
+from accountlens.schemas import CONTRACT_VALUE_PER_BOX, USER_EVENTS
 from accountlens.session import new_shared_path, pin_utc
 from accountlens.sources import staging, store, tables
 from accountlens.streaming import ingest
@@ -213,6 +214,47 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.collection(spark, root, "users").drop("id")
 
 
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the user events table as appended, and after it is truncated."""
+    root = new_shared_path(spark, "truncated")
+    store.create_event_tables(spark, root)
+    appended = store.append_events(staging.user_events(spark, sf_dir), root, "user_events")
+    store.truncate_table(spark, root, "user_events")
+    left = tables.user_events(spark, f"{root}/user_events").agg(F.count("*").alias("remaining"))
+    return left.select(F.lit(appended).cast("long").alias("appended"), "remaining")
+
+
+def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the users collection as cleared, and after."""
+    root = new_shared_path(spark, "cleared")
+    store.replace_collection(_users(spark, sf_dir), root, "users")
+    deleted = store.clear_collection(spark, root, "users")
+    left = tables.collection(spark, root, "users").agg(F.count("*").alias("remaining"))
+    return left.select(F.lit(deleted).cast("long").alias("deleted"), "remaining")
+
+
+def _display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every display format over every user event."""
+    ts, name = F.col("timestamp"), fmt.user_name(F.col("user"))
+    duration = F.col("call_duration")
+    ratio = (F.col("rating") * 1000 + F.col("rating")) / 16
+    return staging.user_events(spark, sf_dir).select(
+        "timestamp",
+        "user",
+        fmt.datetime_text(ts).alias("datetime_text"),
+        fmt.iso_text(ts).alias("iso_text"),
+        fmt.day_label(ts).alias("day_label"),
+        fmt.short_date(ts).alias("short_date"),
+        name.alias("user_name"),
+        fmt.initial(name).alias("user_initial"),
+        fmt.thousands(duration * CONTRACT_VALUE_PER_BOX).alias("thousands"),
+        fmt.money(duration * CONTRACT_VALUE_PER_BOX).alias("money"),
+        fmt.money_cents(duration * CONTRACT_VALUE_PER_BOX).alias("money_cents"),
+        fmt.percent(ratio).alias("percent"),
+        fmt.python_round(ratio, 2).alias("rounded"),
+    )
+
+
 def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The companies collection, stored and then updated in place with its totals."""
     root = new_shared_path(spark, "companies")
@@ -284,6 +326,9 @@ QUERIES: dict[str, Query] = {
     "append_events": _appended,
     "replace_collection": _replaced,
     "rewrite_collection": _rewritten,
+    "truncate_table": _truncated,
+    "clear_collection": _cleared,
+    "display_texts": _display_texts,
     "user_directory": _on(staging.user_directory, tables.user_directory),
     "user_directory_first_100": _on(
         staging.user_directory, lambda directory: tables.user_directory(directory, 100)
