@@ -45,9 +45,9 @@ def append_events(df: DataFrame, root: str, table: str, batch: str | None = None
     """Append rows and return how many; columns not given become NULL.
 
     Appending the same rows under the same `batch` name again replaces them, so a retry is
-    safe; an append without a name gets one of its own. Days are rebalanced to files of even size,
-    which splits a day that holds most rows, and sorted so that row groups can be skipped by
-    type and company.
+    safe; an append without a name gets one of its own. Days and types are rebalanced to
+    files of even size, which splits a day that holds most rows, and sorted by company;
+    readers skip files and row groups by type and company.
     """
     require_utc(df.sparkSession)
     observed = Observation()
@@ -55,7 +55,7 @@ def append_events(df: DataFrame, root: str, table: str, batch: str | None = None
         normalise_events(df, event_schema(table))
         .withColumn("event_date", F.to_date("timestamp"))
         .withColumn("ingest_batch", F.lit(batch or uuid.uuid4().hex))
-        .hint("rebalance", "event_date")
+        .hint("rebalance", "event_date", "type")
         .sortWithinPartitions("event_date", "ingest_batch", "type", "company")
         .observe(observed, F.count(F.lit(1)).alias("rows"))
     )
