@@ -269,9 +269,9 @@ def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the totals stream over the events file to its end and read the totals."""
     bodies = _body_stream(spark, sf_dir)
-    path = new_shared_path(spark, "company-sums")
-    ingest.start_company_totals(bodies, path, f"{path}-checkpoint").awaitTermination()
-    return ingest.current_totals(spark, path, etl.build_companies(_users(spark, sf_dir)))
+    folder = new_shared_path(spark, "company-sums")
+    ingest.start_company_totals(bodies, folder).awaitTermination()
+    return ingest.current_totals(spark, folder, etl.build_companies(_users(spark, sf_dir)))
 
 
 def _on(frame: Query, plan: Callable[[DataFrame], DataFrame]) -> Query:

@@ -119,14 +119,15 @@ def rejects(routed: DataFrame) -> DataFrame:
 def start_ingest(bodies: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream of bodies to the two event tables and the rejects.
 
-    Each micro-batch is written under its own batch name, so a replayed batch overwrites its
-    own files instead of adding rows twice.
+    Each micro-batch is written under a name made of the stream's id, which its checkpoint
+    keeps, and the batch number. A replayed batch so overwrites its own files instead of
+    adding rows twice, and a stream with a new checkpoint never overwrites an older one's.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         routed = route_events(batch).persist()
         try:
-            name = f"stream-{batch_id}"
+            name = f"{_stream_id(batch)}-{batch_id}"
             for table in EVENT_TABLES:
                 append_events(typed_events(routed, table), root, table, batch=name)
             _write_batch(rejects(routed), f"{root}/{REJECTS}", name)
@@ -141,6 +142,14 @@ def start_ingest(bodies: DataFrame, root: str, checkpoint: str, **trigger) -> St
     )
 
 
+def _stream_id(batch: DataFrame) -> str:
+    """The id of the stream a micro-batch belongs to; the same after a restart."""
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if stream is None:
+        raise RuntimeError("the stream's id is not known, so its batches could not be told apart")
+    return stream
+
+
 def _write_batch(df: DataFrame, path: str, batch: str) -> None:
     writer = df.withColumn("ingest_batch", F.lit(batch)).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch").parquet(path)
@@ -180,8 +189,8 @@ def add_sums(companies: DataFrame, sums: DataFrame) -> tuple[DataFrame, DataFram
 _SUMS = "company string, purchased long, provisioned long, batch long, slot int"
 
 
-def start_company_totals(bodies: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the running sums of all companies under `path`.
+def start_company_totals(bodies: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Keep the running sums of all companies in `folder`, next to the checkpoint they belong to.
 
     Every micro-batch writes all sums, one row per company, to one of two alternating slots:
     storage stays bounded, a replayed batch overwrites its own slot, and readers always find
@@ -192,31 +201,31 @@ def start_company_totals(bodies: DataFrame, path: str, checkpoint: str, **trigge
     def keep(sums: DataFrame, batch_id: int) -> None:
         stamped = sums.withColumn("batch", F.lit(batch_id).cast("long"))
         writer = stamped.withColumn("slot", F.lit(batch_id % 2)).write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(f"{folder}/sums")
 
     return (
         company_sums(bodies)
         .writeStream.outputMode("complete")
         .foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def running_sums(spark: SparkSession, path: str) -> DataFrame:
+def running_sums(spark: SparkSession, folder: str) -> DataFrame:
     """The sums after the latest micro-batch."""
     latest = F.max_by(F.struct("purchased", "provisioned"), "batch").alias("latest")
-    kept = spark.read.schema(_SUMS).parquet(path)
+    kept = spark.read.schema(_SUMS).parquet(f"{folder}/sums")
     return kept.groupBy("company").agg(latest).select("company", "latest.*")
 
 
-def current_totals(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
+def current_totals(spark: SparkSession, folder: str, companies: DataFrame) -> DataFrame:
     """Totals of `companies` plus the running sums; names it does not have are skipped."""
-    return add_sums(companies, running_sums(spark, path))[0]
+    return add_sums(companies, running_sums(spark, folder))[0]
 
 
-def companies_now(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
+def companies_now(spark: SparkSession, folder: str, companies: DataFrame) -> DataFrame:
     """The company documents with their totals brought up to date."""
-    totals = current_totals(spark, path, companies).withColumnRenamed("company", "name")
+    totals = current_totals(spark, folder, companies).withColumnRenamed("company", "name")
     return update_by_field(companies, totals, "name")[0]

@@ -96,7 +96,7 @@ def test_replayed_batches_change_nothing(spark, sf_dir, tmp_path):
     def run():
         ingested = ingest.start_ingest(stream, root, str(tmp_path / "c1"))
         ingested.awaitTermination()
-        summed = ingest.start_company_totals(stream, path, str(tmp_path / "c2"))
+        summed = ingest.start_company_totals(stream, path)
         summed.awaitTermination()
         counts = [
             tables.user_events(spark, f"{root}/user_events").count(),
@@ -106,7 +106,7 @@ def test_replayed_batches_change_nothing(spark, sf_dir, tmp_path):
         return counts, sorted(map(tuple, ingest.running_sums(spark, path).collect())), len(ingested.recentProgress)
 
     first = run()
-    for checkpoint in ("c1", "c2"):
+    for checkpoint in ("c1", "totals/checkpoint"):
         replay_last_batch(tmp_path / checkpoint)
     again = run()
     assert again[2] >= 1
@@ -114,6 +114,18 @@ def test_replayed_batches_change_nothing(spark, sf_dir, tmp_path):
     assert sum(first[0]) == spark.read.parquet(source).count()
 
 
+def test_a_new_checkpoint_adds_to_what_an_older_stream_stored(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"type":"load"}\n{}\n')
+    root = str(tmp_path / "store")
+    store.create_event_tables(spark, root)
+    for checkpoint in ("c1", "c2"):
+        stream = tables.event_body_stream(spark, str(tmp_path / "in"))
+        ingest.start_ingest(stream, root, str(tmp_path / checkpoint)).awaitTermination()
+    assert tables.user_events(spark, f"{root}/user_events").count() == 2
+    assert tables.rejected_events(spark, f"{root}/rejects").count() == 2
+
+
 def test_totals_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path):
     sums = {}
     for row in staging.event_bodies(staging.stg_events(spark, sf_dir)).collect():
@@ -132,10 +144,10 @@ def test_totals_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path
     )
     stream = write_bodies(spark, sf_dir, str(tmp_path / "in"), 4)
     path = str(tmp_path / "totals")
-    query = ingest.start_company_totals(stream, path, str(tmp_path / "checkpoint"))
+    query = ingest.start_company_totals(stream, path)
     query.awaitTermination()
     assert len(query.recentProgress) >= 4
-    assert sorted(p.name for p in (tmp_path / "totals").glob("slot=*")) == ["slot=0", "slot=1"]
+    assert sorted(p.name for p in (tmp_path / "totals" / "sums").glob("slot=*")) == ["slot=0", "slot=1"]
 
     want = {
         n: ((0 if n == without_total else 1000) + s["purchased"], s["provisioned"])
@@ -165,5 +177,5 @@ def test_bodies_from_text_files(spark, tmp_path):
     assert tables.company_events(spark, f"{root}/company_events").agg(F.sum("purchased")).first()[0] == 7
     assert tables.rejected_events(spark, f"{root}/rejects").count() == 2
     path = str(tmp_path / "totals")
-    ingest.start_company_totals(stream, path, str(tmp_path / "c2")).awaitTermination()
+    ingest.start_company_totals(stream, path).awaitTermination()
     assert [tuple(r) for r in ingest.running_sums(spark, path).collect()] == [("a", 7, 0)]
