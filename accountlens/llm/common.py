@@ -81,3 +81,11 @@ class Windows:
         value ^= value >> np.uint64(32)
         value *= np.uint64(MIX)
         return value ^ (value >> np.uint64(29))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

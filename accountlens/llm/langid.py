@@ -126,19 +126,18 @@ def _scorer(rows: list[tuple[str, str, int]], size: int, text_at: int):
     return score
 
 
-def classify(df: DataFrame, learned: DataFrame, text: str = "text", size: int = PROFILE) -> DataFrame:
-    """df with lang_pred and score (1: every n-gram in its place) in place of columns of these names, if any.
+def classify(df: DataFrame, learned: DataFrame, text: str, pred: str, score: str, size: int = PROFILE) -> DataFrame:
+    """df with two more columns: the language, and 0 to 1 (1: every n-gram in its place); df must not have them.
 
     learned: the result of profiles(). The rows stay where they are: nothing is shuffled.
     """
-    kept = df.drop("lang_pred", "score")
-    out = kept.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(2.0).alias("score"))
+    out = df.select("*", F.lit(UNDETERMINED).alias(pred), F.lit(2.0).alias(score))
     langs = sorted(row.lang for row in learned.select("lang").distinct().toLocalIterator())
     for first in range(0, len(langs), LANGUAGES_AT_ONCE):
         block = learned.where(F.col("lang").isin(langs[first : first + LANGUAGES_AT_ONCE]))
         rows = [(row.lang, row.gram, row.place) for row in block.collect()]
-        out = out.mapInArrow(_scorer(rows, size, kept.columns.index(text)), out.schema)
-    return out.withColumn("score", F.when(F.col("lang_pred") == UNDETERMINED, 0.0).otherwise(1 - F.col("score")))
+        out = out.mapInArrow(_scorer(rows, size, df.columns.index(text)), out.schema)
+    return out.select(*df.columns, pred, F.when(F.col(score) > 1, 0.0).otherwise(1 - F.col(score)).alias(score))
 
 
 def remainder(doc_id: str, of: int):
@@ -146,15 +145,15 @@ def remainder(doc_id: str, of: int):
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """docs with held_out, lang_pred and score, learned from the rows whose crc32(doc_id) mod 3 is not 1.
+    """(doc_id, held_out, lang_pred, score) of docs (doc_id, text, lang), learned from the rows whose crc32(doc_id) mod 3 is not 1.
 
     A null doc_id has no remainder; such a row is not held out and teaches.
     """
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     learned = profiles(docs.where(~held_out).select("lang", "text"))
-    return classify(docs.withColumn("held_out", held_out), learned)
+    marked = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return classify(marked, learned, "text", "lang_pred", "score").drop("text")
 
 
 def op6_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return predict(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(table(spark, sf_dir, "documents"))

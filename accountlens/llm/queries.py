@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from accountlens.llm.decontaminate import op1_template_decontamination
 from accountlens.llm.langid import op6_rank_order_langid
+from accountlens.llm.packing import op3_linear_grouping_packing
+from accountlens.llm.pii import op7_contextual_pii
 from accountlens.llm.simhash import op8_simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op1_template_decontamination, op6_rank_order_langid, op8_simhash_dedup]
+    listed = [op1_template_decontamination, op3_linear_grouping_packing, op6_rank_order_langid, op7_contextual_pii, op8_simhash_dedup]
     return {query.__name__: query for query in listed}
 
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountlens.llm import decontaminate, langid, simhash
-from accountlens.llm.common import staged, table
+from accountlens.llm import decontaminate, langid, packing, pii, simhash
+from accountlens.llm.common import fresh, staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a language (no text, no letter) go."""
-    learned = langid.profiles(docs)
-    marked = langid.classify(docs.withColumn("_text", F.col("text")), learned, text="_text")
-    return marked.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    marked = langid.classify(docs, langid.profiles(docs), "text", pred, score)
+    return marked.where(F.col(pred) != langid.UNDETERMINED).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,20 +22,34 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat a doc_id are one document. Rows without an id stay if no row with one is in their group.
     """
     groups = simhash.near_duplicates(docs, shingle=4, distance=4)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.join(found, docs["doc_id"] == found["leak_id"], "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: each identifier gives way to its kind; n_chars keeps to the new text."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else masked
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: where each piece of each document goes, with the checksum of its ids."""
+    cut = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(staged(cut, "pieces"))
 
 
 STAGES = [
     ("language ID", language),
     ("SimHash near-dedup", near_copies),
     ("benchmark decontamination", benchmark_leaks),
+    ("PII", personal_data),
+    ("best-fit packing", packed),
 ]
 
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds run() against brute force.
