@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from accountlens.llm.chat import OP10_SQL, op10_preference_chat
 from accountlens.llm.decontaminate import op1_template_decontamination
 from accountlens.llm.langid import op6_rank_order_langid
 from accountlens.llm.packing import op3_linear_grouping_packing
 from accountlens.llm.pii import op7_contextual_pii
+from accountlens.llm.rollups import OP9_SQL, op9_token_rollups
 from accountlens.llm.simhash import op8_simhash_dedup
+from accountlens.llm.topk import OP4_SQL, op4_multi_index_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op1_template_decontamination, op3_linear_grouping_packing, op6_rank_order_langid, op7_contextual_pii, op8_simhash_dedup]
+    listed = [
+        op1_template_decontamination,
+        op3_linear_grouping_packing,
+        op4_multi_index_topk,
+        op6_rank_order_langid,
+        op7_contextual_pii,
+        op8_simhash_dedup,
+        op9_token_rollups,
+        op10_preference_chat,
+    ]
     return {query.__name__: query for query in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_multi_index_topk": OP4_SQL, "op9_token_rollups": OP9_SQL, "op10_preference_chat": OP10_SQL}
