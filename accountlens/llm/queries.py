@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from accountlens.llm.backoff import op5_backoff_lm
 from accountlens.llm.chat import OP10_SQL, op10_preference_chat
 from accountlens.llm.decontaminate import op1_template_decontamination
 from accountlens.llm.langid import op6_rank_order_langid
@@ -13,14 +14,17 @@ from accountlens.llm.packing import op3_linear_grouping_packing
 from accountlens.llm.pii import op7_contextual_pii
 from accountlens.llm.rollups import OP9_SQL, op9_token_rollups
 from accountlens.llm.simhash import op8_simhash_dedup
+from accountlens.llm.substrings import op2_debruijn_dedup
 from accountlens.llm.topk import OP4_SQL, op4_multi_index_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
         op1_template_decontamination,
+        op2_debruijn_dedup,
         op3_linear_grouping_packing,
         op4_multi_index_topk,
+        op5_backoff_lm,
         op6_rank_order_langid,
         op7_contextual_pii,
         op8_simhash_dedup,
