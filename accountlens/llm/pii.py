@@ -37,9 +37,9 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 CANDIDATE = r"(?<!\S)(?=[^\s@]*+@|[^\s0-9]*+[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9])\S++(?: [(]?[0-9][0-9().-]++)*+"
 #: Shapes of discovered identifiers; digits are counted apart.
 SHAPES = {
-    "email": r"^[^@]*[A-Za-z0-9][^@]*@[^@]*[A-Za-z0-9][^@]*$",
-    "ip": r"^[0-9]+(?:\.[0-9]+){3}$|^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}$",
-    "card": r"^[0-9](?:[ .-]?[0-9])+$",
+    "email": r"^[^A-Za-z0-9@]*+[A-Za-z0-9][^@]*+@[^A-Za-z0-9@]*+[A-Za-z0-9][^@]*+$",
+    "ip": r"^[0-9]++(?:\.[0-9]++){3}$|^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}$",
+    "card": r"^[0-9](?:[ .-]?[0-9])++$",
     "phone": r"^[(]?[0-9][0-9 ().-]*[0-9]$",
 }
 DIGITS = {"card": (12, 19), "phone": (7, 15)}
