@@ -22,7 +22,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from accountlens.llm.common import WordCache, parts, staged, table, utf8, words_of
+from accountlens.llm.common import CACHE_ENTRIES, parts, staged, table, utf8, words_of
 
 #: Bounds: words with numbers, and arcs in one block.
 FREQUENT, ARCS = 2_000_000, 4_000_000
 #: Occurrences that make a bigram an arc, and what is taken off its count.
 LEAST, DISCOUNT = 4, 0.75
 END = b""
+READING = "doc_id long, key long, n_tokens long, frequent long, own double, gain double, word long, times int"
 
 
-def word_hash(word: bytes) -> int:
-    """As a signed number."""
-    return int(np.uint64(xxh64_intdigest(word)).view(np.int64))
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """As signed numbers."""
+    return np.array([xxh64_intdigest(word) for word in words], np.uint64).view(np.int64)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -53,7 +54,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for text in utf8(batch.column(0)):
             counts.update(tokens(text))
-        yield pa.RecordBatch.from_arrays([pa.array(map(word_hash, counts), pa.int64()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(counts)), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
 
 class Numbers:
@@ -61,17 +62,23 @@ class Numbers:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
-        self.of = WordCache(self.find)
-        self.end = self.find(END)
-
-    def find(self, word: bytes) -> int:
-        value = word_hash(word)
-        at = int(np.searchsorted(self.hashes, value))
-        return at if at < len(self.hashes) and self.hashes[at] == value else -1
+        self.known: dict[bytes, int] = {}
+        self.end = int(self.of([END])[0])
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        new = [word for word in set(words) if word not in self.known]
+        if new:
+            values = word_hashes(new)
+            at = np.searchsorted(self.hashes, values)
+            hit = np.append(self.hashes, 0)[at] == values
+            self.known.update(zip(new, np.where(hit & (at < len(self.hashes)), at, -1).tolist(), strict=True))
+        return np.array([self.known[word] for word in words], np.int64)
 
     def pairs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """(state, next) for each token of the texts one after the other; a text starts after the end token."""
-        following = np.fromiter((self.of[word] for text in texts for word in text), np.int64, sum(map(len, texts)))
+        following = self.of([word for text in texts for word in text])
         states = np.empty_like(following)
         states[1:] = following[:-1]
         starts = np.cumsum([0, *map(len, texts)])[:-1]
@@ -126,40 +133,32 @@ class Automaton:
         return gain
 
 
-def _reader(hashes: np.ndarray, automaton: Automaton):
-    """For each text: tokens, frequent ones, and log10 sums of own weights and of what the automaton adds."""
+def _reader(hashes: np.ndarray, automaton: Automaton, with_rare: bool):
+    """For each text a row with its tokens, how many are frequent, and the log10 sums of their own weights and of what the
+    automaton adds; then, if asked for, a row for each word without a number, with its times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(hashes)
         own = np.append(automaton.own, 0)
+        names = [field.split(" ")[0] for field in READING.split(", ")]
         for whole in batches:
             for batch in parts(whole, 2):
                 texts = [tokens(text) for text in utf8(batch.column(2))]
                 states, following = numbers.pairs(texts)
-                starts = np.cumsum([0, *map(len, texts)])[:-1]
-                sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token
-                columns = [batch.column(0), batch.column(1), pa.array([len(text) for text in texts], pa.int64())]
-                columns += [pa.array(sums((following >= 0).astype(np.int64))), pa.array(sums(own[following])), pa.array(sums(automaton.read(states, following)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_tokens", "frequent", "own", "gain"])
-
-    return run
-
-
-def _rare(hashes: np.ndarray):
-    """For each text the words without a number, and how often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(hashes)
-        hashed = WordCache(word_hash)
-        for whole in batches:
-            for batch in parts(whole, 1):
-                at, word, n = [], [], []
-                for i, text in enumerate(utf8(batch.column(1))):
-                    counts = Counter(one for one in tokens(text) if numbers.of[one] < 0)
-                    at += [i] * len(counts)
-                    word += [hashed[one] for one in counts]
-                    n += counts.values()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(word, pa.int64()), pa.array(n, pa.int32())], names=["key", "word", "times"])
+                sizes = np.array([len(text) for text in texts], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                sums = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: E731  every text has a token
+                columns = [pa.array(sizes), sums((following >= 0).astype(np.int64)), sums(own[following]), sums(automaton.read(states, following))]
+                none = [pa.nulls(len(texts), kind) for kind in (pa.int64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *none], names=names)
+                if with_rare:
+                    flat = [word for text in texts for word in text]
+                    rare = np.flatnonzero(following < 0)
+                    counts = Counter(zip(np.repeat(np.arange(len(texts)), sizes)[rare].tolist(), [flat[i] for i in rare.tolist()], strict=True))
+                    key = batch.column(1).take(pa.array([text for text, _ in counts], pa.int64()))
+                    none = [pa.nulls(len(counts), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    rows = [pa.nulls(len(counts), pa.int64()), key, *none, pa.array(word_hashes(word for _, word in counts)), pa.array(counts.values(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(rows, names=names)
 
     return run
 
@@ -189,23 +188,22 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     states, sizes = ordered(found.groupBy(F.floor(F.col("arc") / FREQUENT).alias("state")).count(), "state", "count")  # at most FREQUENT rows
     block = (np.cumsum(sizes) - 1) // ARCS
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    out = "doc_id long, key long, n_tokens long, frequent long, own double, gain double"
-    read = None
+    read = rare = None
     for number in range(int(block.max()) + 1 if len(block) else 1):
-        own = states[block == number] if len(block) else np.zeros(1, np.int64)
+        own = states[block == number] if len(block) else states
         first, last = (int(state) * FREQUENT for state in (own[0], own[-1] + 1)) if len(own) else (0, 0)
         arcs, arc_counts = ordered(found.where((F.col("arc") >= first) & (F.col("arc") < last)), "arc", "n")
         automaton = Automaton(counts, size.total, size.distinct, arcs, arc_counts)
-        part = staged(keyed.mapInArrow(_reader(hashes, automaton), out), "reading")
+        both = staged(keyed.mapInArrow(_reader(hashes, automaton, rare is None), READING), "reading")
+        part = both.where("n_tokens is not null").drop("word", "times")
         if read is None:
+            # Equal rows have one key; their rare words are to be counted once.
+            rare = both.where("word is not null").select("key", "word", "times").repartition("word").dropDuplicates(["word", "key"])
             read = part
         else:
             gains = part.select("key", F.col("gain").alias("more")).distinct()
             read = read.join(gains, "key").withColumn("gain", F.col("gain") + F.col("more")).drop("more")
 
-    # Equal rows have one key; their rare words are to be counted once here.
-    rare = keyed.select("key", "text").mapInArrow(_rare(hashes), "key long, word long, times int")
-    rare = rare.repartition("word").dropDuplicates(["word", "key"])
     known = rare.join(words.where(F.col("n") < often), "word", "left")
     sums = known.groupBy("key").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"), F.sum("times").alias("rare_tokens")
