@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accountlens.llm.common import CACHE_ENTRIES, WordCache, table
+from accountlens.llm.common import CACHE_ENTRIES, WordCache, staged, table
 
 UNDETERMINED = "und"
 #: N-grams of up to so many characters, and how many of them a profile ranks.
@@ -50,7 +50,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, n in words.items():
                 for gram in grams(word):
                     counts[gram] += n
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "gram": list(counts), "n": pa.array(counts.values(), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "gram": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
 
 def profiles(training: DataFrame, size: int = PROFILE) -> DataFrame:
@@ -131,6 +131,7 @@ def classify(df: DataFrame, learned: DataFrame, text: str, pred: str, score: str
 
     learned: the result of profiles(). The rows stay where they are: nothing is shuffled.
     """
+    learned = staged(learned, "profiles")
     out = df.select("*", F.lit(UNDETERMINED).alias(pred), F.lit(2.0).alias(score))
     langs = sorted(row.lang for row in learned.select("lang").distinct().toLocalIterator())
     for first in range(0, len(langs), LANGUAGES_AT_ONCE):
