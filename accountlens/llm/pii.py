@@ -48,6 +48,8 @@ DIGITS = {"card": (12, 19), "phone": (7, 15)}
 SUPPORT, CONFIDENT, ROUNDS = 3, 0.8, 3
 #: Characters on either side of a token in which its context is looked for.
 CONTEXT = 80
+#: Matches that are put together at a time.
+BLOCK = 128
 
 FOUND = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
 
@@ -55,18 +57,26 @@ FOUND = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
 def found_in(text: Column, pattern: str) -> Column:
     """The leftmost non-overlapping matches with their places in code points and what stands around them."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(FOUND).alias("found"))
     pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
     rest = F.slice(between, F.lit(2), F.greatest(F.size(matches), F.lit(0)))
     triples = F.zip_with(pairs, rest, lambda p, r: F.struct(p.m.alias("m"), p.b.alias("b"), r.alias("r")))
+    none = F.array().cast(FOUND)
 
     def step(done: Column, x: Column) -> Column:
         begin = done.at + F.length(x.b)
         end = begin + F.length(x.m)
         one = F.struct(begin.alias("start"), end.alias("end"), x.m.alias("token"), F.substring(x.b, -CONTEXT, CONTEXT).alias("left"), F.substring(x.r, 1, CONTEXT).alias("right"))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(done.found, F.array().cast(FOUND)), F.array(one)).alias("found"))
+        return F.struct(end.alias("at"), F.concat(done.found, F.array(one)).alias("found"))
+
+    def block(done: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(done.at.alias("at"), none.alias("found")), step)
+        return F.transform(F.array(own), lambda x: F.struct(x.at.alias("at"), F.concat(done.blocks, F.array(x.found)).alias("blocks")))[0]
 
-    return F.aggregate(triples, start, step, lambda done: F.coalesce(done.found, F.array().cast(FOUND)))
+    # Appending copies what is there, so matches are appended to blocks and blocks to the whole.
+    count = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    parts = F.transform(count, lambda i: F.slice(triples, i * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("blocks"))
+    return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(parts, start, block, lambda done: F.flatten(done.blocks)))
 
 
 def digits(token: Column) -> Column:
