@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from accountlens.llm.common import CACHE_ENTRIES, Windows, parts, table, utf8, words_of
+from accountlens.llm.common import CACHE_ENTRIES, Windows, parts, staged, table, utf8, words_of
 
 WINDOW, LITERALS = 8, 4
 COVERED, RUN = 0.5, 20
@@ -214,6 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = [row.size for row in bits.select("size").distinct().collect()]  # at most WINDOW numbers
     scanned = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null and text is not null")
     found = scanned.mapInArrow(_document_windows(np.packbits(bitmap, bitorder="little").tobytes(), sorted(sizes)), ROWS)
+    found = staged(found, "template-windows")
     width = F.size(F.split("template", " ")).alias("width")
     left = found.select(F.col("id").alias("doc_id"), F.col("place").alias("at"), "template", F.col("slots").alias("here"))
     right = items.select(F.col("id").alias("item_id"), "place", "template", "slots", width)
