@@ -9,14 +9,14 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accountlens.session import require_utc
 
-def as_date(value: date | str | None) -> date:
-    """Default: today, UTC."""
-    if value is None:
-        return datetime.now(timezone.utc).date()
-    if isinstance(value, datetime):
-        return value.date()
-    return value if isinstance(value, date) else date.fromisoformat(value)
+
+def as_date(value: date | datetime | str | None) -> date:
+    """The UTC day of an instant, or the day itself. Default: today."""
+    if isinstance(value, date) and not isinstance(value, datetime):
+        return value
+    return as_instant(value).date()
 
 
 def as_instant(value: datetime | str | None) -> datetime:
@@ -47,6 +47,7 @@ def within_days(events: DataFrame, first: date | None, last: date | None) -> Col
 
     On a stored table the partition column decides alone, so `timestamp` need not be read.
     """
+    require_utc(events.sparkSession)
     stored = "event_date" in events.columns
     bounds = []
     if first is not None:
@@ -63,6 +64,7 @@ def within_days(events: DataFrame, first: date | None, last: date | None) -> Col
 
 def since(events: DataFrame, moment: datetime) -> Column:
     """At or after an instant, without an upper bound."""
+    require_utc(events.sparkSession)
     bounds = [F.col("timestamp") >= instant(moment)]
     if "event_date" in events.columns:
         bounds.append(F.col("event_date") >= F.lit(moment.date()))

@@ -1,58 +1,50 @@
 """Running numbers per group that survive a group holding a large share of the rows."""
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from accountlens.session import checkpointed
-
-# A group up to this size is sorted by one task.
-ONE_TASK_ROWS = 2_000_000
+#: Rows of a slice that differ in nothing but the tie-break are cut into 2**TIE_BITS parts.
+TIE_BITS = 6
 
 
-def running_number(
-    df: DataFrame, keys: list[str], order: list[str], name: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def running_number(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """1, 2, 3, ... per `keys` in ascending `order`.
 
-    A combined count by key finds the largest group first. If a single task can take it, a
-    plain window does the work; otherwise the rows are range partitioned, which splits large
-    groups, and numbered slice by slice.
+    A group is cut into slices: the rows with one value of the first order column, and if that
+    is the only one, one part of the tie-break's range. Slices are counted, map-side first, and
+    added up within a period (a day, for instants) and over periods. A row's number is its number
+    in its slice plus those counts, so no task sorts a whole group. Rows are shuffled once: the
+    join of the counts has the partitioning of the window. Nothing runs before the caller asks
+    for rows.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= one_task_rows:
-        by_key = Window.partitionBy(*keys).orderBy(*order, _tie(df))
-        return df.withColumn(name, F.row_number().over(by_key).cast("long"))
-    return _number_slices(df, keys, order, name)
-
-
-def _tie(df: DataFrame) -> Column:
+    group, period, piece, tie, before = "_group", "_period", "_slice", "_tie", "_before"
+    first = F.col(order[0])
+    instant = isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
     # Rows equal in every column may change places, others must not.
-    return F.xxhash64(*[F.col(c) for c in df.columns])
-
-
-def _number_slices(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Number within each range partition, then add the group's rows in earlier partitions.
-
-    Range bounds come from sampling, so the partitioned rows are checkpointed before they
-    are read twice.
-    """
-    columns = df.columns
-    tie, piece, offset = "_tie", "_slice", "_offset"
-    sliced = df.withColumn(tie, _tie(df)).repartitionByRange(*keys, *order, tie)
-    sliced = checkpointed(sliced.withColumn(piece, F.spark_partition_id()))
-
-    earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sliced.groupBy(piece, *keys).count()
-    offsets = sizes.select(
-        piece, *keys, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(offset)
+    tied = df.withColumn(tie, F.xxhash64(*[F.col(c) for c in df.columns]))
+    part = F.shiftright(tie, 64 - TIE_BITS) if len(order) == 1 else F.lit(0)
+    # In a struct a NULL is a value like any other, to a join as well.
+    sliced = tied.select(
+        "*",
+        F.struct(*keys).alias(group),
+        F.struct((F.date_trunc("day", first) if instant else first).alias("p")).alias(period),
+        F.struct(first.alias("v"), part.alias("t")).alias(piece),
     )
-    within = Window.partitionBy(piece, *keys).orderBy(*order, tie)
-    numbered = sliced.withColumn(name, F.row_number().over(within)).alias("n")
-    same = reduce(and_, [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [piece, *keys]])
-    return numbered.join(offsets.alias("o"), same).select(
-        *[F.col(f"n.{c}") for c in columns],
-        (F.col(f"n.{name}") + F.col(f"o.{offset}")).alias(name),
+    slices = sliced.groupBy(group, period, piece).count()
+    periods = _before(slices.groupBy(group, period).agg(F.sum("count").alias("count")), [group], period, "_earlier")
+    within = _before(slices, [group, period], piece, "_inside")
+    offsets = within.join(periods.drop("count"), [group, period]).select(
+        group, piece, (F.col("_inside") + F.col("_earlier")).alias(before)
     )
+    by_slice = Window.partitionBy(group, piece).orderBy(*order, tie)
+    numbered = sliced.withColumn(name, F.row_number().over(by_slice))
+    joined = numbered.join(offsets, [group, piece])
+    return joined.select(*df.columns, (F.col(name) + F.col(before)).alias(name))
+
+
+def _before(counts: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """The sum of `count` in earlier rows of the same keys."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    total: Column = F.coalesce(F.sum("count").over(earlier), F.lit(0))
+    return counts.withColumn(name, total)

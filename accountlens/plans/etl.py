@@ -73,12 +73,12 @@ def provision_devices(purchases: DataFrame) -> DataFrame:
     return normalise_events(shaped, COMPANY_EVENTS)
 
 
-def name_boxes(provisioned: DataFrame, **sizing) -> DataFrame:
+def name_boxes(provisioned: DataFrame) -> DataFrame:
     """`<company>.room.NN` by running device number per company in time order.
 
     At least two digits, never cut.
     """
-    numbered = running_number(provisioned, ["company"], ["timestamp", "serial_number"], "_n", **sizing)
+    numbered = running_number(provisioned, ["company"], ["timestamp", "serial_number"], "_n")
     number = F.col("_n").cast("string")
     padded = F.when(F.col("_n") < 10, F.concat(F.lit("0"), number)).otherwise(number)
     return numbered.withColumn("box_name", F.concat("company", F.lit(".room."), padded)).drop("_n")
@@ -109,9 +109,9 @@ def registration_events(users: DataFrame) -> DataFrame:
     return normalise_events(registered, USER_EVENTS)
 
 
-def number_tickets(tickets: DataFrame, **sizing) -> DataFrame:
+def number_tickets(tickets: DataFrame) -> DataFrame:
     """`<user>-<n>`, n from 0 per user in time order."""
-    numbered = running_number(tickets, ["user"], ["timestamp"], "_n", **sizing)
+    numbered = running_number(tickets, ["user"], ["timestamp"], "_n")
     number = (F.col("_n") - 1).cast("string")
     return numbered.withColumn("ticket_number", F.concat_ws("-", "user", number)).drop("_n")
 

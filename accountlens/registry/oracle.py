@@ -283,6 +283,10 @@ _NORMALISED = " UNION ALL ".join(
         _event("support_ticket", "user_events", "type = 'support_ticket'", ticket_number="ticket_number",
                ticket_driver="ticket_driver"),
         _event("rating", "user_events", "type = 'rating'", rating="rating", session_id="session_id"),
+        _event("call", "user_events", "type = 'call'", call_duration="call_duration", call_type="call_type",
+               call_num_users="call_num_users", call_os="call_os", session_id="session_id"),
+        _event("dialin", "user_events", "type = 'dialin'", call_duration="call_duration", session_id="session_id"),
+        _event("comment", "user_events", "type = 'comment'", comment="comment", session_id="session_id"),
     ]
 )
 
@@ -341,7 +345,7 @@ _DIRECTORY = 'SELECT email, company, "offset" FROM user_directory ORDER BY email
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    texts = {
         "stg_user_events": _with("SELECT * FROM user_events"),
         "stg_company_events": _with("SELECT * FROM company_events"),
         "calendar_spine": _with("SELECT * FROM spine", spine=_spine(USER_DAY, 30)),
@@ -477,3 +481,11 @@ def oracle_sql() -> dict[str, str]:
             "FROM routed WHERE target = 'company_events' GROUP BY 1"
         ),
     }
+    # Where a table is kept changes nothing in what is asked of it.
+    stored = {
+        "stored_scorecard": "company_scorecard",
+        "stored_boxes_provisioned_pct": "boxes_provisioned_pct_cumulative_30d",
+        "stored_users_active": "users_active_7d_window_30d",
+        "stored_comments": "comments_recent_7d",
+    }
+    return texts | {name: texts[plain] for name, plain in stored.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accountlens.functions import formatting as fmt
+from accountlens.model import EventModel
 from accountlens.operators.shaping import clamp_future, union_events
 from accountlens.operators.spine import calendar_spine
 from accountlens.operators.updates import update_by_field, upsert_by_id
@@ -109,13 +110,18 @@ def _trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registrations, tickets and ratings, each with its own few columns, as one wide frame."""
+    """Every kind of event, each with its own few columns, as one wide frame."""
     events = staging.user_events(spark, sf_dir)
     base = ["timestamp", "type", "user", "company"]
     return union_events(
         events.where(F.col("type") == "register").select(*base),
         events.where(F.col("type") == "support_ticket").select(*base, "ticket_number", "ticket_driver"),
         events.where(F.col("type") == "rating").select(*base, "rating", "session_id"),
+        events.where(F.col("type") == "call").select(
+            *base, "call_duration", "call_type", "call_num_users", "call_os", "session_id"
+        ),
+        events.where(F.col("type") == "dialin").select(*base, "call_duration", "session_id"),
+        events.where(F.col("type") == "comment").select(*base, "comment", "session_id"),
         schema=USER_EVENTS,
     )
 
@@ -207,6 +213,21 @@ def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.user_events(spark, f"{root}/user_events")
 
 
+def _stored(plan: Callable[[EventModel], DataFrame], *names: str) -> Query:
+    """A plan over the named event tables, stored whole, by day, and read back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = new_shared_path(spark, "stored")
+        model = staging.event_model(spark, sf_dir)
+        store.create_event_tables(spark, root)
+        for name in names:
+            store.append_events(getattr(model, name), root, name)
+        store.replace_collection(model.companies.withColumnRenamed("company", "name"), root, "companies")
+        return plan(tables.event_model(spark, root))
+
+    return query
+
+
 def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users after a round trip through their collection; generated ids are left out."""
     root = new_shared_path(spark, "users")
@@ -324,6 +345,14 @@ QUERIES: dict[str, Query] = {
     "update_by_field_unmatched": _unmatched_updates,
     "upsert_by_id": _upsert_by_id,
     "append_events": _appended,
+    "stored_scorecard": _stored(
+        lambda model: company_scorecard(model, AS_OF_DATE, COMPANY_AS_OF_DATE), "user_events", "company_events"
+    ),
+    "stored_boxes_provisioned_pct": _stored(
+        lambda model: cards.boxes_provisioned_pct(model, as_of_date=COMPANY_AS_OF_DATE), "company_events"
+    ),
+    "stored_users_active": _stored(lambda model: cards.users_active(model, as_of_date=AS_OF_DATE), "user_events"),
+    "stored_comments": _stored(lambda model: cards.comments_recent(model, AS_OF_TS), "user_events"),
     "replace_collection": _replaced,
     "rewrite_collection": _rewritten,
     "truncate_table": _truncated,

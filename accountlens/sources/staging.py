@@ -89,28 +89,20 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def company_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One `purchased` event per order, one `provisioned` event per line not returned."""
-    lines, orders = table(spark, sf_dir, "lineitem"), _orders(spark, sf_dir)
-    same_order = F.expr("l_orderkey = o_orderkey")
-    per_order = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    purchased = per_order.join(orders, same_order).selectExpr(
-        "o_orderdate AS timestamp",
-        "'purchased' AS type",
-        "company",
-        "n AS purchased",
-        "CAST(NULL AS BIGINT) AS provisioned",
-        "CAST(NULL AS STRING) AS serial_number",
-        "CAST(NULL AS STRING) AS box_name",
+    kept = "CASE WHEN l_returnflag <> 'R' THEN struct(l_shipdate AS day) END"
+    per_order = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.expr(f"collect_list({kept})").alias("kept")
     )
-    provisioned = lines.where("l_returnflag <> 'R'").join(orders, same_order).selectExpr(
-        "l_shipdate AS timestamp",
-        "'provisioned' AS type",
-        "company",
-        "CAST(NULL AS BIGINT) AS purchased",
-        "1L AS provisioned",
-        "concat('A', 100000 + l_orderkey) AS serial_number",
-        "CAST(NULL AS STRING) AS box_name",
+    purchased = """array(struct(o_orderdate AS timestamp, 'purchased' AS type, n AS purchased,
+        CAST(NULL AS BIGINT) AS provisioned, CAST(NULL AS STRING) AS serial_number))"""
+    provisioned = """transform(kept, x -> struct(x.day AS timestamp, 'provisioned' AS type, CAST(NULL AS BIGINT) AS purchased,
+        1L AS provisioned, concat('A', 100000 + l_orderkey) AS serial_number))"""
+    events = per_order.join(_orders(spark, sf_dir), F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "company", f"inline(concat({purchased}, {provisioned}))"
+    )
+    return events.selectExpr(
+        "timestamp", "type", "company", "purchased", "provisioned", "serial_number", "CAST(NULL AS STRING) AS box_name"
     )
-    return purchased.unionByName(provisioned)
 
 
 def event_model(spark: SparkSession, sf_dir: str) -> EventModel:

@@ -2,7 +2,6 @@
 
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from accountlens.operators.numbering import running_number
@@ -47,11 +46,8 @@ def boxes(spark, n):
     return spark.createDataFrame(rows, "company string, timestamp timestamp, serial_number string, x long")
 
 
-@pytest.mark.parametrize("one_task_rows", [10**6, 5])
-def test_running_number_matches_a_sorted_list(spark, one_task_rows):
-    rows = running_number(
-        boxes(spark, 1000).repartition(7), ["company"], ["timestamp", "serial_number"], "n", one_task_rows
-    ).collect()
+def test_running_number_matches_a_sorted_list(spark):
+    rows = running_number(boxes(spark, 1000).repartition(7), ["company"], ["timestamp", "serial_number"], "n").collect()
     assert len(rows) == 1000
     for company in ("a", None):
         own = sorted((r["serial_number"], r["n"]) for r in rows if r["company"] == company)
@@ -65,7 +61,7 @@ def test_sliced_numbering_spreads_one_group_over_tasks(spark):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        numbered = running_number(hot, ["company"], ["timestamp"], "n", 1000)
+        numbered = running_number(hot, ["company"], ["timestamp"], "n")
         sizes = numbered.groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) > 2 and max(r["count"] for r in sizes) < 150_000
         spread = numbered.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
@@ -74,12 +70,28 @@ def test_sliced_numbering_spreads_one_group_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
+def test_running_number_runs_nothing_while_it_is_planned_and_shuffles_rows_once(spark):
+    frame = boxes(spark, 100)
+    frame.count()
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("planning", "running numbers")
+    numbered = running_number(frame, ["company"], ["timestamp", "serial_number"], "n")
+    assert not tracker.getJobIdsForGroup("planning")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = running_number(frame, ["company"], ["timestamp", "serial_number"], "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = plan[plan.index("SortMergeJoin") :].split("AS _before")[0]
+    assert "row_number" in rows and rows.count("Exchange") == 2  # one for the rows, one for the counts
+
+
 def test_box_names_keep_three_digits(spark):
     frame = boxes(spark, 330).where("company = 'a'")
-    for one_task_rows in (10**6, 5):
-        names = {r["box_name"] for r in etl.name_boxes(frame, one_task_rows=one_task_rows).collect()}
-        assert {"a.room.01", "a.room.09", "a.room.10", "a.room.99", "a.room.100", "a.room.219"} <= names
-        assert len(names) == frame.count()
+    names = {r["box_name"] for r in etl.name_boxes(frame).collect()}
+    assert {"a.room.01", "a.room.09", "a.room.10", "a.room.99", "a.room.100", "a.room.219"} <= names
+    assert len(names) == frame.count()
 
 
 def test_tickets_are_numbered_from_zero(spark):

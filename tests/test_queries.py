@@ -6,8 +6,9 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as spark_entry
+from accountlens.registry import oracle, queries
 
-QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, ORACLES = queries.queries(), oracle.oracle_sql()
 
 
 def _plain(value):
@@ -44,6 +45,10 @@ def test_query_equals_oracle(name, spark, sf_dir, duck):
     assert rows
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(ORACLES) <= set(spark_entry.oracle_sql())
+
+
 def test_entry(spark):
     result = spark_entry.entry(spark)
     assert result.count() == 25
