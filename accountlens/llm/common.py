@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from accountlens.session import new_shared_path
@@ -49,9 +50,9 @@ class WordCache(dict):
         return value
 
 
-def parts(batch: pa.RecordBatch, text_at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text_at: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of text, so that what is made of a slice stays small."""
-    sizes = np.array([len(text or b"") for text in utf8(batch.column(text_at))], np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
     for first, until in zip(cuts, cuts[1:], strict=False):

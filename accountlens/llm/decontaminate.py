@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from accountlens.llm.common import CACHE_ENTRIES, Windows, parts, staged, table, utf8, words_of
+from accountlens.llm.common import Windows, parts, staged, table, utf8, words_of
 
 WINDOW, LITERALS = 8, 4
 COVERED, RUN = 0.5, 20
 #: The bitmap has 2**BITMAP_BITS bits, whatever the size of the benchmark.
 BITMAP_BITS = 22
+#: Words that a task keeps, in round figures, before it starts anew.
+KEPT_WORDS = 100_000
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}
@@ -169,7 +171,7 @@ def _document_windows(bitmap: bytes, sizes: list[int]):
         vocabulary = Vocabulary()
         for whole in batches:
             for batch in parts(whole, 1):
-                if len(vocabulary.numbers) > CACHE_ENTRIES:
+                if len(vocabulary.numbers) > KEPT_WORDS:
                     vocabulary = Vocabulary()
                 template = Template(utf8(batch.column(1)), vocabulary)
                 found = []
