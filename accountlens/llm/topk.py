@@ -64,7 +64,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     active, found, finished = queries, None, None
     for radius in range(WIDTH + 1):
         flips = [sum(1 << bit for bit in bits) for bits in combinations(range(WIDTH), radius)]
-        hits = slots(active, "query", flips).join(table_slots, ["segment", "value"]).select("query", "code", "n", "least", distance("query", "code").cast("int").alias("apart"))
+        # Without the hint the lookups, many more rows than their size as planned tells, might be broadcast.
+        hits = slots(active, "query", flips).hint("merge").join(table_slots, ["segment", "value"]).select("query", "code", "n", "least", distance("query", "code").cast("int").alias("apart"))
         if found is not None:
             hits = hits.union(found.join(active, "query", "left_semi"))
         merged = hits.groupBy("query", "code").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.min("apart").alias("apart"))
