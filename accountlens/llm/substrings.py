@@ -227,7 +227,8 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     key = F.xxhash64("doc_id", "tag")
     keyed = known.select("doc_id", "tag", "text", key.alias("key"))
     texts = keyed.mapInArrow(_filter(bitmap(sources.select(key.alias("key"))), True), keyed.schema)
-    seen = texts.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "sources")
+    # A repeated row is one source: its windows would count twice, and make its paths longer than their text.
+    seen = texts.join(per_doc, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "text", "sources")
     seen = staged(seen.mapInArrow(_sources(span), "path long, at int, anchor long, window long, proof binary, doc_id long"), "sources")
 
     windows = seen.where("window is not null").select("path", "at", "anchor", "window", "doc_id")

@@ -57,3 +57,13 @@ def test_odd_rows(odd, none):
     by = {row.doc_id: row for row in rows}
     assert by[5].n_removed == 0 and by[6].n_removed == by[6].n_words == 60_000 and by[6].kept == ""
     assert substrings.dedup(none).collect() == []
+
+
+def test_a_repeated_row_is_the_source_at_branches(spark):
+    """Its windows count once: a path is as long as its text says, and a copy under a larger id loses every word."""
+    rng = random.Random(4)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, a, b = new(30), new(15), new(15)
+    whole = " ".join(a + passage + b)
+    docs = [(1, whole), (1, whole), (2, " ".join(new(12) + passage + new(12))), (3, whole), (4, " ".join(passage)), (5, whole + " " + " ".join(new(9)))]
+    assert got(spark, docs, 8, 3) == plain(docs, 8)
