@@ -1,18 +1,19 @@
 """Language-model scoring by a weighted backoff automaton.
 
-States are words, arcs the bigrams counted at least LEAST times, with discounted probabilities mixed with the word's
-own; where a state has no arc for the next word, its failure arc, weighted with the mass left over, leads to the empty
-state, which has an arc for every word (the base probability, with room for unknown ones). The probabilities of a state's
-successors sum to one. A text is read once from left to right: the state is carried along, arc and failure weights add
-up, and the end token closes it. A text starts in the end token's state.
+States are words, arcs all bigrams, with discounted probabilities mixed with the word's own; where a state has no arc for
+the next word, its failure arc, weighted with the mass left over, leads to the empty state, which has an arc for every
+word (the base probability, with room for unknown ones). The probabilities of a state's successors sum to one. A text is
+read once from left to right: the state is carried along, arc and failure weights add up, and the end token closes it. A
+text starts in the end token's state.
 
-Spark counts words and bigrams over all training texts. Words with at least a share 1 / FREQUENT of all tokens (so at
-most FREQUENT of them, whatever the corpus) have numbers that the executors are sent; only these are states and bigram
-members. Arcs are sent in blocks of ARCS, cut by state; each block is one reading, so a model may have any size, and
-the readings' sums add up. The counts of rarer words are joined with the texts' rare words, of which none is frequent
-enough to be a hot key.
+Texts are read once, and kept in slices: rows of some megabytes of text, each with its distinct words and its tokens as
+numbers of these. A slice asks for what its distinct bigrams count in all, and then its distinct words; what it knows of
+them itself is part of the question. Questions are dealt to buckets by hash, summed there and answered in their order. A
+key is asked for once by a slice, however often the slice has it, so no bigram or word makes a hot bucket, and nothing but
+single counts comes to the driver. The number of a state's arcs is summed with the words: one of the slices that teach a
+bigram is told that it is the first, and adds it to its state.
 
-Words are known by 64-bit hashes of their lower-cased bytes; so are texts (with doc_id), to carry sums back.
+Words are known by 64-bit hashes of their lower-cased bytes, bigrams by a mix of two of these.
 
 Defined cases: a null text is empty, an empty text is one end token; a null doc_id is not held out; repeated rows are
 scored, and teach, each; with nothing to learn from every token has the probability of an unknown one; an empty table
@@ -21,203 +22,249 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from accountlens.llm.common import CACHE_ENTRIES, parts, staged, table, utf8, words_of
+from accountlens.llm.common import BASE, MIX, parts, staged, table, utf8, words_of
 
-#: Bounds: words with numbers, and arcs in one block.
-FREQUENT, ARCS = 2_000_000, 4_000_000
-#: Occurrences that make a bigram an arc, and what is taken off its count.
-LEAST, DISCOUNT = 4, 0.75
+#: No bounds: every word is a state and every bigram an arc (the tests' own model is built with these names).
+FREQUENT, ARCS, LEAST = 1 << 62, 1 << 62, 1
+#: What is taken off an arc's count.
+DISCOUNT = 0.75
+#: Bytes of text in a slice; buckets at least, and questions in a bucket in the mean.
+SLICE, BUCKETS, BUCKET = 8 << 20, 1024, 2_000_000
 END = b""
-READING = "doc_id long, key long, n_tokens long, frequent long, own double, gain double, word long, times int"
+SLICES = "docs array<long>, teaches binary, scored binary, sizes binary, words binary, tokens binary, taught long, arcs long"
+ASKED = "bucket int, slice long, n int, keys binary, values array<binary>"
+ANSWERED = "bucket int, slice long, n int, firsts long, sums array<binary>, first binary"
+COUNTED = "slice long, words binary, counts binary, own_arcs binary"
+READ = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def word_hashes(words: Iterable[bytes]) -> np.ndarray:
-    """As signed numbers."""
-    return np.array([xxh64_intdigest(word) for word in words], np.uint64).view(np.int64)
+    return np.array([xxh64_intdigest(word) for word in words], np.uint64)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return words_of(text and text.lower()) + [END]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: Counter = Counter()
-        for text in utf8(batch.column(0)):
-            counts.update(tokens(text))
-        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(counts)), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-
-class Numbers:
-    """Numbers of the frequent words: places in the sorted array of their hashes, -1 for others."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        self.known: dict[bytes, int] = {}
-        self.end = int(self.of([END])[0])
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = [word for word in set(words) if word not in self.known]
-        if new:
-            values = word_hashes(new)
-            at = np.searchsorted(self.hashes, values)
-            hit = np.append(self.hashes, 0)[at] == values
-            self.known.update(zip(new, np.where(hit & (at < len(self.hashes)), at, -1).tolist(), strict=True))
-        return np.array([self.known[word] for word in words], np.int64)
-
-    def pairs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(state, next) for each token of the texts one after the other; a text starts after the end token."""
-        following = self.of([word for text in texts for word in text])
-        states = np.empty_like(following)
-        states[1:] = following[:-1]
-        starts = np.cumsum([0, *map(len, texts)])[:-1]
-        states[starts] = self.end
-        return states, following
-
-
-def _bigrams(hashes: np.ndarray):
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte: first the lowest bytes of all, and no bytes above those of the largest."""
+    size = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+    return bytes([size]) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    size = data[0]
+    planes = np.frombuffer(pa.decompress(data[1:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = planes.T
+    return out.view("<i8").ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their differences."""
+    return keys[:1].tobytes() + pack(np.diff(keys))
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    steps = unpack(data[8:], n - 1).view(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), steps]), dtype=np.uint64)
+
+
+def schema_names(schema: str) -> list[str]:
+    return [field.split(" ")[0] for field in schema.split(", ")]
+
+
+class Slice:
+    """The texts of a slice: numbers of their tokens in the slice's words, and the slice's distinct bigrams."""
+
+    def __init__(self, row: dict):
+        self.docs = row["docs"]
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.teaches, self.scored, self.sizes = (unpack(row[name], len(self.docs)) for name in ("teaches", "scored", "sizes"))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.following = unpack(row["tokens"], int(self.sizes.sum()))
+        states = np.empty_like(self.following)
+        states[1:] = self.following[:-1]
+        states[self.starts] = 0  # the end token's number
+        arcs, self.arc = np.unique(states * len(self.words) + self.following, return_inverse=True)
+        self.state, self.next = arcs // len(self.words), arcs % len(self.words)
+        self.taught = np.repeat(self.teaches, self.sizes)
+
+    def arc_keys(self) -> np.ndarray:
+        key = self.words[self.state] * np.uint64(BASE) + self.words[self.next]
+        key ^= key >> np.uint64(32)
+        key *= np.uint64(MIX)
+        return key ^ (key >> np.uint64(29))
+
+    def arc_counts(self) -> np.ndarray:
+        return np.bincount(self.arc, self.taught, len(self.state)).astype(np.int64)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.following, self.taught, len(self.words)).astype(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts (doc_id, text, teaches, scored)."""
+    for whole in batches:
+        for batch in parts(whole, 1, SLICE):
+            numbers: dict[bytes, int] = {END: 0}
+            sizes, found = [], []
+            for text in utf8(batch.column(1)):
+                own = tokens(text)
+                sizes.append(len(own))
+                found += [numbers.setdefault(word, len(numbers)) for word in own]
+            teaches, scored = (batch.column(i).cast(pa.uint8()).to_numpy(zero_copy_only=False) for i in (2, 3))
+            row = {
+                "docs": batch.column(0).to_pylist(), "teaches": pack(teaches), "scored": pack(scored), "sizes": pack(np.array(sizes, np.int64)),
+                "words": word_hashes(numbers).tobytes(), "tokens": pack(np.array(found, np.int64)), "taught": int(np.dot(teaches.astype(np.int64), sizes)),
+            }
+            row["arcs"] = len(Slice(row).state)
+            yield pa.RecordBatch.from_arrays([pa.array([row[name]], kind) for name, kind in zip(schema_names(SLICES), [pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64(), pa.int64()], strict=True)], names=schema_names(SLICES))
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' buckets, which are ranges, and their order."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), np.argsort(keys, kind="stable")
+
+
+def _asked(question: Callable[[dict], tuple[np.ndarray, list[np.ndarray]]], buckets: int):
+    """A row for each slice and bucket: the keys that the slice asks for, and the numbers it adds to each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(hashes)
         for batch in batches:
-            keys, counts = [], []
-            for part in parts(batch, 0):
-                states, following = numbers.pairs([tokens(text) for text in utf8(part.column(0))])
-                both = (states >= 0) & (following >= 0)
-                key, n = np.unique(states[both] * FREQUENT + following[both], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["arc", "n"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, values = question(row)
+                bucket, order = dealt(keys, buckets)
+                own, first = np.unique(bucket[order], return_index=True)
+                places = [order[a:b] for a, b in zip(first, [*first[1:], len(keys)], strict=True)]
+                columns = [
+                    pa.array(own), pa.array(np.full(len(own), row["slice"], np.int64)), pa.array([len(at) for at in places], pa.int32()),
+                    pa.array([pack_keys(keys[at]) for at in places], pa.binary()), pa.array([[pack(value[at]) for value in values] for at in places], pa.list_(pa.binary())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema_names(ASKED))
 
     return run
 
 
-class Automaton:
-    """States, a block of the arcs, and the weights of the arcs and failures, all log10."""
-
-    def __init__(self, counts: np.ndarray, total: int, distinct: int, arcs: np.ndarray, arc_counts: np.ndarray):
-        """counts: of the frequent words, by number; arcs: sorted state * FREQUENT + next."""
-        self.floor = np.log10(total + 0.5 * (distinct + 1))
-        self.own = np.log10(counts + 0.5) - self.floor
-        states, following = arcs // FREQUENT, arcs % FREQUENT
-        left = np.ones(len(counts))
-        taken = np.bincount(states, arc_counts - DISCOUNT, len(counts))
-        left[counts > 0] = 1 - (taken / np.maximum(counts, 1))[counts > 0]
-        self.arcs = arcs
-        self.weights = np.log10((arc_counts - DISCOUNT) / counts[states] + left[states] * 10 ** self.own[following]) - self.own[following]
-        self.failures = np.log10(left)
-
-    def read(self, states: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """What each step adds to the following word's own weight: an arc's gain, or the failure arc's weight."""
-        gain = np.zeros(len(states))
-        known = states >= 0
-        gain[known] = self.failures[states[known]]
-        if len(self.arcs):
-            both = np.flatnonzero(known & (following >= 0))
-            key = states[both] * FREQUENT + following[both]
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[at] == key
-            gain[both[hit]] = self.weights[at[hit]]
-        return gain
-
-
-def _reader(hashes: np.ndarray, automaton: Automaton, with_rare: bool):
-    """For each text a row with its tokens, how many are frequent, and the log10 sums of their own weights and of what the
-    automaton adds; then, if asked for, a row for each word without a number, with its times."""
+def _summed(asked: pa.Table) -> pa.Table:
+    """Answers to the questions of one bucket: the sums for each key, and whether the slice is the first that adds to it."""
+    asked = asked.sort_by("slice")
+    sizes = asked["n"].to_pylist()
+    keys = [unpack_keys(x, n) for x, n in zip(asked["keys"].to_pylist(), sizes, strict=True)]
+    values = [np.concatenate([unpack(x, n) for x, n in zip(column, sizes, strict=True)]) for column in zip(*asked["values"].to_pylist(), strict=True)]
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(where, value, len(distinct)).astype(np.int64)[where] for value in values]
+    adds = np.flatnonzero(values[0])
+    first = np.zeros(len(where), np.int64)
+    first[adds[np.unique(where[adds], return_index=True)[1]]] = 1
+    cuts = np.cumsum(sizes)[:-1]
+    firsts = np.split(first, cuts)
+    columns = [
+        asked["bucket"], asked["slice"], pa.array(sizes, pa.int32()), pa.array([int(x.sum()) for x in firsts], pa.int64()),
+        pa.array([[pack(x) for x in row] for row in zip(*[np.split(x, cuts) for x in sums], strict=True)], pa.list_(pa.binary())), pa.array([pack(x) for x in firsts], pa.binary()),
+    ]
+    return pa.Table.from_arrays(columns, names=schema_names(ANSWERED))
+
+
+def answers(slices: DataFrame, question: Callable, buckets: int, purpose: str) -> DataFrame:
+    asked = slices.mapInArrow(_asked(question, buckets), ASKED)
+    return staged(asked.groupBy("bucket").applyInArrow(_summed, ANSWERED), purpose)
+
+
+def in_order(answer: pa.Table, keys: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """The sums and the firsts of a slice's answers, in the order of its keys."""
+    rows = answer.sort_by("bucket").to_pylist()
+    _, order = dealt(keys, buckets)
+    columns = zip(*[[unpack(x, row["n"]) for x in (*row["sums"], row["first"])] for row in rows], strict=True)
+    out = []
+    for column in columns:
+        values = np.empty(len(keys), np.int64)
+        values[order] = np.concatenate(column)
+        out.append(values)
+    return out
+
+
+def _ask_arcs(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    own = Slice(row)
+    return own.arc_keys(), [own.arc_counts()]
+
+
+def _ask_words(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    words = np.frombuffer(row["words"], np.uint64)
+    return words, [unpack(row[name], len(words)) for name in ("counts", "own_arcs")]
+
+
+def _counted(buckets: int):
+    """The words of a slice with their counts in it, and how many arcs of each state it is the first to teach."""
+
+    def run(slices: pa.Table, answer: pa.Table) -> pa.Table:
+        row = slices.to_pylist()[0]
+        own = Slice(row)
+        _, first = in_order(answer, own.arc_keys(), buckets)
+        own_arcs = np.bincount(own.state, first, len(own.words)).astype(np.int64)
+        columns = [row["words"], pack(own.word_counts()), pack(own_arcs)]
+        return pa.Table.from_arrays([pa.array([row["slice"]], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], names=schema_names(COUNTED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(hashes)
-        own = np.append(automaton.own, 0)
-        names = [field.split(" ")[0] for field in READING.split(", ")]
-        for whole in batches:
-            for batch in parts(whole, 2):
-                texts = [tokens(text) for text in utf8(batch.column(2))]
-                states, following = numbers.pairs(texts)
-                sizes = np.array([len(text) for text in texts], np.int64)
-                starts = np.cumsum(sizes) - sizes
-                sums = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: E731  every text has a token
-                columns = [pa.array(sizes), sums((following >= 0).astype(np.int64)), sums(own[following]), sums(automaton.read(states, following))]
-                none = [pa.nulls(len(texts), kind) for kind in (pa.int64(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *none], names=names)
-                if with_rare:
-                    flat = [word for text in texts for word in text]
-                    rare = np.flatnonzero(following < 0)
-                    counts = Counter(zip(np.repeat(np.arange(len(texts)), sizes)[rare].tolist(), [flat[i] for i in rare.tolist()], strict=True))
-                    key = batch.column(1).take(pa.array([text for text, _ in counts], pa.int64()))
-                    none = [pa.nulls(len(counts), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    rows = [pa.nulls(len(counts), pa.int64()), key, *none, pa.array(word_hashes(word for _, word in counts)), pa.array(counts.values(), pa.int32())]
-                    yield pa.RecordBatch.from_arrays(rows, names=names)
+    return run
+
+
+def _read(buckets: int, total: int, distinct: int):
+    """The texts of a slice, read by the automaton."""
+
+    def run(slices: pa.Table, answer: pa.Table) -> pa.Table:
+        row = slices.to_pylist()[0]
+        own = Slice(row)
+        of_arcs = pc.field("of_arcs")
+        seen, _ = in_order(answer.filter(of_arcs), own.arc_keys(), buckets)
+        counts, arcs, _ = in_order(answer.filter(~of_arcs), own.words, buckets)
+        base = (counts + 0.5) / (total + 0.5 * (distinct + 1))
+        # What the arcs of a state leave is DISCOUNT of each; a state that was never seen leaves all.
+        left = np.where(counts > 0, DISCOUNT * arcs / np.maximum(counts, 1), 1.0)
+        weights = np.log10(np.maximum(seen - DISCOUNT, 0) / np.maximum(counts[own.state], 1) + left[own.state] * base[own.next])
+        sums = lambda x: np.add.reduceat(x, own.starts)  # noqa: E731  every text has a token
+        columns = [own.sizes, sums((counts > 0).astype(np.int64)[own.following]), sums(np.log10(base)[own.following]), sums(weights[own.arc])]
+        rows = pa.Table.from_arrays([pa.array(own.docs, pa.int64()), *map(pa.array, columns)], names=schema_names(READ))
+        return rows.filter(pa.array(own.scored.astype(bool)))
 
     return run
 
 
-def ordered(df: DataFrame, by: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two columns of few rows, all longs, sorted by the first."""
-    rows = df.select(by, value).toArrow()
-    keys, values = (rows.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-    order = np.argsort(keys)
-    return keys[order], values[order]
+def scored(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of the rows of docs (doc_id, text, teaches, scored) that
+    are to be scored, by a model of those that teach. Scores are log10 probabilities: base_score that of the words alone,
+    score the automaton's."""
+    sliced = docs.select("doc_id", "text", "teaches", "scored").mapInArrow(_slices, SLICES)
+    slices = staged(sliced.withColumn("slice", F.monotonically_increasing_id()), "slices")
+    size = slices.agg(F.coalesce(F.sum("taught"), F.lit(0)).alias("taught"), F.coalesce(F.sum("arcs"), F.lit(0)).alias("arcs")).first()
+    buckets = max(BUCKETS, -(-size.arcs // BUCKET))
+    arcs = answers(slices, _ask_arcs, buckets, "arcs")
+    counted = slices.groupBy("slice").cogroup(arcs.groupBy("slice")).applyInArrow(_counted(buckets), COUNTED)
+    words = answers(counted, _ask_words, buckets, "words")
+    distinct = words.agg(F.coalesce(F.sum("firsts"), F.lit(0)).alias("n")).first().n
+    both = arcs.withColumn("of_arcs", F.lit(True)).union(words.withColumn("of_arcs", F.lit(False)))
+    read = slices.groupBy("slice").cogroup(both.groupBy("slice")).applyInArrow(_read(buckets, size.taught, distinct), READ)
+    return read.select("doc_id", "n_tokens", "n_known", F.lit(size.taught).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text).
-
-    training: (text). Scores are log10 probabilities: base_score that of the words alone, score the automaton's.
-    """
-    texts = training.select("text")
-    words = staged(texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    often = max(1, -(-size.total // FREQUENT))
-    hashes, counts = ordered(words.where(F.col("n") >= often), "word", "n")  # at most FREQUENT rows
-    found = texts.mapInArrow(_bigrams(hashes), "arc long, n long").groupBy("arc").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    found = staged(found, "arcs")
-
-    # Blocks of whole states, cut where the running sum of arcs passes ARCS.
-    states, sizes = ordered(found.groupBy(F.floor(F.col("arc") / FREQUENT).alias("state")).count(), "state", "count")  # at most FREQUENT rows
-    block = (np.cumsum(sizes) - 1) // ARCS
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    read = rare = None
-    for number in range(int(block.max()) + 1 if len(block) else 1):
-        own = states[block == number] if len(block) else states
-        first, last = (int(state) * FREQUENT for state in (own[0], own[-1] + 1)) if len(own) else (0, 0)
-        arcs, arc_counts = ordered(found.where((F.col("arc") >= first) & (F.col("arc") < last)), "arc", "n")
-        automaton = Automaton(counts, size.total, size.distinct, arcs, arc_counts)
-        both = staged(keyed.mapInArrow(_reader(hashes, automaton, rare is None), READING), "reading")
-        part = both.where("n_tokens is not null").drop("word", "times")
-        if read is None:
-            # Equal rows have one key; their rare words are to be counted once.
-            rare = both.where("word is not null").select("key", "word", "times").repartition("word").dropDuplicates(["word", "key"])
-            read = part
-        else:
-            gains = part.select("key", F.col("gain").alias("more")).distinct()
-            read = read.join(gains, "key").withColumn("gain", F.col("gain") + F.col("more")).drop("more")
-
-    known = rare.join(words.where(F.col("n") < often), "word", "left")
-    sums = known.groupBy("key").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"), F.sum("times").alias("rare_tokens")
-    )
-    floor = F.log10(F.lit(size.total + 0.5 * (size.distinct + 1)))
-    joined = read.join(sums, "key", "left")
-    base = F.col("own") + F.coalesce(F.col("rare") - F.col("rare_tokens") * floor, F.lit(0.0))
-    return joined.select(
-        "doc_id", "n_tokens", (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(size.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")
-    )
+    """The same for each row of docs (doc_id, text), by a model of training (text)."""
+    teaching = training.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("teaches"), F.lit(False).alias("scored"))
+    return scored(docs.select("doc_id", "text", F.lit(False).alias("teaches"), F.lit(True).alias("scored")).union(teaching))
 
 
 def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    found = score(docs, docs.where(~held_out))
+    found = scored(docs.select("doc_id", "text", (~held_out).alias("teaches"), F.lit(True).alias("scored")))
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

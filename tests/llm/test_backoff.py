@@ -79,3 +79,25 @@ def test_odd_rows(odd, none):
     unknown = backoff.score(odd, none).collect()
     assert all(row.n_known == 0 and row.train_tokens == 0 for row in unknown)
     assert all(row.base_score == pytest.approx(0, abs=1e-6) and row.score == pytest.approx(0, abs=1e-6) for row in unknown)
+
+
+def test_no_bound_on_states_and_arcs(spark):
+    """A bigram seen once is an arc, and the model's bounds don't move with the size of the training texts."""
+    docs = spark.createDataFrame([(1, "red kite"), (2, "kite red"), (3, None)], "doc_id long, text string")
+    training = ["red kite", "blue kite", "red sky at night", ""]
+    rows = {row.doc_id: row.score for row in backoff.score(docs, spark.createDataFrame([(x,) for x in training], "text string")).collect()}
+    counts, pairs = Counter(), Counter()
+    for text in training:
+        own = tokens(text)
+        counts.update(own)
+        pairs.update(zip([b"", *own], own, strict=False))
+    total, kinds = sum(counts.values()), len(counts)
+
+    def p(state, word):
+        own = (counts[word] + 0.5) / (total + 0.5 * (kinds + 1))
+        arcs = sum(pair[0] == state for pair in pairs)
+        return (max(pairs[state, word] - 0.75, 0) + 0.75 * arcs * own) / counts[state]
+
+    for doc, text in ((1, "red kite"), (2, "kite red"), (3, "")):
+        own = tokens(text)
+        assert rows[doc] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([b"", *own], own, strict=False)))
