@@ -1,19 +1,21 @@
 """Benchmark decontamination by templates.
 
 Texts are canonicalised: numbers, units and names (capitalised words inside a sentence) become typed
-placeholders, everything else a lower-case literal without punctuation. Windows of WINDOW template tokens
-of the documents are joined with those of the benchmark. Matching windows of a document and an item that
-lie on one diagonal are an alignment; it counts only if its slots are consistent, that is, if each number,
-unit or name of the item stands for one value in the document wherever it occurs. A document is
-contaminated by an item if consistent alignments cover COVERED of the item's windows, or if one of them
-covers RUN tokens.
+placeholders, everything else a case-folded literal without punctuation. Windows of WINDOW template tokens
+with LITERALS literals or more are joined with those of the benchmark; so are all plain windows, those of the
+case-folded tokens with their values, which find copies whatever their case and however few literals they have.
+Matching windows of a document and an item that lie on one diagonal are an alignment; it counts only if its
+slots are consistent, that is, if each number, unit or name of the item stands for one value in the document
+wherever it occurs. A document is contaminated by an item if consistent alignments cover COVERED of the item's
+windows or, by templates alone, of its template windows, or if one of them covers RUN tokens.
 
 A bitmap of fixed size, made of the benchmark's window hashes, goes with the scan and keeps almost all
 other windows from the join; what it lets through wrongly, the join removes. Joins and groups are on
 templates, documents and items only, and the join's benchmark side has few rows per template.
 
 Defined cases: null and empty texts have no window; an item of fewer than WINDOW tokens is one window of its
-own length, and one of fewer than LITERALS literals is never matched; a null doc_id or item_id takes no part;
+own length, and one without a token is never matched; letters of scripts without blanks are a token each; a null
+doc_id or item_id takes no part;
 items and documents that repeat an id are judged as one; empty tables give an empty result; other columns
 are ignored.
 """
@@ -51,7 +53,11 @@ UNITS = frozenset(
     "liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros percent degree degrees kmh mph $ € £ % °".split()
 )
-TOKEN = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[$€£%°]")
+UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+LETTER = rf"[^\W\d_{UNSPACED}]"
+TOKEN = re.compile(rf"[0-9]+(?:[.,:/][0-9]+)*|{LETTER}+(?:['’-]{LETTER}+)*|(?![\W\d_])[{UNSPACED}]|[$€£%°]")
+#: What the template of a plain window begins with, and the seed of its tokens' hashes.
+PLAIN, SEED = "=", 1
 SENTENCE_END = re.compile(r"[.!?:;|]\W*$")
 
 
@@ -69,6 +75,7 @@ class Vocabulary:
         self.tokens: list[str] = []
         self.kinds: list[int] = []
         self.codes: list[int] = []
+        self.plain: list[int] = []
         self.first: list[int] = [0]
         self.capital: list[bool] = []
         self.ends: list[bool] = []
@@ -80,11 +87,12 @@ class Vocabulary:
             text = word.decode(errors="replace")
             raw = TOKEN.findall(text)
             for token in raw:
-                token = token.lower()
+                token = token.casefold()
                 kind = kind_of(token)
                 self.tokens.append(token)
                 self.kinds.append(kind)
                 self.codes.append(xxh64_intdigest(PLACEHOLDER[kind] if kind else token))
+                self.plain.append(xxh64_intdigest(token, SEED))
             self.first.append(len(self.tokens))
             self.capital.append(bool(raw) and raw[0][0].isupper() and not self.kinds[self.first[-2]])
             self.ends.append(bool(SENTENCE_END.search(text)))
@@ -119,17 +127,20 @@ class Template:
         self.begin = np.searchsorted(self.text, np.arange(len(lengths)))
         self.length = np.searchsorted(self.text, np.arange(len(lengths)), side="right") - self.begin
         self.windows = Windows(self.codes)
+        self.plain_windows = Windows(np.array(vocabulary.plain, np.uint64)[where])
         self.literals = np.concatenate([[0], np.cumsum(self.kinds == LITERAL)])
 
-    def starts(self, size: int) -> np.ndarray:
-        """Of the windows of so many tokens within one text that have enough literals."""
+    def starts(self, size: int, plain: bool) -> np.ndarray:
+        """Of the windows of so many tokens within one text; those of a template have enough literals."""
         at = np.arange(max(0, len(self.text) - size + 1))
         at = at[self.text[at] == self.text[at + size - 1]]
-        return at[self.literals[at + size] - self.literals[at] >= LITERALS]
+        return at if plain else at[self.literals[at + size] - self.literals[at] >= LITERALS]
 
-    def shown(self, at: int, size: int) -> tuple[str, list[str]]:
+    def shown(self, at: int, size: int, plain: bool) -> tuple[str, list[str]]:
         """The template of a window, and what fills its slots."""
         tokens = [self.vocabulary.tokens[i] for i in self.where[at : at + size]]
+        if plain:
+            return " ".join([PLAIN, *tokens]), []
         kinds = self.kinds[at : at + size].tolist()
         template = " ".join(PLACEHOLDER.get(kind, token) for kind, token in zip(kinds, tokens, strict=True))
         return template, [token for kind, token in zip(kinds, tokens, strict=True) if kind]
@@ -138,9 +149,9 @@ class Template:
 ROWS = "id long, place int, template string, slots array<string>"
 
 
-def _rows(batch: pa.RecordBatch, template: Template, found: list[tuple[int, int]]) -> pa.RecordBatch:
-    shown = [template.shown(at, size) for at, size in found]
-    at = np.array([at for at, _ in found], np.int64)
+def _rows(batch: pa.RecordBatch, template: Template, found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    shown = [template.shown(*one) for one in found]
+    at = np.array([at for at, _, _ in found], np.int64)
     texts = template.text[at]
     return pa.RecordBatch.from_arrays(
         [
@@ -158,10 +169,12 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for batch in parts(whole, 1):
             template = Template(utf8(batch.column(1)), Vocabulary())
             short = template.length < WINDOW
-            found = [(int(at), WINDOW) for at in template.starts(WINDOW)]
+            found = [(int(at), WINDOW, plain) for plain in (False, True) for at in template.starts(WINDOW, plain)]
             for at, size in zip(template.begin[short].tolist(), template.length[short].tolist(), strict=True):
                 if template.literals[at + size] - template.literals[at] >= LITERALS:
-                    found.append((at, size))
+                    found.append((at, size, False))
+                if size:
+                    found.append((at, size, True))
             yield _rows(batch, template, found)
 
 
@@ -175,11 +188,12 @@ def _document_windows(bitmap: bytes, sizes: list[int]):
                     vocabulary = Vocabulary()
                 template = Template(utf8(batch.column(1)), vocabulary)
                 found = []
-                for size in sizes:
-                    starts = template.starts(size)
-                    bit = template.windows.hashes(starts, size) & np.uint64((1 << BITMAP_BITS) - 1)
+                for size, plain in ((size, plain) for size in sizes for plain in (False, True)):
+                    starts = template.starts(size, plain)
+                    windows = template.plain_windows if plain else template.windows
+                    bit = windows.hashes(starts, size) & np.uint64((1 << BITMAP_BITS) - 1)
                     hit = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                    found += [(int(at), size) for at in starts[hit.astype(bool)]]
+                    found += [(int(at), size, plain) for at in starts[hit.astype(bool)]]
                 if found:
                     yield _rows(batch, template, found)
 
@@ -191,7 +205,9 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         places, sizes = [], []
         for template in batch.column(0).to_pylist():
-            codes = np.array([xxh64_intdigest(token) for token in template.split(" ")], np.uint64)
+            tokens = template.split(" ")
+            plain = tokens[0] == PLAIN
+            codes = np.array([xxh64_intdigest(token, SEED if plain else 0) for token in tokens[plain:]], np.uint64)
             value = Windows(codes).hashes(np.zeros(1, np.int64), len(codes))[0]
             places.append(int(value) & ((1 << BITMAP_BITS) - 1))
             sizes.append(len(codes))
@@ -217,9 +233,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scanned = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null and text is not null")
     found = scanned.mapInArrow(_document_windows(np.packbits(bitmap, bitorder="little").tobytes(), sorted(sizes)), ROWS)
     found = staged(found, "template-windows")
-    width = F.size(F.split("template", " ")).alias("width")
+    plain = F.startswith("template", F.lit(PLAIN)).alias("plain")
+    width = (F.size(F.split("template", " ")) - plain.cast("int")).alias("width")
     left = found.select(F.col("id").alias("doc_id"), F.col("place").alias("at"), "template", F.col("slots").alias("here"))
-    right = items.select(F.col("id").alias("item_id"), "place", "template", "slots", width)
+    right = items.select(F.col("id").alias("item_id"), "place", "template", "slots", width, plain)
     pairs = left.join(right, "template").withColumn("diagonal", F.col("at") - F.col("place")).drop("template", "at")
     line = ["doc_id", "item_id", "diagonal"]
     filled = pairs.select(*line, F.explode(F.arrays_zip("slots", "here")).alias("slot")).select(*line, "slot.slots", "slot.here")
@@ -227,15 +244,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         filled.groupBy(*line, "slots").agg(F.min("here").alias("least"), F.max("here").alias("most"))
         .groupBy(*line).agg(F.bool_or(F.col("least") != F.col("most")).alias("clash"), F.bool_and((F.col("least") == F.col("slots")) & (F.col("most") == F.col("slots"))).alias("same"))
     )
-    lines = pairs.groupBy(*line).agg(F.collect_set("place").alias("places"), (F.max("place") - F.min("place") + F.max("width")).alias("run"), F.count_distinct("place").alias("windows"), F.max("width").alias("width"))
+    by_template = F.when(~F.col("plain"), F.col("place"))
+    lines = pairs.groupBy(*line).agg(F.collect_set("place").alias("places"), F.collect_set(by_template).alias("by_template"), (F.max("place") - F.min("place") + F.max("width")).alias("run"), F.count_distinct("place").alias("windows"), F.max("width").alias("width"))
     # A line with gaps is as long as its windows, not as its ends are apart.
     run = F.least("run", F.col("windows") + F.col("width") - 1)
     kept = lines.join(clashes, line, "left").where(~F.coalesce("clash", F.lit(False)))
-    whole = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("place").alias("of"))
+    whole = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("place").alias("of"), F.count_distinct(F.when(~plain, F.col("place"))).alias("templates"))
+    distinct = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name))))
     per_pair = kept.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"), F.max(run).alias("run"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact")
+        distinct("places").alias("windows"), distinct("by_template").alias("by_template"), F.max(run).alias("run"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact")
     )
-    judged = per_pair.join(whole, "item_id").withColumn("covered", F.col("windows") / F.col("of"))
+    judged = per_pair.join(whole, "item_id").withColumn("covered", F.greatest(F.col("windows") / F.col("of"), F.when(F.col("templates") > 0, F.col("by_template") / F.col("templates"))))
     return judged.where((F.col("covered") >= COVERED) | (F.col("run") >= RUN)).select("doc_id", "item_id", "covered", "run", "exact")
 
 

@@ -41,3 +41,16 @@ def test_odd_rows(spark, odd, none):
     assert d.contaminated(none, items).collect() == []
     assert d.contaminated(odd, items.where("false")).collect() == []
     assert [r.doc_id for r in d.contaminated(odd.withColumnRenamed("text", "old").selectExpr("doc_id", f"'{ITEM}' as text", "old as template").where("doc_id = 4"), items).collect()] == [4]
+
+
+def test_copies_of_any_item_whatever_its_case_and_literals(spark):
+    items = [
+        (1, ITEM), (2, "The Old Man And The Sea By Ernest Hemingway"), (3, "Compute 3 + 4 * 12 - 7 * 15 + 8 / 2 and 9 - 1"),
+        (4, "Anna Berta Clara Dora Emma Frieda Greta Hanna Ida"), (5, "日本の首都はどこですか"), (6, "5 kg"), (7, "Straße nach Süden"), (8, "!!!"),
+    ]
+    docs = [(100 + item, f"x y z {text} and so on") for item, text in items]
+    docs += [(200 + item, f"x y z {text.lower()} and so on") for item, text in items] + [(300 + item, f"x y z {text.upper()} and so on") for item, text in items]
+    docs += [(405, "これは日本の首都はどこですかという問題"), (403, "Compute 5 + 6 * 13 - 8 * 16 + 9 / 3 and 7 - 2"), (406, "6 kg"), (404, "Otto Paul Quirin Rolf Sepp Toni Udo Veit Willi")]
+    rows = found(spark, docs, items)
+    assert set(rows) == {(n + item, item) for n in (100, 200, 300) for item, _ in items if item != 8} | {(405, 5)}
+    assert all(row.covered == 1 for (doc, item), row in rows.items() if item not in (1, 7) or doc < 300)
