@@ -2,9 +2,11 @@
 
 Base entities are regular expressions with checks. They are also the seeds of a bootstrap: the words around
 a seed make lexical patterns, and identifier-like tokens that no base pattern takes are the candidates. Spark
-scores the bipartite graph of patterns and instances in rounds: a pattern is worth the share of its instances
-that are trusted, an instance what its patterns make likely together. A candidate in the context of a
-confident, well supported pattern is a discovered identifier of the kind whose shape it has.
+scores the bipartite graph of patterns and instances in rounds: a pattern is worth the share that trusted
+instances of its kind have of those that speak for or against it; against it are those of another kind or without
+a shape, and unseen ones of its kind's shape say nothing. An instance is trusted if it is a seed or has a confident,
+well supported pattern. Rounds go on until no more are trusted. A candidate in the context of a confident pattern is
+a discovered identifier of the kind whose shape it has.
 
 Everything is DataFrame functions. Texts are scanned once; what is found in a text stays in its row, and only
 found tokens, without their texts, are shuffled.
@@ -44,8 +46,8 @@ SHAPES = {
 }
 DIGITS = {"card": (12, 19), "phone": (7, 15)}
 
-#: A pattern needs so many trusted instances, and it and its instances so much confidence; rounds of scoring.
-SUPPORT, CONFIDENT, ROUNDS = 3, 0.8, 3
+#: A pattern needs so many trusted instances, and to be worth so much.
+SUPPORT, CONFIDENT = 3, 0.8
 #: Characters on either side of a token in which its context is looked for.
 CONTEXT = 80
 #: Matches that are put together at a time.
@@ -171,22 +173,31 @@ def occurrences(found: DataFrame) -> DataFrame:
 def confident_patterns(found: DataFrame) -> DataFrame:
     """(pattern, kind, worth) of the patterns that the bootstrap over occurrences trusts.
 
-    A pattern's worth is the trust in its instances of the kind over all its instances, of whatever kind or none.
+    What is trusted only grows from round to round, and with it the worth of a pattern, so the rounds come to an end.
     """
     edges = found.select(F.explode("patterns").alias("pattern"), "kind", "instance", "seed")
     edges = checkpointed(edges.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")))
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    typed = edges.where("kind is not null").join(size, "pattern").withColumn("trust", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        worth = typed.groupBy("pattern", "kind").agg(
-            (F.sum("trust") / F.max("size")).alias("worth"), F.sum((F.col("trust") >= CONFIDENT).cast("int")).alias("support")
-        )
+    fitting = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("fitting"))
+    # Others would not be worth enough if all their fitting instances were trusted.
+    able = fitting.join(size, "pattern").where((F.col("fitting") >= SUPPORT) & (F.col("fitting") / F.col("size") >= CONFIDENT))
+    able = able.select("pattern", "kind", (F.col("size") - F.col("fitting")).alias("against"))
+    seeds = edges.where("seed").select("kind", "instance").distinct()
+
+    def trusting(typed: DataFrame, more: DataFrame) -> DataFrame:
+        joined = typed.join(more.withColumn("more", F.lit(True)), ["kind", "instance"], "left")
+        return checkpointed(joined.withColumn("trusted", F.col("trusted") | F.coalesce("more", F.lit(False))).drop("more"))
+
+    typed = trusting(edges.drop("seed").withColumn("trusted", F.lit(False)).join(able, ["pattern", "kind"]), seeds)
+    trusted = typed.where("trusted").count()
+    while True:
+        worth = typed.groupBy("pattern", "kind").agg(F.sum(F.col("trusted").cast("int")).alias("support"), F.max("against").alias("against"))
+        worth = worth.select("pattern", "kind", "support", (F.col("support") / F.greatest(F.col("support") + F.col("against"), F.lit(1))).alias("worth"))
         good = checkpointed(worth.where((F.col("worth") >= CONFIDENT) & (F.col("support") >= SUPPORT)).drop("support"))
-        doubt = F.least(F.col("worth"), F.lit(0.999))
-        likely = typed.join(good, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - doubt)))).alias("likely"))
-        scored = typed.join(likely, ["kind", "instance"], "left")
-        typed = checkpointed(scored.withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.greatest("trust", F.coalesce("likely", F.lit(0.0))))).drop("likely"))
-    return good
+        typed = trusting(typed, typed.join(good, ["pattern", "kind"], "left_semi").select("kind", "instance").distinct())
+        before, trusted = trusted, typed.where("trusted").count()
+        if trusted == before:
+            return good
 
 
 def entities(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,23 @@ def test_mask(spark, odd, none):
 def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (1, "x"), (None, "a@b.cd")], "doc_id long, text string")
     assert sorted(len(row.spans) for row in pii.entities(docs).collect()) == [0, 1, 1, 1]
+
+
+def added(spark, docs):
+    rows = pii.entities(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    return sorted(docs[row.doc_id][x.start : x.end] for row in rows for x in row.spans if x not in row.base)
+
+
+def test_unseen_identifiers_do_not_speak_against_their_pattern(spark):
+    local = [f"(555) 010-{i}" for i in range(2000, 2040)]
+    docs = [f"Please ring mobile number +1 (555) 010-{i} today" for i in range(1000, 1010)] + [f"Please ring mobile number {x} today" for x in local]
+    # Here three tokens of no kind speak against it.
+    docs += [f"Our stock article +1 (555) 010-{i} sells" for i in range(1000, 1003)] + [f"Our stock article {x} sells" for x in ("12ab34", "56cd78", "91ef23", "555 010 8888")]
+    assert added(spark, docs) == local
+
+
+def test_long_chains_of_patterns(spark):
+    places = ["alpha gate", "bravo hall", "cedar lane", "delta road", "ember park", "fable bank", "grove mill"]
+    numbers = [[f"+1 (555) 010-{i}" for i in range(1000, 1004)]] + [[f"(555) 010-{k}{i:03d}" for i in range(4)] for k in range(2, 2 + len(places))]
+    docs = [f"see {place} {x} there" for place, old, new in zip(places, numbers, numbers[1:]) for x in (*old, *new)]
+    assert added(spark, docs) == sorted(x for own, times in zip(numbers[1:], [2] * (len(places) - 1) + [1]) for x in own * times)
