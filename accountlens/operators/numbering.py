@@ -1,50 +1,34 @@
 """Running numbers per group that survive a group holding a large share of the rows."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Rows of a slice that differ in nothing but the tie-break are cut into 2**TIE_BITS parts.
-TIE_BITS = 6
+from accountlens.session import stored
+
+#: monotonically_increasing_id() has a partition's number above so many bits, a row's number in it below.
+ROW_BITS = 33
 
 
 def running_number(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """1, 2, 3, ... per `keys` in ascending `order`.
+    """1, 2, 3, ... per `keys` in ascending `order`, nulls first; without keys over all rows.
 
-    A group is cut into slices: the rows with one value of the first order column, and if that
-    is the only one, one part of the tie-break's range. Slices are counted, map-side first, and
-    added up within a period (a day, for instants) and over periods. A row's number is its number
-    in its slice plus those counts, so no task sorts a whole group. Rows are shuffled once: the
-    join of the counts has the partitioning of the window. Nothing runs before the caller asks
-    for rows.
+    Rows are dealt out and sorted by ranges of keys, order and a digest of the whole row, so that a group, and a
+    single value of the order within it, spreads over as many tasks as it needs; the digest makes the order total
+    but for rows equal in every column. They are stored once with their places. A range then has for each group
+    its first place and its count; added up over the ranges of the group, that gives what the place must be
+    lowered by. Only rows equal in every column stay together.
     """
-    group, period, piece, tie, before = "_group", "_period", "_slice", "_tie", "_before"
-    first = F.col(order[0])
-    instant = isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
-    # Rows equal in every column may change places, others must not.
+    at, part, tie, first, shift = "_at", "_part", "_tie", "_first", "_shift"
     tied = df.withColumn(tie, F.xxhash64(*[F.col(c) for c in df.columns]))
-    part = F.shiftright(tie, 64 - TIE_BITS) if len(order) == 1 else F.lit(0)
+    sort = [*keys, *order, tie]
+    ranged = tied.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    placed = stored(ranged.select(*df.columns, F.monotonically_increasing_id().alias(at)), "numbered")
     # In a struct a NULL is a value like any other, to a join as well.
-    sliced = tied.select(
-        "*",
-        F.struct(*keys).alias(group),
-        F.struct((F.date_trunc("day", first) if instant else first).alias("p")).alias(period),
-        F.struct(first.alias("v"), part.alias("t")).alias(piece),
-    )
-    slices = sliced.groupBy(group, period, piece).count()
-    periods = _before(slices.groupBy(group, period).agg(F.sum("count").alias("count")), [group], period, "_earlier")
-    within = _before(slices, [group, period], piece, "_inside")
-    offsets = within.join(periods.drop("count"), [group, period]).select(
-        group, piece, (F.col("_inside") + F.col("_earlier")).alias(before)
-    )
-    by_slice = Window.partitionBy(group, piece).orderBy(*order, tie)
-    numbered = sliced.withColumn(name, F.row_number().over(by_slice))
-    joined = numbered.join(offsets, [group, piece])
-    return joined.select(*df.columns, (F.col(name) + F.col(before)).alias(name))
-
-
-def _before(counts: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """The sum of `count` in earlier rows of the same keys."""
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    total: Column = F.coalesce(F.sum("count").over(earlier), F.lit(0))
-    return counts.withColumn(name, total)
+    group, whole = "_group", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    placed = placed.withColumns({group: whole, part: F.shiftright(at, ROW_BITS)})
+    ranges = placed.groupBy(group, part).agg(F.min(at).alias(first), F.count("*").alias("_count"))
+    earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_count").over(earlier), F.lit(0))
+    shifts = ranges.select(group, part, (before - F.col(first) + 1).alias(shift))
+    joined = placed.hint("merge").join(shifts, [group, part])
+    return joined.select(*df.columns, (F.col(at) + F.col(shift)).alias(name))

@@ -40,6 +40,13 @@ def new_shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written once to the shared folder: later passes read only the columns they need."""
+    path = new_shared_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise reliably, so later passes see the very same rows and partitions."""
     spark = df.sparkSession

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from accountlens.operators.numbering import running_number
@@ -54,37 +55,39 @@ def test_running_number_matches_a_sorted_list(spark):
         assert [n for _, n in own] == list(range(1, len(own) + 1))
 
 
-def test_sliced_numbering_spreads_one_group_over_tasks(spark):
+@pytest.mark.parametrize("order", [["timestamp"], ["timestamp", "other"]])
+def test_numbering_spreads_one_group_of_one_time_over_tasks(spark, order):
     hot = spark.range(200_000).select(
-        F.lit("a").alias("company"), F.lit(T0.isoformat()).cast("timestamp").alias("timestamp"), "id"
+        F.lit("a").alias("company"), F.lit(T0.isoformat()).cast("timestamp").alias("timestamp"),
+        (F.col("id") % 3).alias("other"), "id",
     )
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        numbered = running_number(hot, ["company"], ["timestamp"], "n")
+        numbered = running_number(hot, ["company"], order, "n")
         sizes = numbered.groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) > 2 and max(r["count"] for r in sizes) < 150_000
         spread = numbered.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
         assert tuple(spread) == (1, 200_000, 200_000)
+        if "other" in order:
+            ends = numbered.groupBy("other").agg(F.min("n").alias("first"), F.max("n").alias("last")).orderBy("other").collect()
+            assert [r["first"] for r in ends[1:]] == [r["last"] + 1 for r in ends[:-1]]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
-def test_running_number_runs_nothing_while_it_is_planned_and_shuffles_rows_once(spark):
-    frame = boxes(spark, 100)
-    frame.count()
-    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
-    context.setJobGroup("planning", "running numbers")
-    numbered = running_number(frame, ["company"], ["timestamp", "serial_number"], "n")
-    assert not tracker.getJobIdsForGroup("planning")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = running_number(frame, ["company"], ["timestamp", "serial_number"], "n")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    rows = plan[plan.index("SortMergeJoin") :].split("AS _before")[0]
-    assert "row_number" in rows and rows.count("Exchange") == 2  # one for the rows, one for the counts
+def test_running_number_without_keys_and_of_nothing(spark):
+    frame = boxes(spark, 200)
+    rows = running_number(frame, [], ["company", "x"], "n").orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(1, 201))
+    assert [r["x"] for r in rows] == sorted(range(200), key=lambda x: (x % 3 > 0, x))
+    assert running_number(frame.where("false"), ["company"], ["x"], "n").collect() == []
+
+
+def test_running_number_is_stored_sorted_by_ranges_and_joins_its_counts_only(spark):
+    plan = running_number(boxes(spark, 100), ["company"], ["timestamp", "serial_number"], "n")._jdf.queryExecution().optimizedPlan().toString()
+    # The rows are read as stored, next to one aggregate of their places; no window runs over them.
+    assert plan.count("Relation") == 2 and plan.count("Window") == 1 and plan.index("Window") < plan.index("Aggregate")
 
 
 def test_box_names_keep_three_digits(spark):
