@@ -10,6 +10,7 @@ from accountlens.llm.backoff import op5_backoff_lm
 from accountlens.llm.chat import OP10_SQL, op10_preference_chat
 from accountlens.llm.decontaminate import op1_template_decontamination
 from accountlens.llm.langid import op6_rank_order_langid
+from accountlens.llm.mixing import OP11_SQL, op11_source_mixing
 from accountlens.llm.packing import op3_linear_grouping_packing
 from accountlens.llm.pii import op7_contextual_pii
 from accountlens.llm.rollups import OP9_SQL, op9_token_rollups
@@ -30,9 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_dedup,
         op9_token_rollups,
         op10_preference_chat,
+        op11_source_mixing,
     ]
     return {query.__name__: query for query in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_multi_index_topk": OP4_SQL, "op9_token_rollups": OP9_SQL, "op10_preference_chat": OP10_SQL}
+    return {"op4_multi_index_topk": OP4_SQL, "op9_token_rollups": OP9_SQL, "op10_preference_chat": OP10_SQL, "op11_source_mixing": OP11_SQL}

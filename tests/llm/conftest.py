@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 LONG = " ".join(f"word{i % 977} tail{i % 13}" for i in range(30_000))
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
-CLASHING = ["key", "tag", "fp", "spans", "length", "ids", "piece", "score", "lang_pred", "component_id", "kept_id", "leak_id", "found_id", "TAG2", "word"]
+CLASHING = ["key", "tag", "fp", "spans", "length", "ids", "piece", "score", "lang_pred", "component_id", "kept_id", "leak_id", "found_id", "TAG2", "word", "size", "part", "target", "phrase", "slice", "chunk"]
 
 ODD = [
     (1, None, "en", "a", 0),
