@@ -38,14 +38,15 @@ def midnight(day: date) -> Column:
 
 
 def event_day(events: DataFrame) -> Column:
-    """The stored partition column where there is one."""
+    """The stored day where there is one."""
     return F.col("event_date") if "event_date" in events.columns else F.to_date("timestamp")
 
 
 def within_days(events: DataFrame, first: date | None, last: date | None) -> Column:
     """Calendar days `first..last`, both inclusive; None leaves that side open.
 
-    On a stored table the partition column decides alone, so `timestamp` need not be read.
+    On a stored table `event_date` decides alone, so `timestamp` need not be read, and the
+    bounds of the periods skip those without such days.
     """
     require_utc(events.sparkSession)
     stored = "event_date" in events.columns
@@ -59,7 +60,14 @@ def within_days(events: DataFrame, first: date | None, last: date | None) -> Col
         bounds.append(
             F.col("event_date") <= F.lit(last) if stored else F.col("timestamp") < midnight(end)
         )
-    return _all(bounds)
+    return _all([*bounds, *_overlapping(events, first, last)])
+
+
+def _overlapping(events: DataFrame, first: date | None, last: date | None) -> list[Column]:
+    if "last_day" not in events.columns:
+        return []
+    after = [] if first is None else [F.col("last_day") >= F.lit(first)]
+    return after if last is None else [*after, F.col("first_day") <= F.lit(last)]
 
 
 def since(events: DataFrame, moment: datetime) -> Column:
@@ -67,7 +75,7 @@ def since(events: DataFrame, moment: datetime) -> Column:
     require_utc(events.sparkSession)
     bounds = [F.col("timestamp") >= instant(moment)]
     if "event_date" in events.columns:
-        bounds.append(F.col("event_date") >= F.lit(moment.date()))
+        bounds += [F.col("event_date") >= F.lit(moment.date()), *_overlapping(events, moment.date(), None)]
     return _all(bounds)
 
 

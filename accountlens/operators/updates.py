@@ -18,6 +18,11 @@ def _merged(df: DataFrame, fields: list[str], skip: str) -> list[Column]:
     return columns
 
 
+def first_of_key(df: DataFrame, key: str) -> DataFrame:
+    """(key, id): the document with the smallest id of each key value."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("id"))
+
+
 def update_by_field(df: DataFrame, updates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Set the given fields on the first document (smallest `id`) of each key value.
 
@@ -26,7 +31,7 @@ def update_by_field(df: DataFrame, updates: DataFrame, key: str) -> tuple[DataFr
     on the unique `id`, so a key value shared by many documents never meets in one task.
     """
     fields = [c for c in updates.columns if c != key]
-    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("id"))
+    first = first_of_key(df, key)
     changes = first.join(updates, key).select("id", *fields, F.lit(True).alias(_HIT))
     updated = (
         df.alias("d")

@@ -34,17 +34,30 @@ class Measure:
     how: str = "count"
     cumulative: bool = False
 
-    def wanted(self) -> Column:
+    def wanted(self, summed: bool = False) -> Column:
         kind = F.col("type")
         condition = kind == self.types[0] if len(self.types) == 1 else kind.isin(*self.types)
-        return condition if self.column is None else condition & F.col(self.column).isNotNull()
-
-    def total(self, condition: Column) -> Column:
+        if self.column is None:
+            return condition
+        return condition & (F.col(f"n_{self.column}") > 0 if summed else F.col(self.column).isNotNull())
+
+    def total(self, condition: Column, summed: bool = False) -> Column:
+        """The total of events, or of rows of daily sums."""
+        if summed:
+            value = F.col("n" if self.column is None else f"{'sum' if self.how == 'sum' else 'n'}_{self.column}")
+            # A count of nothing is 0, a sum NULL, as of the events.
+            total = F.sum(F.when(condition, value))
+            return (total if self.how == "sum" else F.coalesce(total, F.lit(0))).alias(self.name)
         value = F.col(self.column) if self.how == "sum" else F.lit(1)
         aggregate = F.sum if self.how == "sum" else F.count
         return aggregate(F.when(condition, value)).alias(self.name)
 
 
+def is_summed(events: DataFrame) -> bool:
+    """Whether these are daily sums instead of events."""
+    return "n" in events.columns and "timestamp" not in events.columns
+
+
 def daily_series(
     events: DataFrame,
     companies: DataFrame,
@@ -53,7 +66,7 @@ def daily_series(
     days: int = 30,
     width: int = 7,
 ) -> DataFrame:
-    """`(company, day, <measure>...)` for every company and spine day.
+    """`(company, day, <measure>...)` for every company and spine day, from events or from their daily sums.
 
     All trailing measures share one scan of the look-back days. All cumulative ones share a
     scan of the whole history, which reads their event types only and folds earlier days
@@ -77,8 +90,9 @@ def daily_series(
 
 
 def _daily_totals(events: DataFrame, day: Column, measures: list[Measure]) -> DataFrame:
-    wanted = [m.wanted() for m in measures]
-    totals = [m.total(w if len(measures) > 1 else F.lit(True)) for m, w in zip(measures, wanted)]
+    summed = is_summed(events)
+    wanted = [m.wanted(summed) for m in measures]
+    totals = [m.total(w if len(measures) > 1 else F.lit(True), summed) for m, w in zip(measures, wanted)]
     return events.where(reduce(or_, wanted)).groupBy("company", day.alias("day")).agg(*totals)
 
 

@@ -12,6 +12,7 @@ from accountlens.model import EventModel
 from accountlens.operators.windows import (
     Measure,
     daily_series,
+    is_summed,
     ratio,
     trailing_avg,
     trailing_distinct,
@@ -48,8 +49,10 @@ def provisioned_pct() -> Column:
 
 def customer_overview(model: EventModel) -> DataFrame:
     """Boxes purchased over all time and their contract value."""
-    counted = (F.col("type") == "purchased") & F.col("purchased").isNotNull()
-    totals = model.company_events.where(counted).groupBy("company").agg(F.sum("purchased").alias("purchased"))
+    events = model.company_sums
+    bought = Measure("purchased", ("purchased",), "purchased", "sum")
+    summed = is_summed(events)
+    totals = events.where(bought.wanted(summed)).groupBy("company").agg(bought.total(F.lit(True), summed))
     purchased = F.coalesce("purchased", F.lit(0)).alias("purchased")
     overview = model.companies.join(totals, "company", "left").select("company", purchased)
     acv = F.col("purchased") * CONTRACT_VALUE_PER_BOX
@@ -58,7 +61,7 @@ def customer_overview(model: EventModel) -> DataFrame:
 
 def _series(model: EventModel, measure: Measure, **span) -> DataFrame:
     of_company = measure in (PURCHASED, PROVISIONED)
-    events = model.company_events if of_company else model.user_events
+    events = model.company_sums if of_company else model.user_sums
     return labelled(daily_series(events, model.companies, [measure], **span))
 
 
@@ -72,7 +75,7 @@ def boxes_provisioned(model: EventModel, **span) -> DataFrame:
 
 def boxes_provisioned_pct(model: EventModel, **span) -> DataFrame:
     """Both totals from one scan; not capped at 100, NULL while nothing is purchased."""
-    totals = daily_series(model.company_events, model.companies, [PURCHASED, PROVISIONED], **span)
+    totals = daily_series(model.company_sums, model.companies, [PURCHASED, PROVISIONED], **span)
     return labelled(totals.select("company", "day", provisioned_pct().alias("pct_provisioned")))
 
 
@@ -100,7 +103,7 @@ def users_active(model: EventModel, **span) -> DataFrame:
 
 def ratings_average(model: EventModel, **span) -> DataFrame:
     series = trailing_avg(
-        model.user_events, model.companies, "rating", ("rating",), "avg_rating", "num_rating", **span
+        model.user_sums, model.companies, "rating", ("rating",), "avg_rating", "num_rating", **span
     )
     return labelled(series.withColumn("avg_rating", fmt.python_round(F.col("avg_rating"), 2)))
 
@@ -218,6 +221,6 @@ def card(
 def user_activity(model: EventModel, **span) -> DataFrame:
     """Every additive user series together: calls, dial-ins, tickets, registrations, ratings."""
     measures = [CALLS, DIALINS, TICKETS, REGISTERED, RATING_TOTAL, RATING_COUNT]
-    series = daily_series(model.user_events, model.companies, measures, **span)
+    series = daily_series(model.user_sums, model.companies, measures, **span)
     average = ratio(RATING_TOTAL.name, RATING_COUNT.name)
     return series.withColumn("avg_rating", average).drop(RATING_TOTAL.name)

@@ -13,6 +13,7 @@ from accountlens.operators.windows import (
     at_last_nonnull,
     daily_series,
     headline,
+    is_summed,
     trailing_distinct,
 )
 from accountlens.plans.cards import (
@@ -70,9 +71,10 @@ def company_scorecard(
 
 def box_totals(model: EventModel, last: date) -> DataFrame:
     """Purchases of all time, and both totals up to the as-of day."""
-    events = model.company_events
-    bought = F.when((F.col("type") == "purchased"), F.col("purchased"))
-    installed = F.when((F.col("type") == "provisioned"), F.col("provisioned"))
+    events = model.company_sums
+    summed = is_summed(events)
+    bought = F.when((F.col("type") == "purchased"), F.col("sum_purchased" if summed else "purchased"))
+    installed = F.when((F.col("type") == "provisioned"), F.col("sum_provisioned" if summed else "provisioned"))
     in_time = within_days(events, None, last)
     zero = F.lit(0)
     return (
@@ -95,7 +97,7 @@ def headline_values(
     """Last-day value of each dense series, taken from the series themselves."""
     span = {"as_of_date": as_date(as_of_date), "days": days}
     boxes = daily_series(
-        model.company_events,
+        model.company_sums,
         model.companies,
         [PURCHASED, PROVISIONED],
         as_date(company_as_of_date or as_of_date),

@@ -481,6 +481,42 @@ def oracle_sql() -> dict[str, str]:
             "FROM routed WHERE target = 'company_events' GROUP BY 1"
         ),
     }
+    clamped = (
+        "SELECT * REPLACE (LEAST(timestamp, TIMESTAMP '2024-01-30 12:00:00') AS timestamp) FROM call_records"
+    )
+    counts = {
+        "company_events": "SELECT COUNT(*) + SUM(qty) FROM purchase_records",
+        "companies": "SELECT COUNT(DISTINCT company) FROM user_directory",
+        "projects": "SELECT COUNT(*) FROM projects",
+        "renewals": "SELECT COUNT(DISTINCT company) FROM purchase_records",
+        "trending": "SELECT 10 * COUNT(DISTINCT company) FROM user_directory",
+        "user_events": "SELECT (SELECT COUNT(*) FROM users) "
+        "+ (SELECT COUNT(*) FROM user_events WHERE type = 'support_ticket') "
+        "+ (SELECT 2 * COUNT(*) + COUNT(NULLIF(rating, 0)) + COUNT(NULLIF(comment, '')) + COUNT(NULLIF(dialin_length, 0)) FROM clamped)",
+        "users": "SELECT COUNT(*) FROM users",
+    }
+    texts |= {
+        "ingest_whole_bodies": _with(
+            "SELECT *, CAST(timestamp AS DATE) AS event_date FROM user_events UNION ALL BY NAME "
+            "SELECT *, CAST(timestamp AS DATE) AS event_date FROM company_events"
+        ),
+        "ingest_rejects": _with("SELECT body, error FROM routed WHERE target = 'rejects'"),
+        "replayed_rejects": _with(
+            "SELECT json_extract_string(body, '$.type') AS type, json_extract_string(body, '$.company') AS company, "
+            "CAST(json_extract_string(body, '$.purchased') AS BIGINT) AS purchased, CAST(NULL AS VARCHAR) AS error "
+            "FROM routed WHERE target = 'company_events' "
+            "UNION ALL SELECT 'purchased', json_extract_string(body, '$.company'), "
+            "CAST(json_extract_string(body, '$.purchased') AS BIGINT), NULL FROM routed WHERE error = 'Event type is required' "
+            "UNION ALL SELECT NULL, NULL, NULL, error FROM routed "
+            "WHERE target = 'rejects' AND error <> 'Event type is required'"
+        ),
+        "reload_counts": _with(
+            " UNION ALL ".join(f"SELECT '{name}' AS table_name, CAST(({text}) AS BIGINT) AS rows" for name, text in counts.items()),
+            clamped=clamped,
+        ),
+        "compacted_events": texts["append_events"],
+        "merge_collection": texts["upsert_by_id"],
+    }
     # Where a table is kept changes nothing in what is asked of it.
     stored = {
         "stored_scorecard": "company_scorecard",

@@ -18,6 +18,7 @@ from accountlens.plans.scorecard import company_scorecard, headline_values
 from accountlens.schemas import CONTRACT_VALUE_PER_BOX, USER_EVENTS
 from accountlens.session import new_shared_path, pin_utc
 from accountlens.sources import staging, store, tables
+from accountlens.sources.reload import reload_all
 from accountlens.streaming import ingest
 
 AS_OF_DATE = date(2024, 1, 30)
@@ -205,6 +206,79 @@ def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ingest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a body, streamed from files in several micro-batches with compaction between them."""
+    root = new_shared_path(spark, "ingest")
+    store.create_event_tables(spark, root)
+    staging.whole_bodies(spark, sf_dir).repartition(4).write.text(f"{root}-bodies")
+    stream = tables.event_body_stream(spark, f"{root}-bodies", files_per_batch=1)
+    ingest.start_ingest(stream, root, f"{root}-checkpoint", compact_every=3).awaitTermination()
+    users = tables.user_events(spark, f"{root}/user_events")
+    boxes = tables.company_events(spark, f"{root}/company_events")
+    return users.unionByName(boxes, allowMissingColumns=True)
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> str:
+    """A store that took in the given bodies; its root."""
+    root = new_shared_path(spark, "rejects")
+    store.create_event_tables(spark, root)
+    ingest.start_ingest(_body_stream(spark, sf_dir), root, f"{root}-checkpoint").awaitTermination()
+    return root
+
+
+def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ingest stream turned away, with the reasons."""
+    return tables.rejected_events(spark, f"{_rejected(spark, sf_dir)}/rejects")
+
+
+def _replayed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects mended by giving those without a type one: what the company events then hold, and what is still rejected."""
+    root = _rejected(spark, sf_dir)
+    rejects = tables.rejected_events(spark, f"{root}/rejects").where(F.col("error") == ingest.NO_TYPE)
+    typed = F.concat(F.lit('{"type":"purchased",'), F.substring("body", 2, 10_000))
+    repairs = rejects.select("body").distinct().withColumn("repaired", typed)
+    store.replay_rejects(repairs, root, ingest.frames)
+    boxes = tables.company_events(spark, f"{root}/company_events").select("type", "company", "purchased", F.lit(None).cast("string").alias("error"))
+    left = tables.rejected_events(spark, f"{root}/rejects")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("type", "string"), ("company", "string"), ("purchased", "long"))]
+    return boxes.unionByName(left.select(*none, "error"))
+
+
+def _reload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per table after a full reload of a store from the given tables."""
+    root = new_shared_path(spark, "reload")
+    tickets = staging.user_events(spark, sf_dir).where(F.col("type") == "support_ticket")
+    reload_all(
+        root, staging.user_directory(spark, sf_dir), staging.call_records(spark, sf_dir), tickets,
+        staging.purchase_records(spark, sf_dir), staging.projects(spark, sf_dir), staging.renewal_inputs(spark, sf_dir), AS_OF_TS,
+    )
+    return tables.store_status(spark, root).select("table_name", F.col("total_documents").alias("rows"))
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events appended in batches, folded into one part, and one batch appended once more."""
+    root = new_shared_path(spark, "compacted")
+    store.create_event_tables(spark, root)
+    events = staging.user_events(spark, sf_dir)
+    parts = [events.where(F.pmod(F.xxhash64(*events.columns), F.lit(4)) == i) for i in range(4)]
+    for i, part in enumerate(parts):
+        store.append_events(part, root, "user_events", batch=f"part-{i}")
+    store.compact(spark, root, "user_events")
+    store.append_events(parts[1], root, "user_events", batch="part-1")
+    return tables.user_events(spark, f"{root}/user_events")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users seen registering, stored, then merged with the directory bucket by bucket."""
+    root = new_shared_path(spark, "merged")
+    store.replace_collection(_seen_users(spark, sf_dir), root, "users")
+    given = staging.user_directory(spark, sf_dir).select(
+        F.col("email").alias("id"), "email", F.when(F.col("offset") != 0, F.col("company")).alias("company")
+    )
+    store.merge_collection(given, root, "users")
+    return tables.collection(spark, root, "users")
+
+
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User events after a round trip through the stored table."""
     root = new_shared_path(spark, "events")
@@ -368,6 +442,12 @@ QUERIES: dict[str, Query] = {
     "ingested_user_events": _ingested,
     "ingest_stream": _ingest_stream,
     "company_totals_stream": _totals_stream,
+    "ingest_whole_bodies": _ingest_whole,
+    "ingest_rejects": _ingest_rejects,
+    "replayed_rejects": _replayed_rejects,
+    "reload_counts": _reload_counts,
+    "compacted_events": _compacted,
+    "merge_collection": _merged,
 }
 
 

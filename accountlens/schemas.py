@@ -23,10 +23,24 @@ COMPANY_EVENTS = _struct(
 
 EVENT_TABLES = {"user_events": USER_EVENTS, "company_events": COMPANY_EVENTS}
 
-# Directory columns of a stored event table. `event_date` is the UTC day of `timestamp`
-# and prunes scans; `ingest_batch` names one append, so that a repeated append replaces
-# its own files and nothing else.
-PARTITIONS = _struct(event_date=T.DateType(), ingest_batch=_TEXT)
+# Columns that a stored event table has beside the declared ones: the UTC day of `timestamp`, and, as directories, the
+# bounds of the period that a row lies in, by which readers skip periods.
+STORED = _struct(event_date=T.DateType(), first_day=T.DateType(), last_day=T.DateType())
+
+# The tables of daily sums, one row per company, type and day of a batch; and the bodies that were turned away.
+DAILY = {table: f"{table}_daily" for table in EVENT_TABLES}
+REJECTED = "rejects"
+REJECTS = _struct(body=_TEXT, error=_TEXT)
+
+
+def daily_schema(schema: T.StructType) -> T.StructType:
+    numbers = [f.name for f in schema if isinstance(f.dataType, T.LongType)]
+    sums = {f"{how}_{c}": _INT for c in numbers for how in ("n", "sum")}
+    return _struct(company=_TEXT, type=_TEXT, event_date=T.DateType(), n=_INT, **sums)
+
+
+DAILY_TABLES = {DAILY[table]: daily_schema(schema) for table, schema in EVENT_TABLES.items()}
+
 
 COLLECTIONS = {
     "users": _struct(id=_TEXT, email=_TEXT, company=_TEXT, reg_date=_INSTANT),

@@ -88,21 +88,23 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One `purchased` event per order, one `provisioned` event per line not returned."""
-    kept = "CASE WHEN l_returnflag <> 'R' THEN struct(l_shipdate AS day) END"
-    per_order = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.expr(f"collect_list({kept})").alias("kept")
+    """One `purchased` event per order, one `provisioned` event per line not returned.
+
+    Each type is a branch of its own, so a reader of one type computes that one only.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_orderdate", "company")
+    per_order = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    purchased = per_order.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "o_orderdate AS timestamp", "'purchased' AS type", "company", "n AS purchased",
+        "CAST(NULL AS BIGINT) AS provisioned", "CAST(NULL AS STRING) AS serial_number", "CAST(NULL AS STRING) AS box_name",
     )
-    purchased = """array(struct(o_orderdate AS timestamp, 'purchased' AS type, n AS purchased,
-        CAST(NULL AS BIGINT) AS provisioned, CAST(NULL AS STRING) AS serial_number))"""
-    provisioned = """transform(kept, x -> struct(x.day AS timestamp, 'provisioned' AS type, CAST(NULL AS BIGINT) AS purchased,
-        1L AS provisioned, concat('A', 100000 + l_orderkey) AS serial_number))"""
-    events = per_order.join(_orders(spark, sf_dir), F.expr("l_orderkey = o_orderkey")).selectExpr(
-        "company", f"inline(concat({purchased}, {provisioned}))"
-    )
-    return events.selectExpr(
-        "timestamp", "type", "company", "purchased", "provisioned", "serial_number", "CAST(NULL AS STRING) AS box_name"
+    kept = lines.where("l_returnflag <> 'R'").select("l_orderkey", "l_shipdate")
+    provisioned = kept.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "l_shipdate AS timestamp", "'provisioned' AS type", "company", "CAST(NULL AS BIGINT) AS purchased",
+        "1L AS provisioned", "concat('A', 100000 + l_orderkey) AS serial_number", "CAST(NULL AS STRING) AS box_name",
     )
+    return purchased.unionByName(provisioned)
 
 
 def event_model(spark: SparkSession, sf_dir: str) -> EventModel:
@@ -182,3 +184,10 @@ def event_bodies(staged: DataFrame) -> DataFrame:
            ELSE concat('{"type":"call","user":"', email, '","company":"', company, '","call_duration":', k, '}')
            END AS body""",
     )
+
+
+def whole_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user and company event as a JSON body with all its fields, timestamps in ISO form; nulls are left out."""
+    iso = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    frames = [events.select(F.to_json(F.struct(*events.columns), iso).alias("body")) for events in (user_events(spark, sf_dir), company_events(spark, sf_dir))]
+    return frames[0].unionByName(frames[1])

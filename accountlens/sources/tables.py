@@ -7,23 +7,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accountlens.model import EventModel
-from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, IDENTITY, PARTITIONS, USER_EVENTS
+from accountlens.schemas import COLLECTIONS, DAILY, DAILY_TABLES, EVENT_TABLES, IDENTITY, REJECTED, REJECTS, STORED
 from accountlens.session import require_utc
+from accountlens.sources.versions import Part, current
 
 
-def _events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    layout = T.StructType([*schema.fields, *PARTITIONS.fields])
-    return spark.read.schema(layout).parquet(path).drop("ingest_batch")
+def _folders(spark: SparkSession, path: str, parts: tuple[Part, ...], layout: T.StructType, base: bool = False) -> DataFrame:
+    """The rows of a table's live folders; of none, an empty frame."""
+    if not parts:
+        return spark.createDataFrame([], layout)
+    reader = spark.read.schema(layout)
+    return (reader.option("basePath", path) if base else reader).parquet(*[f"{path}/{part.folder}" for part in parts])
+
+
+def event_parts(spark: SparkSession, root: str, table: str, parts: tuple[Part, ...], bounds: bool = False) -> DataFrame:
+    """The declared columns and `event_date`; with `bounds`, those of the period as well, for readers of days."""
+    schema = T.StructType([*EVENT_TABLES[table], STORED["event_date"]]) if table in EVENT_TABLES else DAILY_TABLES[table]
+    layout = T.StructType([*schema, T.StructField("ingest_batch", T.StringType()), STORED["first_day"], STORED["last_day"]])
+    rows = _folders(spark, f"{root}/{table}", parts, layout, base=True)
+    return rows.select(*schema.names, *(["first_day", "last_day"] if bounds else []))
+
+
+def collection_parts(spark: SparkSession, root: str, name: str, parts: tuple[Part, ...]) -> DataFrame:
+    schema = collection_schema(name)
+    frames = [_folders(spark, f"{root}/{name}", (part,), schema) for part in parts[:1]]
+    if len(parts) > 1:
+        layout = T.StructType([*schema, T.StructField("version", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        frames = [_folders(spark, f"{root}/{name}", parts, layout, base=True).select(*schema.names)]
+    return frames[0] if frames else spark.createDataFrame([], schema)
+
+
+def rejected_parts(spark: SparkSession, root: str, parts: tuple[Part, ...]) -> DataFrame:
+    return _folders(spark, f"{root}/{REJECTED}", parts, T.StructType([*REJECTS, T.StructField("ingest_batch", T.StringType())]), base=True).drop("ingest_batch")
+
+
+def _stored(spark: SparkSession, path: str, bounds: bool = False) -> DataFrame:
+    root, _, table = path.rstrip("/").rpartition("/")
+    return event_parts(spark, root, table, current(spark, root).parts(table), bounds)
 
 
 def user_events(spark: SparkSession, path: str) -> DataFrame:
-    """The 14 declared columns plus the partition column `event_date`."""
-    return _events(spark, path, USER_EVENTS)
+    """The 14 declared columns plus the day, `event_date`, as of now."""
+    return _stored(spark, path)
 
 
 def company_events(spark: SparkSession, path: str) -> DataFrame:
-    """The 7 declared columns plus the partition column `event_date`."""
-    return _events(spark, path, COMPANY_EVENTS)
+    """The 7 declared columns plus the day, `event_date`, as of now."""
+    return _stored(spark, path)
+
+
+def daily_events(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Sums per company, type and day of each batch, as of now; a day's are those of all its rows added up."""
+    return _stored(spark, f"{root}/{DAILY[table]}", bounds=True)
 
 
 def event_bodies(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +74,8 @@ def event_body_stream(spark: SparkSession, path: str, files_per_batch: int = 100
 
 def rejected_events(spark: SparkSession, path: str) -> DataFrame:
     """Bodies the ingest stream turned away, with the reason."""
-    return spark.read.schema("body string, error string, ingest_batch string").parquet(path)
+    root = path.rstrip("/").rpartition("/")[0]
+    return rejected_parts(spark, root, current(spark, root).parts(REJECTED))
 
 
 def collection_schema(name: str) -> T.StructType:
@@ -49,7 +85,8 @@ def collection_schema(name: str) -> T.StructType:
 
 
 def collection(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(collection_schema(name)).parquet(f"{root}/{name}")
+    """The documents as of now."""
+    return collection_parts(spark, root, name, current(spark, root).parts(name))
 
 
 def company_names(spark: SparkSession, root: str) -> DataFrame:
@@ -62,9 +99,11 @@ def event_model(spark: SparkSession, root: str) -> EventModel:
     """The stored tables as input of the cards."""
     require_utc(spark)
     return EventModel(
-        lambda: user_events(spark, f"{root}/user_events"),
-        lambda: company_events(spark, f"{root}/company_events"),
+        lambda: _stored(spark, f"{root}/user_events", bounds=True),
+        lambda: _stored(spark, f"{root}/company_events", bounds=True),
         lambda: company_names(spark, root),
+        lambda: daily_events(spark, root, "user_events"),
+        lambda: daily_events(spark, root, "company_events"),
     )
 
 

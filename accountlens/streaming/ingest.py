@@ -3,14 +3,21 @@
 The same DataFrame functions serve batches and streams.
 """
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from accountlens.operators.updates import update_by_field
-from accountlens.schemas import COMPANY_EVENT_TYPES, EVENT_TABLES
-from accountlens.sources.store import append_events
+from accountlens.schemas import COMPANY_EVENT_TYPES, EVENT_TABLES, REJECTED
+from accountlens.sources import versions
+from accountlens.sources.store import Draft, compact
+from accountlens.sources.versions import Manifest, Part
+
+log = logging.getLogger(__name__)
 
 # The messages a sender gets back.
 NO_DATA = "No event data provided"
@@ -20,8 +27,6 @@ NO_PURCHASED = "Purchased field is required for purchased events"
 NO_PROVISIONED = "Provisioned field is required for provisioned events"
 NOT_STORED = "Error adding event: "
 
-REJECTS = "rejects"
-
 _DECLARED = list(dict.fromkeys(name for schema in EVENT_TABLES.values() for name in schema.names))
 
 
@@ -102,7 +107,7 @@ def route_events(df: DataFrame) -> DataFrame:
     checked = _computed_once(
         parse_bodies(df), error=F.coalesce(_rule_error(), storage_error), table=table
     )
-    target = F.when(F.col("error").isNotNull(), REJECTS).otherwise(F.col("table"))
+    target = F.when(F.col("error").isNotNull(), REJECTED).otherwise(F.col("table"))
     return checked.withColumn("target", target).drop("table")
 
 
@@ -113,26 +118,40 @@ def typed_events(routed: DataFrame, table: str) -> DataFrame:
 
 
 def rejects(routed: DataFrame) -> DataFrame:
-    return routed.where(F.col("target") == REJECTS).select("body", "error")
+    return routed.where(F.col("target") == REJECTED).select("body", "error")
+
+
+def frames(bodies: DataFrame) -> dict[str, DataFrame]:
+    """Bodies as rows by table, the rejects among them."""
+    routed = route_events(bodies)
+    return {table: typed_events(routed, table) for table in EVENT_TABLES} | {REJECTED: rejects(routed)}
 
 
-def start_ingest(bodies: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_ingest(bodies: DataFrame, root: str, checkpoint: str, compact_every: int = 0, **trigger) -> StreamingQuery:
     """Append a stream of bodies to the two event tables and the rejects.
 
-    Each micro-batch is written under a name made of the stream's id, which its checkpoint
-    keeps, and the batch number. A replayed batch so overwrites its own files instead of
-    adding rows twice, and a stream with a new checkpoint never overwrites an older one's.
+    A micro-batch's three tables change in one commit, under a name made of the stream's id, which its checkpoint
+    keeps, and the batch number. A replayed batch so takes its own place instead of adding rows twice, and a stream
+    with a new checkpoint never replaces an older one's. After every `compact_every` batches the small parts of the
+    event tables are folded, so that their folders don't grow with the number of batches; replays of folded batches do
+    nothing.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         routed = route_events(batch).persist()
         try:
             name = f"{_stream_id(batch)}-{batch_id}"
+            draft = Draft(spark, root)
             for table in EVENT_TABLES:
-                append_events(typed_events(routed, table), root, table, batch=name)
-            _write_batch(rejects(routed), f"{root}/{REJECTS}", name)
+                draft.append(typed_events(routed, table), table, name)
+            draft.append_plain(rejects(routed), REJECTED, name)
+            draft.commit()
         finally:
             routed.unpersist()
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            for table in EVENT_TABLES:
+                compact(spark, root, table)
 
     return (
         bodies.writeStream.foreachBatch(store)
@@ -150,16 +169,8 @@ def _stream_id(batch: DataFrame) -> str:
     return stream
 
 
-def _write_batch(df: DataFrame, path: str, batch: str) -> None:
-    writer = df.withColumn("ingest_batch", F.lit(batch)).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch").parquet(path)
-
-
 def company_sums(bodies: DataFrame) -> DataFrame:
-    """Boxes added per company by valid company events; a NULL amount adds nothing.
-
-    On a stream these are the running sums since its start, one state row per company.
-    """
+    """Boxes added per company by valid company events; a NULL amount adds nothing."""
     routed = route_events(bodies).where(F.col("target") == "company_events")
     amounts = [
         F.coalesce(
@@ -186,38 +197,67 @@ def add_sums(companies: DataFrame, sums: DataFrame) -> tuple[DataFrame, DataFram
     return totals, unknown
 
 
-_SUMS = "company string, purchased long, provisioned long, batch long, slot int"
+_SUMS = "company string, purchased long, provisioned long"
+SUMS = "sums"
+#: Unknown names that one warning lists.
+NAMED = 20
 
 
-def start_company_totals(bodies: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Keep the running sums of all companies in `folder`, next to the checkpoint they belong to.
+def start_company_totals(
+    bodies: DataFrame, folder: str, companies: Callable[[], DataFrame] | None = None, **trigger
+) -> StreamingQuery:
+    """Keep the running sums of companies in `folder`, next to the checkpoint they belong to.
 
-    Every micro-batch writes all sums, one row per company, to one of two alternating slots:
-    storage stays bounded, a replayed batch overwrites its own slot, and readers always find
-    the other one whole. The stream holds no company totals of its own, so `companies` may
-    change while it runs.
+    A micro-batch adds its own sums to those of the batch before, writes them to a folder of its own, one row per
+    company, and commits it. Readers follow the newest whole one and keep what they have begun to read; a replayed
+    batch finds itself committed and adds nothing. With `companies`, which gives the documents (`name`) as they are at
+    each batch, events of other names are logged and not kept, so what is kept is bounded by the documents.
     """
 
-    def keep(sums: DataFrame, batch_id: int) -> None:
-        stamped = sums.withColumn("batch", F.lit(batch_id).cast("long"))
-        writer = stamped.withColumn("slot", F.lit(batch_id % 2)).write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(f"{folder}/sums")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark, name = batch.sparkSession, f"{_stream_id(batch)}-{batch_id}"
+        newest = versions.current(spark, folder)
+        if newest.holds(SUMS, name):
+            return
+        sums = company_sums(batch)
+        if companies is not None:
+            known = companies().select(F.col("name").alias("company")).where("company IS NOT NULL").distinct()
+            sums = sums.persist()
+            unknown = sums.join(known, "company", "left_anti").select("company")
+            names = [row.company for row in unknown.limit(NAMED + 1).collect()]
+            if names:
+                more = " and others" if len(names) > NAMED else ""
+                log.warning("batch %d has events of companies without a document: %s%s", batch_id, ", ".join(map(str, names[:NAMED])), more)
+            sums = sums.join(known, "company", "left_semi")
+        both = running_sums(spark, folder, newest).unionByName(sums)
+        added = both.groupBy("company").agg(*[F.sum(kind).alias(kind) for kind in COMPANY_EVENT_TYPES])
+        own = f"batch={batch_id}-{newest.version + 1}"
+        added.write.mode("overwrite").parquet(f"{folder}/{SUMS}/{own}")
+
+        def step(m: Manifest) -> Manifest:
+            if m.version != newest.version:
+                raise RuntimeError(f"another stream writes to {folder}")
+            return m.with_parts(SUMS, (Part(own, None, 0),)).with_folded(SUMS, [name])
+
+        versions.commit(spark, folder, step)
+        versions.vacuum(spark, folder, keep=2)
+        if companies is not None:
+            sums.unpersist()
 
     return (
-        company_sums(bodies)
-        .writeStream.outputMode("complete")
-        .foreachBatch(keep)
+        bodies.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def running_sums(spark: SparkSession, folder: str) -> DataFrame:
-    """The sums after the latest micro-batch."""
-    latest = F.max_by(F.struct("purchased", "provisioned"), "batch").alias("latest")
-    kept = spark.read.schema(_SUMS).parquet(f"{folder}/sums")
-    return kept.groupBy("company").agg(latest).select("company", "latest.*")
+def running_sums(spark: SparkSession, folder: str, manifest: Manifest | None = None) -> DataFrame:
+    """The sums after the latest micro-batch, or as of a manifest."""
+    parts = (manifest or versions.current(spark, folder)).parts(SUMS)
+    if not parts:
+        return spark.createDataFrame([], _SUMS)
+    return spark.read.schema(_SUMS).parquet(*[f"{folder}/{SUMS}/{part.folder}" for part in parts])
 
 
 def current_totals(spark: SparkSession, folder: str, companies: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def test_ingest_stream_equals_batch(spark, sf_dir, tmp_path):
         stored = read(spark, f"{root}/{table}").drop("event_date")
         want = ingest.typed_events(routed, table)
         assert stored.exceptAll(want).count() == want.exceptAll(stored).count() == 0 < want.count()
-    rejected = tables.rejected_events(spark, f"{root}/rejects").drop("ingest_batch")
+    rejected = tables.rejected_events(spark, f"{root}/rejects")
     want = ingest.rejects(routed)
     assert rejected.exceptAll(want).count() == want.exceptAll(rejected).count() == 0 < want.count()
 
@@ -147,7 +147,6 @@ def test_totals_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path
     query = ingest.start_company_totals(stream, path)
     query.awaitTermination()
     assert len(query.recentProgress) >= 4
-    assert sorted(p.name for p in (tmp_path / "totals" / "sums").glob("slot=*")) == ["slot=0", "slot=1"]
 
     want = {
         n: ((0 if n == without_total else 1000) + s["purchased"], s["provisioned"])

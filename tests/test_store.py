@@ -1,16 +1,29 @@
 """Round trips of the write paths."""
 
-from datetime import date, datetime
+import random
+import re
+from collections import Counter
+from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from accountlens.functions.dates import within_days
 from accountlens.operators.updates import update_by_field
 from accountlens.plans import cards
 from accountlens.schemas import COLLECTIONS, COMPANY_EVENTS, USER_EVENTS
 from accountlens.session import pin_utc
-from accountlens.sources import staging, store, tables
+from accountlens.sources import staging, store, tables, versions
 from accountlens.sources.reload import reload_all
+from accountlens.streaming import ingest
+
+
+@pytest.fixture(scope="module", autouse=True)
+def whole_plans(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 @pytest.fixture
@@ -63,8 +76,11 @@ def test_repeated_batch_replaces_itself(spark, root):
     assert tables.user_events(spark, f"{root}/user_events").count() == 10
 
 
-def test_a_day_with_most_rows_is_split_into_files(spark, tmp_path):
-    root = str(tmp_path / "store")
+def files(root, table):
+    return sorted(p for p in (Path(root) / table).rglob("*.parquet"))
+
+
+def test_a_day_with_most_rows_is_split_into_files(spark, root):
     store.create_event_tables(spark, root)
     hot = spark.range(0, 300_000, 1, 8).select(
         F.when(F.col("id") % 10 > 0, F.lit("2024-01-02")).otherwise("2024-01-03").cast("timestamp").alias("timestamp"),
@@ -77,11 +93,162 @@ def test_a_day_with_most_rows_is_split_into_files(spark, tmp_path):
         assert store.append_events(hot, root, "user_events", batch="b") == 300_000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    day = tmp_path / "store" / "user_events" / "event_date=2024-01-02" / "ingest_batch=b"
-    assert len(list(day.glob("*.parquet"))) > 3
+    assert len(files(root, "user_events")) > 3
     assert tables.user_events(spark, f"{root}/user_events").count() == 300_000
 
 
+def test_periods_follow_the_volume():
+    days = {date(2024, m, d): 1 for m in (1, 2, 3) for d in range(1, 29)} | {date(2023, 5, 5): 3, date(2024, 2, 9): 500, None: 9}
+    bounds = store.periods(days, 30)
+    assert bounds[date(2024, 2, 9)] == (date(2024, 2, 9),) * 2
+    assert bounds[date(2024, 1, 3)] == (date(2024, 1, 1), date(2024, 3, 28))  # no month has 30 rows, the year has
+    assert bounds[date(2023, 5, 5)] == (date(2023, 5, 5),) * 2 and None not in bounds
+    assert store.periods(days, 28)[date(2024, 1, 3)] == (date(2024, 1, 1), date(2024, 1, 28))
+    rng = random.Random(5)
+    many = {date(2000, 1, 1) + timedelta(days=i): int(rng.paretovariate(1)) for i in range(3000)}
+    for target in (1, 10, 100, 1000, 10**9):
+        bounds = store.periods(many, target)
+        assert set(bounds) == set(many) and all(a <= day <= b for day, (a, b) in bounds.items())
+        assert len(set(bounds.values())) <= 1 + sum(many.values()) // target
+
+
+def test_files_are_bounded_by_rows_not_by_days(spark, root):
+    store.create_event_tables(spark, root)
+    many = spark.range(3000).selectExpr(
+        "timestamp'2001-01-01' + make_dt_interval(CAST(id AS INT)) AS timestamp", "'call' AS type", "'u' AS user", "'a' AS company"
+    )
+    store.append_events(many, root, "user_events")
+    assert len(files(root, "user_events")) == 1
+    assert tables.user_events(spark, f"{root}/user_events").where("event_date = '2003-02-01'").count() == 1
+
+
+def test_periods_are_skipped_by_the_days_asked_for(spark, root, monkeypatch):
+    monkeypatch.setattr(store, "PERIOD_ROWS", 20)
+    store.create_event_tables(spark, root)
+    store.create_collections(spark, root)
+    many = spark.range(400).selectExpr(
+        "timestamp'2023-01-01' + make_dt_interval(CAST(id AS INT)) AS timestamp", "'call' AS type", "concat('u', id % 7) AS user", "'a' AS company"
+    )
+    store.append_events(many, root, "user_events")
+    store.replace_collection(spark.createDataFrame([("a",)], "name string"), root, "companies")
+    assert len(files(root, "user_events")) >= 12
+    model = tables.event_model(spark, root)
+    last = date(2023, 6, 30)
+    active = cards.users_active(model, as_of_date=last, days=3)
+    assert {r.sdau for r in active.collect()} == {7}
+    scan = next(line for line in active._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "_events" in line)
+    assert "last_day" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    seen = model.user_events.where(within_days(model.user_events, date(2023, 6, 22), last)).select(F.input_file_name().alias("f")).distinct().collect()
+    assert len(seen) == 1
+
+
+def everything(spark, root):
+    frames = [tables.user_events(spark, f"{root}/user_events"), tables.daily_events(spark, root, "user_events").groupBy("company", "type", "event_date").sum("n")]
+    return [Counter(tuple(r) for r in frame.collect()) for frame in frames]
+
+
+def test_compaction_folds_batches_and_remembers_their_names(spark, root):
+    store.create_event_tables(spark, root)
+    for i in range(5):
+        store.append_events(calls(spark, i + 1), root, "user_events", batch=f"s-{i}")
+    store.append_events(calls(spark, 2), root, "user_events", batch="by hand")
+    before = everything(spark, root)
+    open_reader = tables.user_events(spark, f"{root}/user_events")
+    assert store.compact(spark, root, "user_events") == 6
+    assert store.compact(spark, root, "user_events") == 0
+    manifest = versions.current(spark, root)
+    assert len(manifest.parts("user_events")) == len(manifest.parts("user_events_daily")) == 1
+    assert manifest.folded["user_events"] == {"s": [[0, 4]], "by hand-": []}
+    assert everything(spark, root) == before and sum(before[0].values()) == 17
+    # Replays of folded batches do nothing, new ones are added.
+    for name in ("s-3", "by hand"):
+        assert store.append_events(calls(spark, 4), root, "user_events", batch=name) == 0
+    assert everything(spark, root) == before
+    assert store.append_events(calls(spark, 4), root, "user_events", batch="s-5") == 4
+    assert store.compact(spark, root, "user_events", small=10) == 0  # a part of ten rows or more stays as it is
+    assert store.compact(spark, root, "user_events") == 2
+    assert versions.current(spark, root).folded["user_events"]["s"] == [[0, 5]]
+    assert open_reader.count() == 17
+    gone = versions.vacuum(spark, root, older_than_s=0)
+    assert len(gone) == 2 * 8 and tables.user_events(spark, f"{root}/user_events").count() == 21
+
+
+def test_a_compaction_that_was_overtaken_changes_nothing(spark, root):
+    store.create_event_tables(spark, root)
+    for name in ("x", "y"):
+        store.append_events(calls(spark), root, "user_events", batch=name)
+    draft = store.Draft(spark, root)
+    assert draft.compact("user_events", 100) == 2
+    store.append_events(calls(spark, 6), root, "user_events", batch="x")
+    with pytest.raises(store.Conflict):
+        draft.commit()
+    assert tables.user_events(spark, f"{root}/user_events").count() == 10
+    assert store.compact(spark, root, "user_events") == 2
+    assert tables.user_events(spark, f"{root}/user_events").count() == 10
+
+
+def test_writers_that_race_both_win(spark, root):
+    store.create_event_tables(spark, root)
+    first, second = store.Draft(spark, root), store.Draft(spark, root)
+    first.append(calls(spark, 2), "user_events", "a")
+    second.append(calls(spark, 3), "user_events", "b")
+    first.commit()
+    assert second.commit().version == 3
+    assert tables.user_events(spark, f"{root}/user_events").count() == 5
+    files_ = versions._Files(spark, root)
+    assert not files_.publish(3, "{}")
+    assert [p.name for p in (Path(root) / "_commits").glob("*.json")] and not [p for p in (Path(root) / "_commits").iterdir() if re.fullmatch(r"\.[0-9a-f]{32}", p.name)]
+
+
+def test_a_failed_rewrite_leaves_the_old_rows(spark, root):
+    store.create_collections(spark, root)
+    store.replace_collection(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string"), root, "companies")
+    stored = tables.collection(spark, root, "companies")
+    broken = stored.withColumn("name", F.when(F.col("id") == "2", F.raise_error(F.lit("no"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="no"):
+        store.rewrite_collection(broken, root, "companies")
+    assert sorted(r["name"] for r in tables.collection(spark, root, "companies").collect()) == ["a", "b"]
+    store.rewrite_collection(stored.withColumn("name", F.upper("name")), root, "companies")
+    assert sorted(r["name"] for r in stored.collect()) == ["a", "b"]  # who has begun reads on
+    assert sorted(r["name"] for r in tables.collection(spark, root, "companies").collect()) == ["A", "B"]
+
+
+def test_merges_rewrite_touched_buckets_only(spark, root, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ROWS", 10)
+    documents = [(f"id{i}", f"n{i % 50}", i) for i in range(100)]
+    store.replace_collection(spark.createDataFrame(documents, "id string, name string, boxes_bought long"), root, "companies")
+    before = versions.current(spark, root).parts("companies")
+    assert len(before) == 11 and sum(p.rows for p in before) == 100
+    updates = spark.createDataFrame([("id7", 700), ("new", 1)], "id string, boxes_bought long")
+    assert store.merge_collection(updates, root, "companies") in (1, 2)
+    after = versions.current(spark, root).parts("companies")
+    assert len(set(before) - set(after)) in (1, 2) and sum(p.rows for p in after) == 101
+    rows = {r["id"]: (r["name"], r["boxes_bought"]) for r in tables.collection(spark, root, "companies").collect()}
+    assert rows == {i: (n, x) for i, n, x in documents} | {"id7": ("n7", 700), "new": (None, 1)}
+    # By another field: the first document of the value; names that nothing has come back.
+    given = spark.createDataFrame([("n3", 5), ("nobody", 6)], "name string, boxes_prov long")
+    assert [r["name"] for r in store.update_collection(given, root, "companies", "name").collect()] == ["nobody"]
+    assert {r["id"]: r["boxes_prov"] for r in tables.collection(spark, root, "companies").where("boxes_prov IS NOT NULL").collect()} == {"id3": 5}
+    assert store.merge_collection(updates.where("false"), root, "companies") == 0
+
+
+def test_rejects_are_taken_in_once_repaired(spark, root):
+    store.create_event_tables(spark, root)
+    bad = ["{}", "{}", '{"type":"purchased","purchased":1}', '{"type":"call","rating":"lots"}', "oops"]
+    draft = store.Draft(spark, root)
+    draft.append_plain(ingest.frames(spark.createDataFrame([(b,) for b in bad], "body string"))["rejects"], "rejects", "b-0")
+    draft.commit()
+    repairs = [("{}", '{"type":"load"}'), (bad[2], '{"type":"purchased","purchased":1,"company":"a"}'), (bad[3], '{"type":"call","rating":"few"}'), ("oops", None), ("unknown", "{}")]
+    added = store.replay_rejects(spark.createDataFrame(repairs, "body string, repaired string"), root, ingest.frames)
+    assert added == {"user_events": 2, "company_events": 1, "rejects": 1}
+    left = [tuple(r) for r in tables.rejected_events(spark, f"{root}/rejects").collect()]
+    assert left == [('{"type":"call","rating":"few"}', "Error adding event: invalid value for rating")]
+    assert tables.user_events(spark, f"{root}/user_events").count() == 2
+    # The stream's own replay does nothing: the batch was taken in.
+    draft = store.Draft(spark, root)
+    assert draft.append_plain(spark.createDataFrame([("x", "y")], "body string, error string"), "rejects", "b-0") == 0
+
+
 def test_events_without_timestamp_are_kept(spark, root):
     store.create_event_tables(spark, root)
     frame = calls(spark).withColumn("timestamp", F.when(F.col("user") != "u0", F.col("timestamp")))
@@ -100,7 +267,9 @@ def test_stored_cards_read_only_the_days_they_need(spark, root):
     series = cards.calls_count(model, as_of_date=date(2024, 1, 5))
     assert [r["calls"] for r in series.orderBy("day").collect()][-6:] == [0, 2, 4, 4, 4, 4]
     plan = series._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert "user_events_daily" in plan and "GreaterThanOrEqual(event_date" in plan
+    scan = next(x for x in cards.users_active(model, as_of_date=date(2024, 1, 5))._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x and "_events" in x)
+    assert "last_day" in scan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_collections(spark, root):
@@ -153,14 +322,18 @@ def test_directory_without_limit(spark, limit):
 @pytest.mark.parametrize("limit", [None, 40])
 def test_full_reload(spark, root, sf_dir, limit):
     directory = staging.user_directory(spark, sf_dir)
-    # Every day is a directory, so the test keeps to the last months.
-    purchases = staging.purchase_records(spark, sf_dir).where("timestamp >= timestamp'2001-05-01'")
+    purchases = staging.purchase_records(spark, sf_dir)
     records = staging.call_records(spark, sf_dir)
     tickets = staging.user_events(spark, sf_dir).where("type = 'support_ticket'")
-    counts = reload_all(
-        root, directory, records, tickets, purchases, staging.projects(spark, sf_dir),
-        staging.renewal_inputs(spark, sf_dir), "2024-01-30 12:00:00", limit,
-    )
+
+    def load(calls=records):
+        return reload_all(
+            root, directory, calls, tickets, purchases, staging.projects(spark, sf_dir),
+            staging.renewal_inputs(spark, sf_dir), "2024-01-30 12:00:00", limit,
+        )
+
+    counts = load()
+    assert versions.current(spark, root).version == 1  # one commit
     status = {r["table_name"]: r["total_documents"] for r in tables.store_status(spark, root).collect()}
     assert counts == status
     names = {r["name"] for r in tables.collection(spark, root, "companies").collect()}
@@ -174,8 +347,8 @@ def test_full_reload(spark, root, sf_dir, limit):
         assert (doc["boxes_bought"], doc["boxes_prov"]) == ((sum(bought),) * 2 if bought else (0, 0))
     stored = tables.user_events(spark, f"{root}/user_events")
     assert stored.where("timestamp > timestamp'2024-01-30 12:00:00'").where("type <> 'support_ticket'").count() == 0
-    again = reload_all(
-        root, directory, records, tickets, purchases, staging.projects(spark, sf_dir),
-        staging.renewal_inputs(spark, sf_dir), "2024-01-30 12:00:00", limit,
-    )
-    assert again == counts
+    with pytest.raises(Exception, match="lost"):
+        load(records.withColumn("call_type", F.raise_error(F.lit("lost")).cast("string")))
+    again = {r["table_name"]: r["total_documents"] for r in tables.store_status(spark, root).collect()}
+    assert again == counts and versions.current(spark, root).version == 1  # as it was
+    assert load() == counts
