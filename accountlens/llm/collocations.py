@@ -37,8 +37,8 @@ from accountlens.llm.common import BASE, INVERSE, MIX, parts, staged, table, utf
 LONGEST, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: Words from cut to cut on average, and bytes of chunks that a task gathers before it hands them on.
 EVERY, GATHERED = 16, 16 << 20
-#: Bytes of the dictionary for each bucket of hashes.
-BUCKET = 8 << 20
+#: Bytes of the dictionary's words, four each, for each bucket of hashes; 2**TOGETHER slices are told together.
+BUCKET, TOGETHER = 4 << 20, 2
 
 #: What ends a piece; and how a chunk in a slice begins, at the start of a text or behind a cut.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -138,10 +138,16 @@ def _counted(found: Counter, step: int = 20_000) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "times"])
 
 
+SLICE = "slice long, lang string, vocabulary binary, words binary, flags binary, sizes binary, times binary"
+#: Flags of a word: it is in the piece of the word before; an n-gram that ends with it counts here.
+SAME, COUNTED = 1, 2
+
+
 def dealt(dictionary: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(slice, lang, chunks, times): the dictionary in slices of one language, chunks one behind the other.
+    """SLICE: the dictionary in slices of one language, with words as numbers of the slice's own vocabulary.
 
-    A slice has fewer words than a key has room for.
+    words: 32-bit numbers from 1, all chunks one behind the other; flags: a byte each; sizes, times: of each chunk
+    its words and parse frequency. A slice has fewer words than a key has room for.
     """
     limit = min(4 << 20, 3 << (bits(longest) - 1))
 
@@ -159,54 +165,66 @@ def dealt(dictionary: DataFrame, longest: int = LONGEST) -> DataFrame:
                     full = [lang] if size[0] >= limit else list(gathered)
                     for name in full:
                         total -= gathered[name][2][0]
-                        yield _slice(number, name, *gathered.pop(name)[:2])
+                        yield _slice(number, name, *gathered.pop(name)[:2], longest)
                         number += 1
         for lang, (own, counts, _) in gathered.items():
-            yield _slice(number, lang, own, counts)
+            yield _slice(number, lang, own, counts, longest)
             number += 1
 
-    return dictionary.select("lang", "chunk", "times").mapInArrow(run, "slice long, lang string, chunks binary, times binary")
+    return dictionary.select("lang", "chunk", "times").mapInArrow(run, SLICE)
 
 
-def _slice(number: int, lang: str, own: list[bytes], times: list[int]) -> pa.RecordBatch:
-    columns = [pa.array([number]), pa.array([lang]), pa.array([b"".join(own)], pa.binary()), pa.array([np.array(times, "<i8").tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["slice", "lang", "chunks", "times"])
+def _slice(number: int, lang: str, own: list[bytes], times: list[int], longest: int) -> pa.RecordBatch:
+    data = b"".join(own)
+    codes, starts, _ = _words(data)
+    spelt = data.split()
+    known = {word: i for i, word in enumerate(dict.fromkeys(spelt), 1)}
+    words = np.fromiter(map(known.__getitem__, spelt), "<u4", len(spelt))
+    leads = np.flatnonzero((codes == FIRST[0]) | (codes == LATER[0]))
+    begin = np.searchsorted(starts, leads)
+    sizes = np.diff(begin, append=len(starts))
+    piece = np.searchsorted(np.flatnonzero((codes == 10) | (codes == FIRST[0]) | (codes == LATER[0])), starts)
+    flags = np.zeros(len(starts), np.uint8)
+    flags[1:][piece[1:] == piece[:-1]] = SAME
+    ahead = np.arange(len(starts)) - np.repeat(begin, sizes)
+    flags[(ahead >= longest - 1) | np.repeat(codes[leads] == FIRST[0], sizes)] |= COUNTED
+    blobs = [b" ".join(known), words.tobytes(), flags.tobytes(), sizes.astype("<u4").tobytes(), np.array(times, "<i8").tobytes()]
+    columns = [pa.array([number]), pa.array([lang]), *[pa.array([blob], pa.binary()) for blob in blobs]]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "lang", "vocabulary", "words", "flags", "sizes", "times"])
 
 
 class Grams:
     """The distinct n-grams of a slice: keys of word numbers, exact counts and hashes; the number of words."""
 
-    def __init__(self, lang: str, data: bytes, times: bytes, longest: int):
-        codes, starts, _ = _words(data)
-        spelt = data.split()
+    def __init__(self, row: dict, longest: int):
         self.shift = bits(longest)
-        known = {w: i for i, w in enumerate(dict.fromkeys(spelt), 1)}
-        self.words = [b"", *known]
-        number = np.fromiter(map(known.__getitem__, spelt), np.int64, len(spelt))
-        leads = np.flatnonzero((codes == FIRST[0]) | (codes == LATER[0]))
-        chunk = np.searchsorted(leads, starts) - 1
-        piece = np.searchsorted(np.flatnonzero((codes == 10) | (codes == FIRST[0]) | (codes == LATER[0])), starts)
-        first = np.searchsorted(starts, leads)[chunk]
-        counted = (np.arange(len(starts)) - first >= longest - 1) | (codes[leads] == FIRST[0])[chunk]
-        weight = np.frombuffer(times, "<i8")[chunk]
+        self.words = [b"", *row["vocabulary"].split(b" ")]
+        number = np.frombuffer(row["words"], "<u4").astype(np.int64)
+        flags = np.frombuffer(row["flags"], np.uint8)
+        weight = np.repeat(np.frombuffer(row["times"], "<i8"), np.frombuffer(row["sizes"], "<u4"))
+        counted, same = (flags & COUNTED) > 0, (flags & SAME) > 0
         self.total = int(weight[counted].sum())
-        keys, weights = [], []
-        for n in range(1, min(longest, len(starts)) + 1):
-            m = len(starts) - n + 1
-            good = np.flatnonzero(counted[n - 1 :] & (piece[n - 1 :] == piece[:m]))
-            key = np.zeros(len(good), np.int64)
+        keys, weights, good = [], [], counted
+        for n in range(1, longest + 1):
+            if n > 1:
+                # The last n words are in one piece if the n - 1 before are and the last follows in it.
+                good = good.copy()
+                good[: n - 1] = False
+                good[n - 2 + 1 :] &= same[1 : len(same) - (n - 2)] if n > 2 else same[1:]
+            ends = np.flatnonzero(good)
+            key = np.zeros(len(ends), np.int64)
             for i in range(longest):
-                key = key << self.shift | (number[good + i] if i < n else 0)
+                key = key << self.shift | (number[ends - n + 1 + i] if i < n else 0)
             keys.append(key)
-            weights.append(weight[good + n - 1])
+            weights.append(weight[ends])
         keys, weights = np.concatenate(keys), np.concatenate(weights)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
         self.keys = keys[heads]
         self.counts = np.add.reduceat(weights[order], heads) if len(heads) else weights
         digests = np.array([0, *map(xxh64_intdigest, self.words[1:])], np.uint64)
-        self.hashes = np.full(len(self.keys), xxh64_intdigest(lang.encode()), np.uint64)
+        self.hashes = np.full(len(self.keys), xxh64_intdigest(row["lang"].encode()), np.uint64)
         for i in range(longest):
             self.hashes = _mixed((self.hashes ^ digests[self.ids(self.keys, longest - 1 - i)]) * np.uint64(BASE))
 
@@ -216,23 +234,24 @@ class Grams:
 
     def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams in the order of their buckets, and where each bucket's end."""
-        bucket = ((self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket = ((self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
 
 
 def _asked(buckets: int, longest: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, lang, data, times in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                grams = Grams(lang, data, times, longest)
+            for row in batch.to_pylist():
+                grams = Grams(row, longest)
                 order, ends = grams.by_bucket(buckets)
-                hashes = grams.hashes[order].astype("<u8")
+                # A bucket's n-grams are few against 2**32, however large the corpus.
+                hashes = (grams.hashes[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
                 counts = np.minimum(grams.counts[order], min(least, 255)).astype(np.uint8)
                 bounds = [0, *ends.tolist()]
                 own = [(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i for i, _, _ in own], pa.int32()), pa.array([number] * len(own), pa.int64()),
+                        pa.array([i for i, _, _ in own], pa.int32()), pa.array([row["slice"]] * len(own), pa.int64()),
                         pa.array([hashes[a:b].tobytes() for _, a, b in own], pa.binary()),
                         pa.array([counts[a:b].tobytes() for _, a, b in own], pa.binary()),
                     ],
@@ -244,7 +263,7 @@ def _asked(buckets: int, longest: int, least: int):
 
 def _answered(least: int):
     def run(asked: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(asked.column("hashes").to_pylist()), "<u8")
+        hashes = np.frombuffer(b"".join(asked.column("hashes").to_pylist()), "<u4")
         counts = np.frombuffer(b"".join(asked.column("counts").to_pylist()), np.uint8)
         order = np.argsort(hashes)
         ranked = hashes[order]
@@ -260,24 +279,36 @@ def _answered(least: int):
 
 
 def _told(buckets: int, longest: int):
+    """From some slices and what they were answered: their frequent phrases with counts, added up over these slices."""
+
     def run(slices: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"lang": [], "phrase": [], "words": [], "n": []}
-        masks = dict(zip(answers.column("bucket").to_pylist(), answers.column("mask").to_pylist(), strict=True))
-        for row in slices.to_pylist():
-            grams = Grams(row["lang"], row["chunks"], row["times"], longest)
+        masks = dict(zip(zip(answers.column("slice").to_pylist(), answers.column("bucket").to_pylist(), strict=True), answers.column("mask").to_pylist(), strict=True))
+        counts: dict[str, dict[bytes, int]] = {}
+        totals: dict[str, int] = {}
+        for at in range(slices.num_rows):
+            row = slices.slice(at, 1).to_pylist()[0]
+            grams = Grams(row, longest)
             order, ends = grams.by_bucket(buckets)
             frequent = np.zeros(len(order), bool)
             for i, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
                 if b > a:
-                    frequent[a:b] = np.unpackbits(np.frombuffer(masks[i], np.uint8), count=b - a)
+                    frequent[a:b] = np.unpackbits(np.frombuffer(masks[row["slice"], i], np.uint8), count=b - a)
             chosen = order[frequent]
-            ids = [grams.ids(grams.keys[chosen], place).tolist() for place in range(longest - 1, -1, -1)]
-            spelt = [b" ".join([grams.words[i] for i in one if i]) for one in zip(*ids, strict=True)]
-            out["lang"].append(pa.array([row["lang"]] * (len(chosen) + 1)))
-            out["phrase"].append(pa.array([*spelt, None], pa.binary()).cast(pa.string()))
-            out["words"].append(pa.array([*sum(np.array(x, np.int64) > 0 for x in map(np.array, ids)).astype(np.int32).tolist(), 0], pa.int32()))
-            out["n"].append(pa.array([*grams.counts[chosen].tolist(), grams.total], pa.int64()))
-        return pa.table({name: pa.chunked_array(columns) for name, columns in out.items()})
+            own, spelt = counts.setdefault(row["lang"], {}), [[grams.words[i] for i in grams.ids(grams.keys[chosen], place).tolist()] for place in range(longest - 1, -1, -1)]
+            # A place without a word is empty and leaves a blank at the end.
+            for phrase, n in zip(map(b" ".join, zip(*spelt, strict=True)), grams.counts[chosen].tolist(), strict=True):
+                own[phrase] = own.get(phrase, 0) + n
+            totals[row["lang"]] = totals.get(row["lang"], 0) + grams.total
+        out = []
+        for lang, own in counts.items():
+            phrases = [phrase.rstrip(b" ") for phrase in own]
+            out.append(pa.table({
+                "lang": pa.array([lang] * (len(own) + 1)),
+                "phrase": pa.array([*phrases, None], pa.binary()).cast(pa.string()),
+                "words": pa.array([*(phrase.count(b" ") + 1 for phrase in phrases), 0], pa.int32()),
+                "n": pa.array([*own.values(), totals[lang]], pa.int64()),
+            }))
+        return pa.concat_tables(out)
 
     return run
 
@@ -285,12 +316,13 @@ def _told(buckets: int, longest: int):
 def frequencies(slices: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, n) of all phrases of up to `longest` words with n >= least, and for each language a null
     phrase whose n counts all its words. slices is read three times: stage it."""
-    size = slices.agg(F.sum(F.length("chunks"))).first()[0] or 0
+    size = slices.agg(F.sum(F.length("words"))).first()[0] or 0
     buckets = 1 + size // BUCKET
     asked = slices.mapInArrow(_asked(buckets, longest, least), "bucket int, slice long, hashes binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered(least), "slice long, bucket int, mask binary")
-    told = slices.groupBy("slice").cogroup(answers.groupBy("slice"))
-    each = told.applyInArrow(_told(buckets, longest), "lang string, phrase string, words int, n long")
+    # Neighbouring slices together, so that a phrase is sent once for all of them.
+    several = lambda rows: rows.withColumn("several", F.shiftright("slice", TOGETHER)).groupBy("several")
+    each = several(slices).cogroup(several(answers)).applyInArrow(_told(buckets, longest), "lang string, phrase string, words int, n long")
     return each.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least))
 
 

@@ -59,7 +59,7 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 @pytest.mark.parametrize(("longest", "every"), [(2, 1), (2, 5), (3, 1), (3, 4), (4, 3), (5, 2)])
 def test_many_cuts_and_slices_change_no_count(spark, sf_dir, monkeypatch, longest, every):
-    monkeypatch.setattr(C, "BUCKET", 50_000)
+    monkeypatch.setattr(C, "BUCKET", 20_000)
     monkeypatch.setattr(C, "GATHERED", 20_000)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
     rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
