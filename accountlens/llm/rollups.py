@@ -6,7 +6,8 @@ kept, one file set per batch, and totals are the sums over the batches. Sums are
 committed in any order, and they combine before any shuffle, so a hot source costs no more than another.
 
 A batch has a name. Committing writes the partition of that name anew and nothing else, so a repeated commit,
-after a lost driver for instance, changes nothing. compact() folds old batches into one under the same rule.
+after a lost driver for instance, changes nothing. compacted() folds all batches into one, which keeps their names:
+a repeated commit of a folded batch does nothing.
 
 Defined cases: a null text has no tokens and is counted as a document; null source, language or tokenizer are
 groups of their own; repeated rows count each; groups whose documents and tokens are all taken back disappear from
@@ -24,7 +25,7 @@ from accountlens.llm.common import staged, table
 from accountlens.session import new_shared_path
 
 GROUP = ["source", "lang", "tokenizer"]
-DELTA = "source string, lang string, tokenizer string, documents long, tokens long, batch string"
+DELTA = "source string, lang string, tokenizer string, documents long, tokens long, holds string, batch string"
 
 #: The tokenizer versions: what a token is. Version 1 takes runs of anything but blanks, version 2 cuts words,
 #: digits and marks apart.
@@ -61,12 +62,15 @@ class Rollup:
         self.spark, self.path = spark, path
 
     def commit(self, batch: str, signed: DataFrame) -> None:
-        """Add the signed rows under the batch's name; a repeated commit of a name replaces the first."""
+        """Add the signed rows under the batch's name; a repeated commit of a name replaces the first, or does nothing if
+        the first was folded."""
+        if self.holds(batch):
+            return
         sums = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         # A batch without a row still leaves its partition: a marker that adds nothing.
         none, nothing = F.lit(None).cast("string"), F.lit(0).cast("long")
         marker = self.spark.range(1).select(*[none.alias(name) for name in GROUP], nothing.alias("documents"), nothing.alias("tokens"))
-        self._write(sums.unionByName(marker).withColumn("batch", F.lit(batch)))
+        self._write(sums.unionByName(marker).withColumns({"holds": none, "batch": F.lit(batch)}))
 
     def _write(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
@@ -74,8 +78,16 @@ class Rollup:
     def deltas(self) -> DataFrame:
         return self.spark.read.schema(DELTA).parquet(self.path)
 
+    def holds(self, batch: str) -> bool:
+        """Whether the batch was folded into another."""
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not files.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(files):
+            return False  # nothing was committed yet
+        return bool(self.deltas().where(F.col("holds") == batch).take(1))
+
     def batches(self) -> DataFrame:
-        return self.deltas().select("batch").distinct()
+        """The names of all batches, the folded ones too."""
+        return self.deltas().select(F.coalesce("holds", "batch").alias("batch")).distinct()
 
     def totals(self, without: Iterable[str] = ()) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens), but for the named batches."""
@@ -84,9 +96,12 @@ class Rollup:
         return sums.where("documents <> 0 or tokens <> 0")
 
     def compacted(self, path: str, batch: str = "compacted") -> Rollup:
-        """A rollup in another folder with the same totals in one batch; readers change over when it is complete."""
+        """A rollup in another folder with the same totals in one batch, which holds the names of all; readers and
+        writers change over when it is complete."""
         other = Rollup(self.spark, path)
-        other._write(self.totals().withColumn("batch", F.lit(batch)))
+        zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+        names = self.batches().select(*[none.alias(name) for name in GROUP], zero.alias("documents"), zero.alias("tokens"), F.col("batch").alias("holds"))
+        other._write(self.totals().withColumn("holds", none).unionByName(names).withColumn("batch", F.lit(batch)))
         return other
 
 

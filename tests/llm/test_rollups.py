@@ -35,3 +35,23 @@ def test_order_of_batches(spark, odd):
         for name, rows in order:
             rollup.commit(name, rows)
     assert totals(one) == totals(other)
+
+
+def test_replays_after_compaction_do_nothing(spark, odd):
+    rollup = rollups.Rollup(spark, new_shared_path(spark, "test-rollup"))
+    rows = rollups.inserts(rollups.counts(odd, "blank-1"))
+    for name in ("1", "2"):
+        rollup.commit(name, rows)
+    folded = rollup.compacted(new_shared_path(spark, "test-rollup"))
+    before = totals(folded)
+    assert before == totals(rollup) and before["b", "en", "blank-1"] == (8, 480_000)
+    for name in ("1", "2", "compacted"):
+        if name != "compacted":
+            folded.commit(name, rows)
+    assert totals(folded) == before
+    folded.commit("3", rows)
+    again = folded.compacted(new_shared_path(spark, "test-rollup"), "compacted-2")
+    for name in ("1", "2", "3", "compacted"):
+        again.commit(name, rows)
+    assert totals(again) == totals(folded) and totals(again)["b", "en", "blank-1"] == (12, 720_000)
+    assert {"1", "2", "3"} <= {r.batch for r in again.batches().collect()}
