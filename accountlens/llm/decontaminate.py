@@ -1,13 +1,16 @@
 """Benchmark decontamination by templates.
 
 Texts are canonicalised: numbers, units and names (capitalised words inside a sentence) become typed
-placeholders, everything else a case-folded literal without punctuation. Windows of WINDOW template tokens
-with LITERALS literals or more are joined with those of the benchmark; so are all plain windows, those of the
-case-folded tokens with their values, which find copies whatever their case and however few literals they have.
-Matching windows of a document and an item that lie on one diagonal are an alignment; it counts only if its
-slots are consistent, that is, if each number, unit or name of the item stands for one value in the document
-wherever it occurs. A document is contaminated by an item if consistent alignments cover COVERED of the item's
-windows or, by templates alone, of its template windows, or if one of them covers RUN tokens.
+placeholders, everything else, arithmetic signs too, a case-folded literal without punctuation. Windows of WINDOW
+template tokens are joined with those of the benchmark; so are all plain windows, those of the case-folded tokens
+with their values, which find copies whatever their case and however few literals they have. Matching windows of a
+document and an item that lie on one diagonal are an alignment; it counts only if its slots are consistent, that
+is, if each number, unit or name of the item stands for one value in the document wherever it occurs, and no two
+for the same. A document is contaminated by an item if consistent alignments cover COVERED of the item's windows
+or, by templates alone, of its template windows, or if one of them covers RUN tokens. Template windows with fewer
+than LITERALS literals say little on their own: they count only where all of the item's template windows are found
+on consistent alignments. Windows with fewer than FEW literals are any list of names or numbers; only their plain
+form, with the values, counts.
 
 A bitmap of fixed size, made of the benchmark's window hashes, goes with the scan and keeps almost all
 other windows from the join; what it lets through wrongly, the join removes. Joins and groups are on
@@ -33,7 +36,7 @@ from xxhash import xxh64_intdigest
 
 from accountlens.llm.common import Windows, parts, staged, table, utf8, words_of
 
-WINDOW, LITERALS = 8, 4
+WINDOW, LITERALS, FEW = 8, 4, 2
 COVERED, RUN = 0.5, 20
 #: The bitmap has 2**BITMAP_BITS bits, whatever the size of the benchmark.
 BITMAP_BITS = 22
@@ -55,9 +58,11 @@ UNITS = frozenset(
 )
 UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 LETTER = rf"[^\W\d_{UNSPACED}]"
-TOKEN = re.compile(rf"[0-9]+(?:[.,:/][0-9]+)*|{LETTER}+(?:['’-]{LETTER}+)*|(?![\W\d_])[{UNSPACED}]|[$€£%°]")
+#: Signs are tokens where they stand alone or behind a digit.
+SIGN = r"[-+*/=<>^×÷−]"
+TOKEN = re.compile(rf"[0-9]+(?:[.,:/][0-9]+)*|{LETTER}+(?:['’-]{LETTER}+)*|(?![\W\d_])[{UNSPACED}]|[$€£%°]|^{SIGN}$|(?<=[0-9]){SIGN}(?=[0-9(])")
 #: What the template of a plain window begins with, and the seed of its tokens' hashes.
-PLAIN, SEED = "=", 1
+PLAIN, SEED = "::", 1
 SENTENCE_END = re.compile(r"[.!?:;|]\W*$")
 
 
@@ -131,10 +136,10 @@ class Template:
         self.literals = np.concatenate([[0], np.cumsum(self.kinds == LITERAL)])
 
     def starts(self, size: int, plain: bool) -> np.ndarray:
-        """Of the windows of so many tokens within one text; those of a template have enough literals."""
+        """Of the windows of so many tokens within one text; those of a template have FEW literals at least."""
         at = np.arange(max(0, len(self.text) - size + 1))
         at = at[self.text[at] == self.text[at + size - 1]]
-        return at if plain else at[self.literals[at + size] - self.literals[at] >= LITERALS]
+        return at if plain else at[self.literals[at + size] - self.literals[at] >= FEW]
 
     def shown(self, at: int, size: int, plain: bool) -> tuple[str, list[str]]:
         """The template of a window, and what fills its slots."""
@@ -235,26 +240,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = staged(found, "template-windows")
     plain = F.startswith("template", F.lit(PLAIN)).alias("plain")
     width = (F.size(F.split("template", " ")) - plain.cast("int")).alias("width")
+    literals = F.size(F.filter(F.split("template", " "), lambda x: ~x.isin(list(PLACEHOLDER.values()))))
+    strong = (~plain & (literals >= LITERALS)).alias("strong")
     left = found.select(F.col("id").alias("doc_id"), F.col("place").alias("at"), "template", F.col("slots").alias("here"))
-    right = items.select(F.col("id").alias("item_id"), "place", "template", "slots", width, plain)
+    right = items.select(F.col("id").alias("item_id"), "place", "template", "slots", width, plain, strong)
     pairs = left.join(right, "template").withColumn("diagonal", F.col("at") - F.col("place")).drop("template", "at")
     line = ["doc_id", "item_id", "diagonal"]
     filled = pairs.select(*line, F.explode(F.arrays_zip("slots", "here")).alias("slot")).select(*line, "slot.slots", "slot.here")
-    clashes = (
-        filled.groupBy(*line, "slots").agg(F.min("here").alias("least"), F.max("here").alias("most"))
-        .groupBy(*line).agg(F.bool_or(F.col("least") != F.col("most")).alias("clash"), F.bool_and((F.col("least") == F.col("slots")) & (F.col("most") == F.col("slots"))).alias("same"))
-    )
-    by_template = F.when(~F.col("plain"), F.col("place"))
-    lines = pairs.groupBy(*line).agg(F.collect_set("place").alias("places"), F.collect_set(by_template).alias("by_template"), (F.max("place") - F.min("place") + F.max("width")).alias("run"), F.count_distinct("place").alias("windows"), F.max("width").alias("width"))
+    # At most as many values as the item has tokens.
+    values = lambda *names: F.size(F.collect_set(F.struct(*names)))
+    clashes = filled.groupBy(*line).agg(
+        (values("slots", "here") != values("slots")).alias("several"), (values("slots", "here") != values("here")).alias("shared"),
+        F.bool_and(F.col("slots") == F.col("here")).alias("same"),
+    ).withColumn("clash", F.col("several") | F.col("shared"))
+    telling = F.col("plain") | F.col("strong")
+    places = lambda wanted: F.collect_set(F.when(wanted, F.col("place")))
+    lines = pairs.groupBy(*line).agg(
+        places(telling).alias("places"), places(F.col("strong")).alias("by_template"), places(~F.col("plain")).alias("by_any"),
+        F.coalesce(F.max(F.when(telling, F.col("place"))) - F.min(F.when(telling, F.col("place"))) + F.max("width"), F.lit(0)).alias("run"), F.max("width").alias("width"),
+    )
     # A line with gaps is as long as its windows, not as its ends are apart.
-    run = F.least("run", F.col("windows") + F.col("width") - 1)
-    kept = lines.join(clashes, line, "left").where(~F.coalesce("clash", F.lit(False)))
-    whole = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("place").alias("of"), F.count_distinct(F.when(~plain, F.col("place"))).alias("templates"))
+    run = F.when(F.size("places") > 0, F.least("run", F.size("places") + F.col("width") - 1)).otherwise(0)
+    kept = lines.join(clashes.drop("several", "shared"), line, "left").where(~F.coalesce("clash", F.lit(False)))
+    whole = items.select(F.col("id").alias("item_id"), "place", plain, strong).groupBy("item_id").agg(
+        F.count_distinct(F.when(F.col("plain") | F.col("strong"), F.col("place"))).alias("of"),
+        F.count_distinct(F.when(F.col("strong"), F.col("place"))).alias("templates"), F.count_distinct(F.when(~F.col("plain"), F.col("place"))).alias("all_templates"),
+    )
     distinct = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name))))
     per_pair = kept.groupBy("doc_id", "item_id").agg(
-        distinct("places").alias("windows"), distinct("by_template").alias("by_template"), F.max(run).alias("run"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact")
+        distinct("places").alias("windows"), distinct("by_template").alias("by_template"), distinct("by_any").alias("by_any"), F.max(run).alias("run"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact")
     )
-    judged = per_pair.join(whole, "item_id").withColumn("covered", F.greatest(F.col("windows") / F.col("of"), F.when(F.col("templates") > 0, F.col("by_template") / F.col("templates"))))
+    judged = per_pair.join(whole, "item_id")
+    shares = [F.col("windows") / F.col("of"), F.when(F.col("templates") > 0, F.col("by_template") / F.col("templates"))]
+    shares.append(F.when((F.col("all_templates") > 0) & (F.col("by_any") == F.col("all_templates")), 1.0))
+    judged = judged.withColumn("covered", F.greatest(*shares))
     return judged.where((F.col("covered") >= COVERED) | (F.col("run") >= RUN)).select("doc_id", "item_id", "covered", "run", "exact")
 
 
