@@ -17,6 +17,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 from math import isqrt
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accountlens.llm.common import staged, table, utf8
+from accountlens.llm.common import parts, staged, table, utf8
 from accountlens.llm.tokens import word_tokenizer
 
 CAPACITY = 2048
@@ -35,36 +36,42 @@ CLOSING = (0).to_bytes(4, "little")
 LARGE, GROUPS = 6, 128
 
 
-def _cutter(name: str, capacity: int):
+def _cutter(name: str, capacity: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(name)
         for batch in batches:
-            row, piece, ids = [], [], []
-            for i, text in enumerate(utf8(batch.column(1))):
-                whole = tokenizer.ids(text) + CLOSING
-                for number, first in enumerate(range(0, len(whole), 4 * capacity)):
-                    row.append(i)
-                    piece.append(number)
-                    ids.append(whole[first : first + 4 * capacity])
-            number = np.array(piece, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row, pa.int64())),
-                    pa.array(number),
-                    pa.array(number.astype(np.int64) * capacity),
-                    pa.array(np.array([len(x) // 4 for x in ids], np.int64)),
-                    pa.array(ids, pa.binary()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids"],
-            )
+            for part in parts(batch, 1):
+                row, piece, length, ids = [], [], [], []
+                for i, text in enumerate(utf8(part.column(1))):
+                    whole = memoryview(tokenizer.ids(text) + CLOSING)
+                    for number, first in enumerate(range(0, len(whole), 4 * capacity)):
+                        own = whole[first : first + 4 * capacity]
+                        row.append(i)
+                        piece.append(number)
+                        length.append(len(own) // 4)
+                        ids.append(zlib.crc32(own) if digest else bytes(own))
+                number = np.array(piece, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(row, pa.int64())),
+                        pa.array(number),
+                        pa.array(number.astype(np.int64) * capacity),
+                        pa.array(length, pa.int64()),
+                        pa.array(ids, pa.int64() if digest else pa.binary()),
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids"],
+                )
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids) of docs (doc_id, text); ids: little-endian unsigned 32-bit numbers."""
-    out = "doc_id long, piece int, start long, length long, ids binary"
-    return docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity), out)
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, digest: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids) of docs (doc_id, text); ids: little-endian unsigned 32-bit numbers.
+
+    With `digest` only their checksum, ids_crc32, leaves the workers.
+    """
+    out = f"doc_id long, piece int, start long, length long, {'ids_crc32 long' if digest else 'ids binary'}"
+    return docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity, digest), out)
 
 
 class Plan:
@@ -205,6 +212,4 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op3_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = pieces(table(spark, sf_dir, "documents"))
-    digests = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return place(staged(digests, "pieces"))
+    return place(staged(pieces(table(spark, sf_dir, "documents"), digest=True), "pieces"))

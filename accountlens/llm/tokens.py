@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import cache
 
 import public_tokenizers
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps (about 0.2 KB each) before it starts anew.
 KEPT_WORDS = 500_000
-AFTER_LETTER = re.compile(rb"([a-z])([.,;:!?])")
+AFTER_LETTER = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
 
 
 def path(name: str) -> str:
@@ -37,17 +38,17 @@ class WordTokenizer:
         if not text:
             return b""
         if not (b"\xcc" in text or b"\xcd" in text or b"<|" in text):
-            text = AFTER_LETTER.sub(rb"\1 \2", text.lower())
+            text = AFTER_LETTER.sub(b" ", text.lower())
         words = text.split()
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        known = self.known
-        new = [word for word in set(words) if word not in known]
-        if new:
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = list(dict.fromkeys(word for word, ids in zip(words, found, strict=True) if ids is None))
             encoded = self.tokenizer.encode_batch_fast([word.decode(errors="replace") for word in new], add_special_tokens=False)
-            for word, one in zip(new, encoded, strict=True):
-                known[word] = b"".join(i.to_bytes(4, "little") for i in one.ids)
-        return b"".join([known[word] for word in words])
+            self.known.update((word, struct.pack(f"<{len(one.ids)}I", *one.ids)) for word, one in zip(new, encoded, strict=True))
+            found = map(self.known.__getitem__, words)
+        return b"".join(found)
 
 
 @cache
