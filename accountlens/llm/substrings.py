@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -106,16 +107,19 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def _filter(bits: np.ndarray, wanted: bool):
-    """Rows whose key, the last column, has its bit set, or the others."""
+def _hits(batch: pa.RecordBatch, packed: bytes) -> np.ndarray:
+    """Whether the bit of each row's key, the last column, is set."""
+    known = np.frombuffer(packed, np.uint8)
+    bit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & ((1 << BITMAP_BITS) - 1)
+    return ((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _hit(bits: np.ndarray):
     packed = np.packbits(bits, bitorder="little").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(packed, np.uint8)
         for batch in batches:
-            bit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & ((1 << BITMAP_BITS) - 1)
-            hit = ((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-            yield batch.filter(pa.array(hit == wanted))
+            yield batch.filter(pa.array(_hits(batch, packed)))
 
     return run
 
@@ -124,65 +128,86 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def _sources(span: int):
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, one behind the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _sources(span: int, step: int = 1 << 16):
     """From texts and their sources: a digest for each path, and hashes of the windows at branches."""
+    names = ["path", "at", "anchor", "window", "proof", "doc_id"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+
+    def rows(columns: list) -> pa.RecordBatch:
+        size = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCache(xxh64_intdigest)
         for whole in batches:
-            for batch in parts(whole, 1):
-                split = Words(utf8(batch.column(1)), codes)
-                path, at, anchor, window, proof, doc = [], [], [], [], [], []
-                rows = zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), split.begin.tolist(), strict=True)
-                for doc_id, text, sources, begin in rows:
-                    words = words_of(text)
-                    for source in sources:
-                        path.append(source["path"])
-                        proof.append(digest(words[source["at"] : source["at"] + source["n"] + span - 1]))
-                        at.append(None)
-                        anchor.append(None)
-                        window.append(None)
-                        doc.append(doc_id)
-                        for branch in source["branches"] or ():
-                            starts = begin + source["at"] + branch["off"] + np.arange(branch["n"])
-                            path += [source["path"]] * branch["n"]
-                            at += range(branch["off"], branch["off"] + branch["n"])
-                            anchor += [branch["anchor"]] * branch["n"]
-                            window += split.windows.hashes(starts, span).view(np.int64).tolist()
-                            proof += [None] * branch["n"]
-                            doc += [doc_id] * branch["n"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(path, pa.int64()), pa.array(at, pa.int32()), pa.array(anchor, pa.int64()), pa.array(window, pa.int64()), pa.array(proof, pa.binary()), pa.array(doc, pa.int64())],
-                    names=["path", "at", "anchor", "window", "proof", "doc_id"],
-                )
+            for batch in parts(whole, 1, 1 << 20):
+                texts = utf8(batch.column(1))
+                split = Words(texts, codes)
+                doc_id = batch.column(0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+                sources = batch.column(2).flatten()
+                path, at, n = (pc.struct_field(sources, x).to_numpy(zero_copy_only=False) for x in ("path", "at", "n"))
+                proof, known, words = [], -1, []
+                for i, first, count in zip(row.tolist(), at.tolist(), n.tolist(), strict=True):
+                    if i != known:
+                        known, words = i, words_of(texts[i])
+                    proof.append(digest(words[first : first + count + span - 1]))
+                yield rows([path, None, None, None, proof, doc_id[row]])
+                held = pc.struct_field(sources, "branches")
+                source = np.repeat(np.arange(len(sources)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+                branches = held.flatten()
+                off, count, anchor = (pc.struct_field(branches, x).to_numpy(zero_copy_only=False) for x in ("off", "n", "anchor"))
+                begin = split.begin[row[source]] + at[source] if len(source) else source
+                # So many windows at a time, cut at branches.
+                group = np.cumsum(count) // step
+                cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(count)] if len(count) else []
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    own = np.repeat(np.arange(a, b), count[a:b])
+                    place = off[own] + _within(count[a:b].astype(np.int64))
+                    hashes = split.windows.hashes(begin[own] + place, span).view(np.int64)
+                    yield rows([path[source[own]], place.astype(np.int32), anchor[own], hashes, None, doc_id[row[source[own]]]])
 
     return run
 
 
-def _kept(span: int):
-    """Removes the spans of each text; a text without spans is kept whole."""
+def _kept(span: int, hashed: bool, bits: np.ndarray | None = None):
+    """Removes the spans of each text. With `bits`, only texts whose key has no bit there are read, and kept whole."""
+    packed = None if bits is None else np.packbits(bits, bitorder="little").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, removed, kept = [], [], []
-            for text, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text)
-                gone = np.zeros(len(words) + 1, np.int64)
-                for one in spans or ():
-                    if digest(words[one["at"] : one["at"] + one["n"] + span - 1]) == one["proof"]:
-                        for piece in one["pieces"]:
-                            gone[one["at"] + piece["off"]] += 1
-                            gone[one["at"] + piece["off"] + piece["n"] + span - 1] -= 1
-                stays = np.cumsum(gone)[:-1] == 0
-                left = words if stays.all() else [words[i] for i in np.flatnonzero(stays).tolist()]
-                total.append(len(words))
-                removed.append(len(words) - len(left))
-                kept.append(b" ".join(left).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+        for whole in batches:
+            rest = whole if packed is None else whole.filter(pa.array(~_hits(whole, packed)))
+            for batch in parts(rest, 1, 1 << 20):
+                total, removed, kept = [], [], []
+                every = [None] * batch.num_rows if packed else batch.column(2).to_pylist()
+                for text, spans in zip(utf8(batch.column(1)), every, strict=True):
+                    words = words_of(text)
+                    left = words if not spans else _without(words, spans, span)
+                    total.append(len(words))
+                    removed.append(len(words) - len(left))
+                    joined = b" ".join(left)
+                    kept.append(hashlib.sha256(joined).hexdigest() if hashed else joined.decode(errors="replace"))
+                columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256" if hashed else "kept"])
 
     return run
 
 
+def _without(words: list[bytes], spans: list[dict], span: int) -> list[bytes]:
+    gone = np.zeros(len(words) + 1, np.int64)
+    for one in spans:
+        if digest(words[one["at"] : one["at"] + one["n"] + span - 1]) == one["proof"]:
+            for piece in one["pieces"]:
+                gone[one["at"] + piece["off"]] += 1
+                gone[one["at"] + piece["off"] + piece["n"] + span - 1] -= 1
+    return [words[i] for i in np.flatnonzero(np.cumsum(gone)[:-1] == 0).tolist()]
+
+
 def paths(repeated: DataFrame) -> DataFrame:
     """(path, edge, off, n, anchor, branch, doc_id, tag, at) for each edge of the repeated occurrences.
 
@@ -226,7 +251,7 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     per_doc = sources.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("path", "at", "n", "branches")).alias("sources"))
     key = F.xxhash64("doc_id", "tag")
     keyed = known.select("doc_id", "tag", "text", key.alias("key"))
-    texts = keyed.mapInArrow(_filter(bitmap(sources.select(key.alias("key"))), True), keyed.schema)
+    texts = keyed.mapInArrow(_hit(bitmap(sources.select(key.alias("key")))), keyed.schema)
     # A repeated row is one source: its windows would count twice, and make its paths longer than their text.
     seen = texts.join(per_doc, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "text", "sources")
     seen = staged(seen.mapInArrow(_sources(span), "path long, at int, anchor long, window long, proof binary, doc_id long"), "sources")
@@ -249,19 +274,21 @@ def removals(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFra
     return lost.groupBy("doc_id", "tag").agg(F.collect_list(one).alias("spans"))
 
 
-def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every row of docs (doc_id, text); kept: the words left, joined by a blank."""
+def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hashed: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every row of docs (doc_id, text); kept: the words left, joined by a blank.
+
+    With `hashed` their SHA-256, kept_sha256, leaves the workers instead.
+    """
     tagged = docs.select("doc_id", "text", F.hash("text").alias("tag"))
     lost = staged(removals(tagged, span, anchor), "removals")
     key = F.xxhash64("doc_id", "tag")
     keyed = tagged.select("doc_id", "tag", "text", key.alias("key"))
     bits = bitmap(lost.select(key.alias("key")))
-    cut = keyed.mapInArrow(_filter(bits, True), keyed.schema).join(lost, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
-    rest = keyed.mapInArrow(_filter(bits, False), keyed.schema).select("doc_id", "text", F.lit(None).cast(lost.schema["spans"].dataType).alias("spans"))
-    out = "doc_id long, n_words long, n_removed long, kept string"
-    return cut.mapInArrow(_kept(span), out).union(rest.mapInArrow(_kept(span), out))
+    cut = keyed.mapInArrow(_hit(bits), keyed.schema).join(lost, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    out = f"doc_id long, n_words long, n_removed long, {'kept_sha256' if hashed else 'kept'} string"
+    rest = keyed.select("doc_id", "text", "key").mapInArrow(_kept(span, hashed, bits), out)
+    return cut.mapInArrow(_kept(span, hashed), out).union(rest)
 
 
 def op2_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup(table(spark, sf_dir, "documents"), hashed=True)
