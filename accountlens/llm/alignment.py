@@ -19,36 +19,51 @@ an empty result; other columns are ignored. A document's links are one value.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from accountlens.llm.common import parts, staged, table
+from accountlens.llm.common import BASE, Windows, parts, staged, table
 from accountlens.llm.tokens import path
 
-A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text tokenized at once, and of a slice; windows that a worker keeps before it starts anew.
-STEP, SLICE, KEPT = 1 << 20, 8 << 20, 300_000
+#: The first is byte_bpe_50k.json's vocabulary as ranks: the same ids, found four times as fast.
+A, B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+#: Bytes of text tokenized at once, and of a slice; windows that a worker keeps.
+STEP, SLICE, KEPT = 1 << 18, 3 << 20, 100_000
 
 
 class Side:
-    """One tokenizer: ids of texts, and by id the token's bytes, their number, and whether they begin with a space."""
+    """One tokenizer: ids of texts, and by id the token's bytes, their number, and whether they begin with a space.
+
+    cuts: its tokens are cut from the text's own bytes, so they spell it if they are as long.
+    """
 
     def __init__(self, name: str):
+        self.cuts = name.endswith(".tiktoken")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if name.endswith(".model"):
             model = sentencepiece.SentencePieceProcessor(model_file=path(name))
             self.encode = lambda texts: model.encode(texts, num_threads=1)
             self.bytes = [_piece(model, i) for i in range(model.get_piece_size())]
+        elif name.endswith(".tiktoken"):
+            with open(path(name), "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            model = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda texts: [model.encode_to_numpy(f" {t}", disallowed_special=()) for t in texts]
+            known = {rank: token for token, rank in ranks.items()}
+            self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         else:
             model = Tokenizer.from_file(path(name))
             model.encode_special_tokens = True
@@ -59,6 +74,11 @@ class Side:
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.marked = np.array([b.startswith(b" ") for b in self.bytes])
 
+    def spells(self, ids, spelt: bytes) -> bool:
+        if self.cuts:
+            return int(self.lengths[ids].sum()) == len(spelt)
+        return b"".join(map(self.bytes.__getitem__, ids)) == spelt
+
 
 def _piece(model, i: int) -> bytes:
     piece = model.id_to_piece(i)
@@ -72,59 +92,46 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-class Window:
-    """The groups of a window: their text form, sizes on either side, and the id pairs that end together."""
-
-    __slots__ = ("links", "sizes", "text")
-
-    def __init__(self, a: Side, b: Side, a_ids: list[int], b_ids: list[int]):
-        groups, i, j, a_end, b_end, first = [], 0, 0, 0, 0, (0, 0)
-        while i < len(a_ids) or j < len(b_ids):
-            if a_end <= b_end and i < len(a_ids):
-                a_end += len(a.bytes[a_ids[i]])
-                i += 1
-            else:
-                b_end += len(b.bytes[b_ids[j]])
-                j += 1
-            if a_end == b_end:
-                groups.append((a_ids[first[0] : i], b_ids[first[1] : j]))
-                first = i, j
-        self.sizes = [(len(x), len(y)) for x, y in groups]
-        self.links = [x[-1] << 32 | y[-1] for x, y in groups]
-        self.text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of several runs, one run behind the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Aligned:
-    """Some texts' tokens: flat ids, the number of each text's ids, and its windows as numbers of distinct ones."""
-
-    def __init__(self, a_ids, b_ids, n_a, n_b, windows, numbers, per_text):
-        self.a_ids, self.b_ids, self.n_a, self.n_b = a_ids, b_ids, n_a, n_b
-        self.windows, self.numbers = windows, numbers
-        self.ends = np.cumsum(per_text)
-        self.firsts = self.ends - per_text
-
-    def flat(self, of) -> tuple[np.ndarray, np.ndarray]:
-        """A list's entries over all windows in order, and how many of them each text has."""
-        lists = [of(w) for w in self.windows]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        whole = np.array([x for own in lists for x in own], np.int64)
-        starts, each = np.cumsum(sizes) - sizes, sizes[self.numbers]
-        ends = np.cumsum(each)
-        at = np.repeat(starts[self.numbers] - (ends - each), each) + np.arange(each.sum())
-        until = np.concatenate([[0], ends])
-        return whole[at], until[self.ends] - until[self.firsts]
-
-    def texts(self) -> Iterator[str]:
-        texts = [w.text for w in self.windows]
-        numbers = self.numbers.tolist()
-        for first, end in zip(self.firsts.tolist(), self.ends.tolist(), strict=True):
-            yield ";".join([texts[i] for i in numbers[first:end]])
+    """Some texts' tokens: flat ids and each text's number of them; group by group how many ids it has on either side,
+    and each text's number of groups."""
+
+    def __init__(self, ids, counts, sizes, groups, linked):
+        self.ids, self.counts, self.sizes, self.groups = ids, counts, sizes, groups
+        self.ends = [np.cumsum(x) for x in sizes]
+        #: The distinct pairs of ids that end together, and which of them each group has.
+        self.pairs, self.links = linked
+
+    def texts(self, pieces: list[str], offsets: tuple[int, int]) -> Iterator[str]:
+        """The groups of each text; pieces: an id with what follows it, by side and whether it ends its group."""
+        (a, b), (a_ends, b_ends) = self.ids, self.ends
+        codes = np.empty(len(a) + len(b), np.int64)
+        for side, (ids, ends, sizes) in enumerate(zip(self.ids, self.ends, self.sizes, strict=True)):
+            own = ids.astype(np.int64) + offsets[side]
+            own[ends - 1] += offsets[1] // 2 if side == 0 else (len(pieces) - offsets[1]) // 2
+            # Before an id stand those of the other side in earlier groups, and for b of its own group as well.
+            before = b_ends - self.sizes[1] if side == 0 else a_ends
+            codes[np.arange(len(ids)) + np.repeat(before, sizes)] = own
+        ends = np.cumsum(self.counts[0] + self.counts[1]).tolist()
+        for first, end in zip([0, *ends], ends, strict=False):
+            yield "".join(map(pieces.__getitem__, codes[first:end].tolist()))[:-1]
 
 
 class Aligner:
     def __init__(self, a: str, b: str):
-        self.a, self.b = Side(a), Side(b)
-        self.known: dict[tuple[bytes, bytes], Window] = {}
+        self.sides = Side(a), Side(b)
+        self.known: dict[tuple[bytes, bytes], bytes] = {}
+        self.pieces = [f"{i}{mark}" for side, marks in zip(self.sides, (",|", ",;"), strict=True) for mark in marks for i in range(len(side.bytes))]
+        self.offsets = 0, 2 * len(self.sides[0].bytes)
+
+    def texts(self, aligned: Aligned) -> Iterator[str]:
+        return aligned.texts(self.pieces, self.offsets)
 
     def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids on either side; none for texts that one side doesn't spell."""
@@ -132,41 +139,105 @@ class Aligner:
         usable = [i for i, text in enumerate(texts) if text]
         out = [nothing] * len(texts), [nothing] * len(texts)
         whole = [texts[i] for i in usable]
-        a_ids, b_ids = (side.encode(whole) if whole else [] for side in (self.a, self.b))
-        for i, text, x, y in zip(usable, whole, a_ids, b_ids, strict=True):
+        both = [side.encode(whole) if whole else [] for side in self.sides]
+        for i, text, *ids in zip(usable, whole, *both, strict=True):
             spelt = f" {text}".encode()
-            if all(b"".join([side.bytes[t] for t in ids]) == spelt for side, ids in ((self.a, x), (self.b, y))):
-                out[0][i], out[1][i] = np.array(x, np.int32), np.array(y, np.int32)
+            if all(side.spells(own, spelt) for side, own in zip(self.sides, ids, strict=True)):
+                out[0][i], out[1][i] = (np.asarray(own, np.int32) for own in ids)
         return out
 
-    def align(self, texts: list[str | None]) -> Aligned:
-        """All texts at once; each begins with a space on either side, so their ends are anchors as well."""
-        (a_ids, b_ids), counts = zip(*[(np.concatenate([np.zeros(0, np.int32), *x]), np.array([len(y) for y in x], np.int64)) for x in self.tokens(texts)], strict=True)
-        starts = [np.cumsum(n := side.lengths[ids]) - n for side, ids in ((self.a, a_ids), (self.b, b_ids))]
-        marked = [np.flatnonzero(side.marked[ids]) for side, ids in ((self.a, a_ids), (self.b, b_ids))]
+    def shared(self, ids: list[np.ndarray], only_marked: bool) -> list[np.ndarray]:
+        """On either side the tokens that start where one of the other side does; with only_marked, both with a space."""
+        starts = [np.cumsum(n := side.lengths[own]) - n for side, own in zip(self.sides, ids, strict=True)]
+        chosen = [np.flatnonzero(side.marked[own]) if only_marked else np.arange(len(own)) for side, own in zip(self.sides, ids, strict=True)]
         size = max([0, *(int(x[-1]) + 1 for x in starts if len(x))])
         cuts = []
         for this, that in ((0, 1), (1, 0)):
             there = np.zeros(size, bool)
-            there[starts[that][marked[that]]] = True
-            cuts.append(marked[this][there[starts[this][marked[this]]]])
-        if len(self.known) > KEPT:
-            self.known.clear()
-        numbers, windows, found = [], [], {}
-        flat_a, flat_b = a_ids.tobytes(), b_ids.tobytes()
-        bounds = [[*(4 * cut).tolist(), 4 * len(ids)] for cut, ids in zip(cuts, (a_ids, b_ids), strict=True)]
-        for a0, a1, b0, b1 in zip(bounds[0], bounds[0][1:], bounds[1], bounds[1][1:], strict=False):
-            key = flat_a[a0:a1], flat_b[b0:b1]
-            number = found.get(key)
-            if number is None:
-                window = self.known.get(key)
-                if window is None:
-                    window = self.known[key] = Window(self.a, self.b, *(np.frombuffer(k, np.int32).tolist() for k in key))
-                number = found[key] = len(windows)
-                windows.append(window)
-            numbers.append(number)
-        ends = np.searchsorted(cuts[0], np.cumsum(counts[0]))
-        return Aligned(a_ids, b_ids, *counts, windows, np.array(numbers, np.int64), np.diff(ends, prepend=0))
+            there[starts[that][chosen[that]]] = True
+            cuts.append(chosen[this][there[starts[this][chosen[this]]]])
+        return cuts
+
+    def sizes(self, ids: list[np.ndarray], starts: list[np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
+        """For each window (its first id and their number on either side) the sizes of its groups, as pairs of 32 bits.
+
+        What is known by the tuples of ids is looked up; the others are laid end to end, which leaves the places of
+        their tokens relative to one another as they are, and cut together.
+        """
+        flat = [x.tobytes() for x in ids]
+        bounds = [(4 * s).tolist() for s in starts], [(4 * (s + n)).tolist() for s, n in zip(starts, counts, strict=True)]
+        keys = list(zip(
+            [flat[0][i:j] for i, j in zip(bounds[0][0], bounds[1][0], strict=True)],
+            [flat[1][i:j] for i, j in zip(bounds[0][1], bounds[1][1], strict=True)],
+            strict=True,
+        ))
+        found = list(map(self.known.get, keys))
+        new = np.array([i for i, x in enumerate(found) if x is None], np.int64)
+        if len(new):
+            own = [x[_spans(s[new], n[new])] for x, s, n in zip(ids, starts, counts, strict=True)]
+            cuts = self.shared(own, only_marked=False)
+            pairs = np.stack([np.diff(cut, append=len(x)) for cut, x in zip(cuts, own, strict=True)], axis=1).astype("<u4").tobytes()
+            window = np.searchsorted(cuts[0], np.cumsum(counts[0][new])).tolist()
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+            for i, first, end in zip(new.tolist(), [0, *window], window, strict=False):
+                found[i] = pairs[8 * first : 8 * end]
+                if len(self.known) < KEPT:
+                    self.known[keys[i]] = found[i]
+        return found
+
+    def align(self, texts: list[str | None]) -> Aligned:
+        """All texts at once; each begins with a space on either side, so their ends are anchors as well."""
+        tokens: tuple[list, list] = [], []
+        for first, end in _steps(texts):
+            for side, own in zip(tokens, self.tokens(texts[first:end]), strict=True):
+                side += own
+        ids = [np.concatenate([np.zeros(0, np.int32), *x]) for x in tokens]
+        per_text = [np.array([len(y) for y in x], np.int64) for x in tokens]
+        starts = self.shared(ids, only_marked=True)
+        counts = [np.diff(s, append=len(x)) for s, x in zip(starts, ids, strict=True)]
+        # Windows with equal ids, by a hash of them that is then checked.
+        hashes = [Windows(x.astype(np.int64)).hashes(s, n) for x, s, n in zip(ids, starts, counts, strict=True)]
+        _, one, number = np.unique(hashes[0] * np.uint64(BASE) ^ hashes[1], return_index=True, return_inverse=True)
+        good = np.logical_and.reduce([n == n[one][number] for n in counts])
+        for x, s, n in zip(ids, starts, counts, strict=True):
+            window, at = np.repeat(np.arange(len(s)), n), _spans(s, n)
+            there = np.minimum(s[one][number][window] + at - s[window], len(x) - 1)
+            good[window[x[at] != x[there]]] = False
+        wrong = np.flatnonzero(~good)
+        number[wrong] = len(one) + np.arange(len(wrong))
+        one = np.concatenate([one, wrong])
+        sizes = self.sizes(ids, [s[one] for s in starts], [n[one] for n in counts])
+        groups = np.array([len(x) // 8 for x in sizes], np.int64)
+        pairs = np.frombuffer(b"".join(sizes), "<u4").reshape(-1, 2).astype(np.int64)
+        each = groups[number]
+        every = pairs[_spans((np.cumsum(groups) - groups)[number], each)]
+        until = np.concatenate([[0], np.cumsum(each)])
+        ends = until[np.searchsorted(starts[0], np.cumsum(per_text[0]))]
+        return Aligned(ids, per_text, [every[:, 0], every[:, 1]], np.diff(ends, prepend=0), self.linked(ids, [s[one] for s in starts], pairs, groups, number))
+
+    def linked(self, ids: list[np.ndarray], starts: list[np.ndarray], pairs: np.ndarray, groups: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of ids that end together, as a << 32 | b, and of each group in order which it has.
+
+        Only the groups of distinct windows are looked at.
+        """
+        first = np.repeat(np.cumsum(groups) - groups, groups)
+        ends = [np.cumsum(pairs[:, side]) for side in (0, 1)]
+        before = [np.concatenate([[0], e])[first] for e in ends]
+        a, b = (x[np.repeat(s, groups) + e - z - 1].astype(np.int64) for x, s, e, z in zip(ids, starts, ends, before, strict=True))
+        links, which = np.unique(a << 32 | b, return_inverse=True)
+        each = groups[number]
+        return links, which[_spans((np.cumsum(groups) - groups)[number], each)]
+
+
+def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about STEP characters."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= STEP or i == len(texts) - 1:
+            yield first, i + 1
+            first, size = i + 1, 0
 
 
 @cache
@@ -185,10 +256,10 @@ def alignments(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1, STEP):
+            for part in parts(batch, 1, SLICE):
                 got = aligner(a, b).align(part.column(1).to_pylist())
-                columns = [part.column(0), _lists(got.a_ids, got.n_a, pa.int32()), _lists(got.b_ids, got.n_b, pa.int32())]
-                columns += [_lists(*got.flat(lambda w, k=k: [s[k] for s in w.sizes]), pa.int32()) for k in (0, 1)]
+                columns = [part.column(0), *[_lists(x, n, pa.int32()) for x, n in zip(got.ids, got.counts, strict=True)]]
+                columns += [_lists(x, got.groups, pa.int32()) for x in got.sizes]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes"])
 
     out = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
@@ -203,39 +274,35 @@ def measured(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     """A row for each document (MEASURED, slice, links) and one for each slice (slice, pairs, times).
 
     pairs: the slice's distinct linked ids as a << 32 | b; times: how often each; links: a document's links as
-    numbers of these, little-endian unsigned 32-bit.
+    numbers of these, little-endian unsigned 32-bit. Every group has one link: the ids at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, gathered, size = TaskContext.get().partitionId() << 32, [], 0
+        number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for part in parts(batch, 1, STEP):
-                got = aligner(a, b).align(part.column(1).to_pylist())
-                links, n_links = got.flat(lambda w: w.links)
-                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in got.texts()]
-                gathered.append((part.column(0), got.n_a, got.n_b, n_links, digests, links))
+                ids.append(part.column(0))
+                texts += part.column(1).to_pylist()
                 size += part.column(1).nbytes
                 if size >= SLICE:
-                    yield _sliced(number, gathered)
-                    number, gathered, size = number + 1, [], 0
-        if gathered:
-            yield _sliced(number, gathered)
+                    yield _sliced(number, ids, aligner(a, b), texts)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield _sliced(number, ids, aligner(a, b), texts)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"{MEASURED}, {_SLICED}")
 
 
-def _sliced(number: int, gathered: list) -> pa.RecordBatch:
-    ids, n_a, n_b, n_links, digests, links = zip(*gathered, strict=True)
-    pairs, at, times = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
-    n_links = np.concatenate(n_links)
-    places = at.astype("<u4").tobytes()
-    ends = (4 * np.cumsum(n_links)).tolist()
-    own = [places[end - 4 * n : end] for end, n in zip(ends, n_links.tolist(), strict=True)]
-    rows, counts = len(n_links), [np.concatenate(n_a), np.concatenate(n_b), n_links, n_links]
+def _sliced(number: int, ids: list[pa.Array], by: Aligner, texts: list[str | None]) -> pa.RecordBatch:
+    got = by.align(texts)
+    pairs, times = got.pairs, np.bincount(got.links, minlength=len(got.pairs))
+    places, rows = got.links.astype("<u4").tobytes(), len(got.groups)
+    ends = (4 * np.cumsum(got.groups)).tolist()
+    own = [places[first:end] for first, end in zip([0, *ends], ends, strict=False)]
     columns = [
         pa.concat_arrays([*ids, pa.nulls(1, ids[0].type)]),
-        *[pa.array([*n.tolist(), None], pa.int64()) for n in counts],
-        pa.array([*(d for own in digests for d in own), None]),
+        *[pa.array([*n.tolist(), None], pa.int64()) for n in (*got.counts, got.groups, got.groups)],
+        pa.array([*(hashlib.sha256(t.encode()).hexdigest() if t else "" for t in by.texts(got)), None]),
         pa.array(np.full(rows + 1, number)),
         pa.array([*own, None], pa.binary()),
         *[pa.array([*[None] * rows, x], pa.list_(pa.int64())) for x in (pairs, times)],

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer, decoders
 from accountlens.llm import alignment
 from accountlens.llm.common import staged
 
-PLAIN = Tokenizer.from_file(public_tokenizers.path(alignment.A))
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 PLAIN.encode_special_tokens = True
 PIECES = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(alignment.B))
 TO_CHARS = {c: i for i, c in enumerate(sorted(alignment._byte_level(), key=alignment._byte_level().get))}
@@ -74,6 +74,18 @@ def test_alphabet_is_the_byte_level_one():
         assert bytes(TO_CHARS[c] for t in ids for c in t).decode() == text == decoders.ByteLevel().decode(ids)
 
 
+def test_ranks_give_the_ids_of_the_vocabulary_file():
+    ranks, file = alignment.Side(alignment.A), alignment.Side("byte_bpe_50k.json")
+    assert file.bytes[: len(ranks.bytes)] == ranks.bytes
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for form in ("a{0}b", " {0}{0} 1{0}", "{0} {0}'s"):
+        for first in range(0, len(points), 50_000):
+            texts = [" ".join(form.format(c) for c in points[i : i + 500]) for i in range(first, min(first + 50_000, len(points)), 500)]
+            assert [x.tolist() for x in ranks.encode(texts)] == file.encode(texts)
+    for text in ("a" * 200_000, " " * 100_000, "ab1 " * 50_000, "\n" * 5000 + "x"):
+        assert [x.tolist() for x in ranks.encode([text])] == file.encode([text])
+
+
 def test_query_equals_brute_force(spark, sf_dir, texts, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE", 100_000)  # many slices ask for the same pairs
     got = Counter(tuple(r) for r in alignment.op12_token_alignment(spark, sf_dir).select(COLUMNS).collect())
