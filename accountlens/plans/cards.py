@@ -38,8 +38,9 @@ def labelled(series: DataFrame) -> DataFrame:
 
 
 def by_day(series: DataFrame) -> DataFrame:
-    """Output order of a series."""
-    return series.orderBy("company", "day")
+    """A series with each day's `position` in its company's; a position outlasts any shuffle, an order does not."""
+    place = Window.partitionBy("company").orderBy("day")
+    return series.withColumn("position", F.row_number().over(place).cast("long"))
 
 
 def provisioned_pct() -> Column:
@@ -137,15 +138,11 @@ def calls_breakdown(model: EventModel, as_of_ts: datetime | str | None = None) -
 
 
 def by_dimension(breakdown: DataFrame) -> DataFrame:
-    """Output order: user numbers as numbers, the other dimensions by falling count."""
+    """A breakdown with each key's `position` in its dimension: user numbers as numbers, the others by falling count."""
     is_users = F.col("dimension") == "users"
-    return breakdown.orderBy(
-        "company",
-        "dimension",
-        F.when(is_users, F.col("key").cast("long")),
-        F.when(~is_users, -F.col("calls")),
-        "key",
-    )
+    order = [F.when(is_users, F.col("key").cast("long")), F.when(~is_users, -F.col("calls")), F.col("key")]
+    place = Window.partitionBy("company", "dimension").orderBy(*order)
+    return breakdown.withColumn("position", F.row_number().over(place).cast("long"))
 
 
 def comments_recent(model: EventModel, as_of_ts: datetime | str | None = None) -> DataFrame:

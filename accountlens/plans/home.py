@@ -8,12 +8,15 @@ from accountlens.functions import formatting as fmt
 TOP = 3
 
 
+def project_dates(projects: DataFrame) -> DataFrame:
+    """Every project with its date as text: `date`, else the older documents' `due`, else that there is none."""
+    dates = [F.col(c) for c in ("date", "due") if c in projects.columns]
+    return projects.withColumn("formatted_date", fmt.short_date(*dates))
+
+
 def home_projects(projects: DataFrame) -> DataFrame:
     """Earliest projects; documents without a date are not listed."""
-    # Older documents carry `due` instead of `date`.
-    dates = [F.col(c) for c in ("date", "due") if c in projects.columns]
-    first = projects.where(F.col("date").isNotNull()).orderBy("date", "id").limit(TOP)
-    return first.withColumn("formatted_date", fmt.short_date(*dates))
+    return project_dates(projects.where(F.col("date").isNotNull()).orderBy("date", "id").limit(TOP))
 
 
 def home_renewals(renewals: DataFrame) -> DataFrame:

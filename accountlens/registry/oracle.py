@@ -496,6 +496,19 @@ def oracle_sql() -> dict[str, str]:
         "users": "SELECT COUNT(*) FROM users",
     }
     texts |= {
+        "calls_count_in_order": _with(
+            f"SELECT s.company, s.day, {_CALLS} AS calls, row_number() OVER (PARTITION BY s.company ORDER BY s.day) AS position FROM spine s",
+            spine=_spine(USER_DAY, 30),
+        ),
+        "calls_breakdown_in_order": _with(
+            "SELECT company, dimension, key, calls, row_number() OVER (PARTITION BY company, dimension ORDER BY "
+            "CASE WHEN dimension = 'users' THEN CAST(key AS BIGINT) ELSE -calls END, key) AS position FROM breakdown"
+        ),
+        "project_dates": _with(
+            "SELECT id, company, COALESCE(strftime(date, '%m/%d'), CASE WHEN CAST(id AS BIGINT) % 2 = 0 "
+            "THEN strftime(TIMESTAMP '2024-01-01' + to_days(CAST(CAST(id AS BIGINT) % 300 AS INT)), '%m/%d') END, 'No date') "
+            "AS formatted_date FROM projects"
+        ),
         "ingest_whole_bodies": _with(
             "SELECT *, CAST(timestamp AS DATE) AS event_date FROM user_events UNION ALL BY NAME "
             "SELECT *, CAST(timestamp AS DATE) AS event_date FROM company_events"

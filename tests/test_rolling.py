@@ -30,7 +30,7 @@ def test_breakdown_counts_from_the_exact_instant_and_into_the_future(spark):
         (NOW, "dialin", "a", "Web", 2, "Linux"),
     ]
     breakdown = cards.by_dimension(cards.calls_breakdown(model(spark, rows, schema), NOW))
-    assert [(r["dimension"], r["key"], r["calls"]) for r in breakdown.collect()] == [
+    assert [(r["dimension"], r["key"], r["calls"]) for r in breakdown.orderBy("dimension", "position").collect()] == [
         ("os", "ios", 2), ("os", "Linux", 1),
         ("type", "Web", 2), ("type", "Presentation", 1),
         ("users", "2", 1), ("users", "3", 1), ("users", "10", 1),
