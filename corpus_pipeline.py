@@ -40,8 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: where each piece of each document goes, with the checksum of its ids."""
-    cut = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.place(staged(cut, "pieces"))
+    return packing.place(staged(packing.pieces(docs, digest=True), "pieces"))
 
 
 STAGES = [
