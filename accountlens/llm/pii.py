@@ -9,7 +9,7 @@ well supported pattern. Rounds go on until no more are trusted. A candidate in t
 a discovered identifier of the kind whose shape it has.
 
 Everything is DataFrame functions. Texts are scanned once; what is found in a text stays in its row, and only
-found tokens, without their texts, are shuffled.
+found tokens, with the text next to them, are shuffled.
 
 Defined cases: a null text is empty, an empty text has no spans; a null doc_id is scanned like any other and
 kept apart by its text's hash; repeated rows get equal results each; the base spans of one kind never overlap,
@@ -18,7 +18,11 @@ those of two kinds may; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accountlens.llm.common import fresh, staged, table
@@ -50,35 +54,79 @@ DIGITS = {"card": (12, 19), "phone": (7, 15)}
 SUPPORT, CONFIDENT = 3, 0.8
 #: Characters on either side of a token in which its context is looked for.
 CONTEXT = 80
-#: Matches that are put together at a time.
-BLOCK = 128
+#: Matches that are put together at a time; characters of a block of text.
+BLOCK, PIECE = 128, 1024
+
+FOUND = "struct<start:int,end:int,token:string>"
+PLACED = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often, and in whichever lambda, `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-FOUND = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
+
+def running(items: Column, state: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """What `step` makes, item by item, of the state so far and an item: struct(state, out); the array of all out.
+
+    Appending copies what is there, so results are appended to blocks and blocks to the whole.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(done: Column, x: Column) -> Column:
+        return let(step(done.state, x), lambda y: F.struct(y.state.alias("state"), F.concat(done.out, F.array(y.out)).alias("out")))
+
+    def block(done: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(done.state.alias("state"), none.alias("out")), one)
+        return let(own, lambda x: F.struct(x.state.alias("state"), F.concat(done.out, F.array(x.out)).alias("out")))
+
+    def whole(every: Column) -> Column:
+        count = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int"))
+        parts = F.transform(count, lambda i: F.slice(every, i * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(every) == 0, none).otherwise(F.aggregate(parts, start, block, lambda done: F.flatten(done.out)))
+
+    return let(items, whole)
 
 
 def found_in(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches with their places in code points and what stands around them."""
-    between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    rest = F.slice(between, F.lit(2), F.greatest(F.size(matches), F.lit(0)))
-    triples = F.zip_with(pairs, rest, lambda p, r: F.struct(p.m.alias("m"), p.b.alias("b"), r.alias("r")))
-    none = F.array().cast(FOUND)
-
-    def step(done: Column, x: Column) -> Column:
-        begin = done.at + F.length(x.b)
+    """The leftmost non-overlapping matches with their places in code points."""
+    pieces = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
+
+    def step(at: Column, x: Column) -> Column:
+        begin = at + F.length(x.b)
         end = begin + F.length(x.m)
-        one = F.struct(begin.alias("start"), end.alias("end"), x.m.alias("token"), F.substring(x.b, -CONTEXT, CONTEXT).alias("left"), F.substring(x.r, 1, CONTEXT).alias("right"))
-        return F.struct(end.alias("at"), F.concat(done.found, F.array(one)).alias("found"))
+        return F.struct(end.alias("state"), F.struct(begin.alias("start"), end.alias("end"), x.m.alias("token")).alias("out"))
 
-    def block(done: Column, part: Column) -> Column:
-        own = F.aggregate(part, F.struct(done.at.alias("at"), none.alias("found")), step)
-        return F.transform(F.array(own), lambda x: F.struct(x.at.alias("at"), F.concat(done.blocks, F.array(x.found)).alias("blocks")))[0]
+    def pairs(p: Column) -> Column:
+        return F.zip_with(p.m, F.slice(p.b, F.lit(1), F.size(p.m)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+
+    return running(let(pieces, pairs), F.lit(0), FOUND, step)
 
-    # Appending copies what is there, so matches are appended to blocks and blocks to the whole.
-    count = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
-    parts = F.transform(count, lambda i: F.slice(triples, i * BLOCK + 1, F.lit(BLOCK)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("blocks"))
-    return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(parts, start, block, lambda done: F.flatten(done.blocks)))
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of PIECE code points, so that a place in it is found without reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part_of(pieces: Column, begin: Column, end: Column) -> Column:
+    """The code points from begin to end of a text in blocks."""
+    first = F.floor(begin / PIECE).cast("int")
+    count = F.floor((F.greatest(end, begin + 1) - 1) / PIECE).cast("int") - first + 1
+    whole = F.array_join(F.slice(pieces, first + 1, count), "")
+    return F.when(end > begin, whole.substr(begin - first * PIECE + 1, end - begin)).otherwise("")
+
+
+def around(text: Column, x: Column) -> Column:
+    """A match with the text (its blocks and size) on either side of it, as far as CONTEXT goes and without words that it cuts."""
+    pieces, size = text.pieces, text.size
+    left = part_of(pieces, F.greatest(x.start - CONTEXT - 1, F.lit(0)), x.start)
+    right = part_of(pieces, x.end, F.least(x.end + CONTEXT + 1, size))
+    return F.struct(
+        x.start.alias("start"), x.end.alias("end"), x.token.alias("token"),
+        F.when(x.start > CONTEXT, F.regexp_replace(left, r"^[\p{L}']++", "")).otherwise(left).alias("left"),
+        F.when(x.end + CONTEXT < size, F.regexp_replace(right, r"(?<![\p{L}'])[\p{L}']++$", "")).otherwise(right).alias("right"),
+    )
 
 
 def digits(token: Column) -> Column:
@@ -87,14 +135,16 @@ def digits(token: Column) -> Column:
 
 def luhn(number: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    backwards = F.reverse(number)
 
-    def step(total: Column, i: Column) -> Column:
-        once = backwards.substr(i, F.lit(1)).cast("int")
-        twice = once * 2 - F.when(once > 4, 9).otherwise(0)
-        return total + F.when(i % 2 == 0, twice).otherwise(once)
+    def total(backwards: Column) -> Column:
+        def step(done: Column, i: Column) -> Column:
+            once = backwards.substr(i, F.lit(1)).cast("int")
+            twice = once * 2 - F.when(once > 4, 9).otherwise(0)
+            return done + F.when(i % 2 == 0, twice).otherwise(once)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(number)), F.lit(0), step) % 10 == 0
+        return F.aggregate(F.sequence(F.lit(1), F.length(backwards)), F.lit(0), step)
+
+    return let(F.reverse(number), total) % 10 == 0
 
 
 def holds(kind: str, token: Column) -> Column:
@@ -103,7 +153,7 @@ def holds(kind: str, token: Column) -> Column:
     if kind == "ip":
         return token.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")
     if kind == "card":
-        return F.when(F.length(number).between(13, 19), luhn(number)).otherwise(False)
+        return let(number, lambda n: F.when(F.length(n).between(13, 19), luhn(n)).otherwise(False))
     return F.length(number).between(9, 15) if kind == "phone" else F.lit(True)
 
 
@@ -114,18 +164,24 @@ def passing(kind: str, found: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, key, email, ip, card, phone, other): what the texts of docs (doc_id, text) hold.
 
-    key tells rows of one doc_id apart by their texts; other: the candidates outside base matches.
+    key tells rows of one doc_id apart by their texts; other: the candidates, those that overlap base matches too.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    none = F.array().cast(FOUND)
+    none = F.array().cast(f"array<{FOUND}>")
+    held = {}
     for kind in KINDS:
         may = F.contains("text", F.lit({"email": "@", "phone": "+"}[kind])) if kind in ("email", "phone") else F.col("text").rlike("[0-9]")
-        rows = rows.withColumn(kind, F.when(may, passing(kind, found_in(F.col("text"), BASE[kind]))).otherwise(none))
-    taken = F.concat(*[F.col(kind) for kind in KINDS])
-    apart = lambda x: ~F.exists(taken, lambda y: (x.start < y.end) & (y.start < x.end))
-    rows = rows.withColumn("other", F.when(F.col("text").rlike("[0-9@]"), F.filter(found_in(F.col("text"), CANDIDATE), apart)).otherwise(none))
-    return rows.drop("text")
+        held[kind] = F.when(may, passing(kind, found_in(F.col("text"), BASE[kind]))).otherwise(none).alias(kind)
+    held["other"] = F.when(F.col("text").rlike("[0-9@]"), found_in(F.col("text"), CANDIDATE)).otherwise(none).alias("other")
+
+    def placed(found: Column) -> Column:
+        several = reduce(or_, [F.size(found[kind]) > 0 for kind in held])
+        nothing, text = F.array().cast(PLACED), F.struct(blocks(F.col("text")).alias("pieces"), F.length("text").alias("size"))
+        with_context = lambda t: F.struct(*[F.transform(found[kind], lambda x: around(t, x)).alias(kind) for kind in held])
+        return F.when(several, let(text, with_context)).otherwise(F.struct(*[nothing.alias(kind) for kind in held]))
+
+    return rows.select("doc_id", "key", let(F.struct(*held.values()), placed).alias("found")).select("doc_id", "key", "found.*")
 
 
 def word(text: Column, which: int) -> Column:
@@ -136,9 +192,13 @@ def word(text: Column, which: int) -> Column:
 
 def patterns(left: Column, right: Column) -> Column:
     """The lexical patterns around a token: two words before it, and a word on either side."""
-    two = F.concat(F.lit("before:"), word(left, -2), F.lit(" "), word(left, -1))
-    both = F.concat(F.lit("around:"), word(left, -1), F.lit(" _ "), word(right, 1))
-    return F.when(word(left, -1) == "", F.array().cast("array<string>")).otherwise(F.array(two, both))
+
+    def made(words: Column) -> Column:
+        two = F.concat(F.lit("before:"), words.before, F.lit(" "), words.last)
+        both = F.concat(F.lit("around:"), words.last, F.lit(" _ "), words.next)
+        return F.when(words.last == "", F.array().cast("array<string>")).otherwise(F.array(two, both))
+
+    return let(F.struct(word(left, -2).alias("before"), word(left, -1).alias("last"), word(right, 1).alias("next")), made)
 
 
 def trimmed(x: Column) -> Column:
@@ -160,14 +220,28 @@ def shape(token: Column) -> Column:
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """A row for each base entity and candidate: doc_id, key, kind, start, end, instance, seed, patterns."""
+    """A row for each base entity, and each candidate that overlaps none: doc_id, key, kind, start, end, instance, seed, patterns.
 
-    def marked(found: Column | str, kind: str | None) -> Column:
-        return F.transform(found, lambda x: F.struct((F.lit(kind) if kind else shape(x.token)).alias("kind"), F.lit(bool(kind)).alias("seed"), x.alias("x")))
+    Rows equal in doc_id and text count once. Overlaps are seen in one pass over a text's matches by place: none
+    that begins before ends behind the candidate's start, and none begins before its end.
+    """
 
-    seeds, others = F.concat(*[marked(kind, kind) for kind in KINDS]), marked(F.transform("other", trimmed), None)
-    rows = found.select("doc_id", "key", F.explode(F.concat(seeds, others)).alias("o")).select("doc_id", "key", "o.kind", "o.seed", "o.x.*")
-    return rows.select("doc_id", "key", "kind", "seed", "start", "end", F.lower("token").alias("instance"), patterns(F.col("left"), F.col("right")).alias("patterns"))
+    def marked(found: Column | str, kind: str | None) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(bool(kind)).alias("seed"), x.alias("x")))
+
+    marks = F.concat(*[marked(kind, kind) for kind in KINDS], marked("other", None))
+    every = found.select("doc_id", "key", F.explode(marks).alias("o")).select("doc_id", "key", "o.kind", "o.seed", "o.x.*")
+    every = every.dropDuplicates(["doc_id", "key", "kind", "start", "end"])
+    line = Window.partitionBy("doc_id", "key").orderBy("start", F.desc("seed"), "end", "kind")
+    ended = F.max(F.when(F.col("seed"), F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.min(F.when(F.col("seed"), F.col("start"))).over(line.rowsBetween(1, Window.unboundedFollowing))
+    overlaps = F.coalesce(ended > F.col("start"), F.lit(False)) | F.coalesce(begins < F.col("end"), F.lit(False))
+    apart = every.withColumn("overlaps", overlaps).where("seed OR NOT overlaps")
+    x = F.struct("start", "end", "token", "left", "right")
+    core = F.when(F.col("seed"), x).otherwise(trimmed(x)).alias("x")
+    rows = apart.select("doc_id", "key", "kind", "seed", core).select("doc_id", "key", "kind", "seed", "x.*")
+    kind = F.when(F.col("seed"), F.col("kind")).otherwise(shape(F.col("token")))
+    return rows.select("doc_id", "key", kind.alias("kind"), "seed", "start", "end", F.lower("token").alias("instance"), patterns(F.col("left"), F.col("right")).alias("patterns"))
 
 
 def confident_patterns(found: DataFrame) -> DataFrame:
@@ -236,14 +310,17 @@ def mask(docs: DataFrame) -> DataFrame:
     touched = docs.where(has).withColumn(row, F.xxhash64("doc_id", "text"))
     rows = touched.join(found, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc_id)), "left")
     in_order = F.array_sort(F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ends = F.struct(F.length("text").alias("start"), F.length("text").alias("end"), F.lit("").alias("kind"))
+
+    def masked(pieces: Column) -> Column:
+        def step(at: Column, x: Column) -> Column:
+            name = F.when(x.kind == "", "").otherwise(F.concat(F.lit("<"), F.upper(x.kind), F.lit(">")))
+            out = F.when(x.start >= at, F.concat(part_of(pieces, at, x.start), name)).otherwise("")
+            return F.struct(F.greatest(at, x.end).alias("state"), out.alias("out"))
 
-    def step(done: Column, x: Column) -> Column:
-        new = F.concat(done.out, F.col("text").substr(done.at + 1, x.start - done.at), F.lit("<"), F.upper(x.kind), F.lit(">"))
-        return F.struct(F.greatest(done.at, x.end).alias("at"), F.when(x.start >= done.at, new).otherwise(done.out).alias("out"))
+        return F.array_join(running(F.concat(in_order, F.array(ends)), F.lit(0), "string", step), "")
 
-    masked = F.aggregate(in_order, start, step, lambda done: F.concat(done.out, F.col("text").substr(done.at + 1, F.length("text"))))
-    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked).alias("text")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(let(blocks(F.col("text")), masked)).alias("text")
     return rows.select([text if c == "text" else c for c in docs.columns]).union(docs.where(~has))
 
 

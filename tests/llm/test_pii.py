@@ -106,3 +106,27 @@ def test_long_chains_of_patterns(spark):
     numbers = [[f"+1 (555) 010-{i}" for i in range(1000, 1004)]] + [[f"(555) 010-{k}{i:03d}" for i in range(4)] for k in range(2, 2 + len(places))]
     docs = [f"see {place} {x} there" for place, old, new in zip(places, numbers, numbers[1:]) for x in (*old, *new)]
     assert added(spark, docs) == sorted(x for own, times in zip(numbers[1:], [2] * (len(places) - 1) + [1]) for x in own * times)
+
+
+def test_contexts_are_taken_by_place(spark):
+    """A number before the words around an identifier takes nothing from its context, whichever pattern finds it."""
+    docs = [f"Order 1234{i} phone +1 (555) 010-{i} please" for i in range(1000, 1006)] + ["Order 77777 phone (555) 010-9999 please"]
+    rows = pii.occurrences(pii.scanned(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))).collect()
+    found = {tuple(row.patterns) for row in rows if row.instance.startswith(("+1 (555)", "(555)"))}
+    assert found == {("before:order phone", "around:phone _ please")}
+    assert added(spark, docs) == ["(555) 010-9999"]
+
+
+def test_words_cut_by_the_context_do_not_count(spark):
+    long = "x" * 200
+    rows = pii.occurrences(pii.scanned(spark.createDataFrame([(1, f"{long} call +1 (555) 010-1000 {long}")], "doc_id long, text string"))).collect()
+    assert [row.patterns for row in rows] == [["before: call", "around:call _ "]]
+
+
+def test_many_entities_in_one_text(spark):
+    """Addresses and other tokens side by side, thousands of them: overlaps are seen in one pass."""
+    text = " ".join(f"10.{i % 256}.{i // 256}.7 ticket-{i + 1000}" for i in range(2_000))
+    (row,) = pii.entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [f"{x.kind}:{x.start}:{x.end}" for x in row.base] == plain(text) and len(row.base) == 2_000
+    (masked,) = pii.mask(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert masked.text.split()[:2] == ["<IP>", "ticket-1000"] and masked.text.count("<IP>") == 2_000
