@@ -33,8 +33,6 @@ from xxhash import xxh64_intdigest
 
 from accountlens.llm.common import BASE, MIX, parts, staged, table, utf8, words_of
 
-#: No bounds: every word is a state and every bigram an arc (the tests' own model is built with these names).
-FREQUENT, ARCS, LEAST = 1 << 62, 1 << 62, 1
 #: What is taken off an arc's count.
 DISCOUNT = 0.75
 #: Bytes of text in a slice; buckets at least, and questions in a bucket in the mean.
@@ -219,6 +217,30 @@ def _counted(buckets: int):
     return run
 
 
+class Automaton:
+    """States are words and the empty state. A state's arcs lead to the next word's state, its failure arc to the empty
+    state, which has an arc for every word. All weights are log10 probabilities.
+
+    arcs: by number, NaN for a bigram that was never seen, which is no arc; fails: by state; empty: by word.
+    """
+
+    def __init__(self, arcs: np.ndarray, fails: np.ndarray, empty: np.ndarray):
+        self.arcs = [None if weight != weight else weight for weight in arcs.tolist()]
+        self.fails, self.empty = fails.tolist(), empty.tolist()
+
+    def read(self, state: int, following: list[int], numbers: list[int]) -> float:
+        """One traversal from left to right; numbers: of the arc from each state by each token, if there is one."""
+        total = 0.0
+        for token, number in zip(following, numbers, strict=True):
+            weight = self.arcs[number]
+            if weight is None:
+                total += self.fails[state]
+                weight = self.empty[token]
+            total += weight
+            state = token
+        return total
+
+
 def _read(buckets: int, total: int, distinct: int):
     """The texts of a slice, read by the automaton."""
 
@@ -231,9 +253,17 @@ def _read(buckets: int, total: int, distinct: int):
         base = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         # What the arcs of a state leave is DISCOUNT of each; a state that was never seen leaves all.
         left = np.where(counts > 0, DISCOUNT * arcs / np.maximum(counts, 1), 1.0)
-        weights = np.log10(np.maximum(seen - DISCOUNT, 0) / np.maximum(counts[own.state], 1) + left[own.state] * base[own.next])
+        mixed = (seen - DISCOUNT) / np.maximum(counts[own.state], 1) + left[own.state] * base[own.next]
+        weights = np.full(len(seen), np.nan)
+        weights[seen > 0] = np.log10(mixed[seen > 0])
+        # A state whose failure arc can't be reached, as it has no arc, is one that was never seen.
+        fails = np.log10(np.where(left > 0, left, 1.0))
+        automaton = Automaton(weights, fails, np.log10(base))
+        scores = []
+        for first, size in zip(own.starts.tolist(), own.sizes.tolist(), strict=True):
+            scores.append(automaton.read(0, own.following[first : first + size].tolist(), own.arc[first : first + size].tolist()))
         sums = lambda x: np.add.reduceat(x, own.starts)  # noqa: E731  every text has a token
-        columns = [own.sizes, sums((counts > 0).astype(np.int64)[own.following]), sums(np.log10(base)[own.following]), sums(weights[own.arc])]
+        columns = [own.sizes, sums((counts > 0).astype(np.int64)[own.following]), sums(np.log10(base)[own.following]), np.array(scores)]
         rows = pa.Table.from_arrays([pa.array(own.docs, pa.int64()), *map(pa.array, columns)], names=schema_names(READ))
         return rows.filter(pa.array(own.scored.astype(bool)))
 

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from accountlens.llm import backoff
@@ -16,9 +17,7 @@ class Plain:
             self.count.update(tokens)
             pairs.update(zip([b"", *tokens], tokens, strict=False))
         self.total, self.distinct = sum(self.count.values()), len(self.count)
-        often = max(1, -(-self.total // backoff.FREQUENT))
-        self.state = {word for word, n in self.count.items() if n >= often}
-        self.arcs = {pair: n for pair, n in pairs.items() if n >= backoff.LEAST and set(pair) <= self.state}
+        self.state, self.arcs = set(self.count), pairs
         self.taken = Counter()
         for (state, _), n in self.arcs.items():
             self.taken[state] += n - backoff.DISCOUNT
@@ -45,28 +44,25 @@ def check(rows, texts, model):
         assert row.score == pytest.approx(sum(math.log10(model.p(a, b)) for a, b in zip([b"", *own], own, strict=False)))
 
 
-@pytest.mark.parametrize(("frequent", "arcs"), [(2_000_000, 4_000_000), (3000, 50)])
-def test_against_brute_force(spark, sf_dir, texts, monkeypatch, frequent, arcs):
-    monkeypatch.setattr(backoff, "FREQUENT", frequent)
-    monkeypatch.setattr(backoff, "ARCS", arcs)
-    rows = backoff.op5_backoff_lm(spark, sf_dir).collect() if frequent > 3000 else None
+def test_against_brute_force(spark, sf_dir, texts):
+    rows = backoff.op5_backoff_lm(spark, sf_dir).collect()
     held_out = {doc: zlib.crc32(str(doc).encode()) % 5 == 1 for doc in texts}
     model = Plain(tokens(text) for doc, text in texts.items() if not held_out[doc])
     for state in (b"the", b"", b"de"):
         assert sum(model.p(state, word) for word in model.count) + model.p(state, b"no such word") == pytest.approx(1)
-    if rows is None:
-        return
     assert {row.doc_id: row.held_out for row in rows} == held_out
     check(rows, texts, model)
     unseen = [row for row in rows if row.held_out]
     assert sum(row.score for row in unseen) > sum(row.base_score for row in unseen)
 
 
-def test_blocks_of_arcs_and_rare_words(spark, texts, monkeypatch):
-    """Blocks of a few arcs give the same sums as one. (Executors import the module, so only the driver's bound is changed.)"""
-    docs = spark.createDataFrame(list(texts.items())[:60], "doc_id long, text string")
-    monkeypatch.setattr(backoff, "ARCS", 100)
-    check(backoff.score(docs, docs).collect(), texts, Plain(tokens(text) for text in list(texts.values())[:60]))
+def test_failure_arcs_are_followed():
+    """Word 1 has an arc to 2 only; 3 is reached over the empty state."""
+    arcs = np.array([-0.25, np.nan, np.nan])  # 1 to 2, 2 to 3, 1 to 3
+    automaton = backoff.Automaton(arcs, np.array([0, -1.0, -2.0, -4.0]), np.array([-8.0, -16.0, -32.0, -64.0]))
+    assert automaton.read(1, [2, 3], [0, 1]) == -0.25 + (-2.0 - 64.0)
+    assert automaton.read(1, [3], [2]) == -1.0 - 64.0
+    assert automaton.read(1, [], []) == 0
 
 
 def test_odd_rows(odd, none):
