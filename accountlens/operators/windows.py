@@ -70,19 +70,22 @@ def daily_series(
 
     All trailing measures share one scan of the look-back days. All cumulative ones share a
     scan of the whole history, which reads their event types only and folds earlier days
-    into the first look-back day.
+    into the first look-back day. Of daily sums, which are small, one scan gives both.
     """
     last = as_date(as_of_date)
     lookback = last - timedelta(days=days - 1 + width - 1)
     trailing = [m for m in measures if not m.cumulative]
     cumulative = [m for m in measures if m.cumulative]
     day = event_day(events)
-    parts = []
-    if trailing:
-        parts.append(_daily_totals(events.where(within_days(events, lookback, last)), day, trailing))
-    if cumulative:
-        folded = F.greatest(day, F.lit(lookback))
-        parts.append(_daily_totals(events.where(within_days(events, None, last)), folded, cumulative))
+    folded = F.greatest(day, F.lit(lookback))
+    if trailing and cumulative and is_summed(events):
+        parts = [_both_totals(events.where(within_days(events, None, last)), folded, day >= F.lit(lookback), trailing, cumulative)]
+    else:
+        parts = []
+        if trailing:
+            parts.append(_daily_totals(events.where(within_days(events, lookback, last)), day, trailing))
+        if cumulative:
+            parts.append(_daily_totals(events.where(within_days(events, None, last)), folded, cumulative))
     daily = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return dense_series(
         daily, companies, last, days, width, [m.name for m in trailing], [m.name for m in cumulative]
@@ -96,6 +99,12 @@ def _daily_totals(events: DataFrame, day: Column, measures: list[Measure]) -> Da
     return events.where(reduce(or_, wanted)).groupBy("company", day.alias("day")).agg(*totals)
 
 
+def _both_totals(sums: DataFrame, day: Column, recent: Column, trailing: list[Measure], cumulative: list[Measure]) -> DataFrame:
+    wanted = {m: m.wanted(True) & recent for m in trailing} | {m: m.wanted(True) for m in cumulative}
+    totals = [m.total(w, True) for m, w in wanted.items()]
+    return sums.where(reduce(or_, wanted.values())).groupBy("company", day.alias("day")).agg(*totals)
+
+
 def dense_series(
     daily: DataFrame,
     companies: DataFrame,

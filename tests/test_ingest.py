@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from accountlens.sources import staging, store, tables
+from accountlens.sources import staging, store, tables, versions
 from accountlens.streaming import ingest
 
 CASES = [
@@ -178,3 +178,56 @@ def test_bodies_from_text_files(spark, tmp_path):
     path = str(tmp_path / "totals")
     ingest.start_company_totals(stream, path).awaitTermination()
     assert [tuple(r) for r in ingest.running_sums(spark, path).collect()] == [("a", 7, 0)]
+
+
+def purchase(company, n):
+    return json.dumps({"type": "purchased", "company": company, "purchased": n})
+
+
+def test_totals_of_known_companies_and_readers_of_older_sums(spark, tmp_path, caplog):
+    (tmp_path / "in").mkdir()
+    folder, source = str(tmp_path / "totals"), str(tmp_path / "in")
+    names = ["a"]
+
+    def run(name, lines):
+        (tmp_path / "in" / name).write_text("\n".join(lines) + "\n")
+        companies = lambda: spark.createDataFrame([(n,) for n in names], "name string")
+        ingest.start_company_totals(tables.event_body_stream(spark, source, 1), folder, companies).awaitTermination()
+        return {r["company"]: r["purchased"] for r in ingest.running_sums(spark, folder).collect()}
+
+    with caplog.at_level("WARNING"):
+        assert run("1.txt", [purchase("a", 3), purchase("b", 4), purchase("a", 1)]) == {"a": 4}
+    assert "companies without a document: b" in caplog.text
+    open_reader = ingest.running_sums(spark, folder)
+    names.append("b")
+    caplog.clear()
+    assert run("2.txt", [purchase("b", 10), purchase("a", 10)]) == {"a": 14, "b": 10}
+    assert "without a document" not in caplog.text
+    # Who has begun to read sees the sums as they were; a replayed batch adds nothing.
+    assert [tuple(r) for r in open_reader.collect()] == [("a", 4, 0)]
+    replay_last_batch(tmp_path / "totals" / "checkpoint")
+    assert run("3.txt", [purchase("a", 100)]) == {"a": 114, "b": 10}
+    manifest = versions.current(spark, folder)
+    assert len(manifest.parts("sums")) == 1 and len(manifest.folded["sums"]) == 1
+
+
+def test_compaction_between_micro_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    root = str(tmp_path / "store")
+    for i in range(5):
+        stamp = f"2024-01-0{i + 1}T10:00:00.25+02:00"
+        (tmp_path / "in" / f"{i}.txt").write_text(json.dumps({"type": "call", "user": f"u{i}", "timestamp": stamp, "call_duration": i}) + "\n" + purchase("a", i) + "\nbad\n")
+    store.create_event_tables(spark, root)
+    stream = tables.event_body_stream(spark, str(tmp_path / "in"), 1)
+    ingest.start_ingest(stream, root, str(tmp_path / "c"), compact_every=2).awaitTermination()
+    manifest = versions.current(spark, root)
+    assert [len(manifest.parts(t)) for t in ("user_events", "company_events", "rejects")] == [2, 2, 5]
+    (spans,) = manifest.folded["user_events"].values()
+    assert spans == [[0, 3]]
+    before = manifest.version
+    replay_last_batch(tmp_path / "c")
+    ingest.start_ingest(stream, root, str(tmp_path / "c"), compact_every=2).awaitTermination()
+    rows = tables.user_events(spark, f"{root}/user_events").orderBy("user").collect()
+    assert [(r["user"], str(r["timestamp"]), r["call_duration"]) for r in rows] == [(f"u{i}", f"2024-01-0{i + 1} 08:00:00.250000", i) for i in range(5)]
+    assert tables.company_events(spark, f"{root}/company_events").agg(F.sum("purchased")).first()[0] == 10
+    assert tables.rejected_events(spark, f"{root}/rejects").count() == 5 and versions.current(spark, root).version > before
