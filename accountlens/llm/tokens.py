@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker keeps (about 0.2 KB each) before it starts anew.
-KEPT_WORDS = 500_000
-AFTER_LETTER = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
+#: Words whose ids a worker keeps (about 0.2 KB each); the older half goes when there are more.
+KEPT_WORDS = 600_000
+_LETTER, _MARK = np.zeros((2, 256), bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+_MARK[list(b".,;:!?")] = True
+
+
+def spaced(text: bytes) -> bytes:
+    """The text with a blank between a letter and a punctuation mark behind it."""
+    codes = np.frombuffer(text, np.uint8)
+    marks = np.flatnonzero(_LETTER[codes[:-1]] & _MARK[codes[1:]]) + 1
+    if not len(marks):
+        return text
+    out = np.full(len(codes) + len(marks), 32, np.uint8)
+    own = np.ones(len(out), bool)
+    own[marks + np.arange(len(marks))] = False
+    out[own] = codes
+    return out.tobytes()
 
 
 def path(name: str) -> str:
@@ -32,24 +47,37 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path(name))
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes | None) -> bytes:
         """Little-endian unsigned 32-bit ids; a null text has none."""
         if not text:
             return b""
         if not (b"\xcc" in text or b"\xcd" in text or b"<|" in text):
-            text = AFTER_LETTER.sub(b" ", text.lower())
+            text = spaced(text.lower())
         words = text.split()
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         found = list(map(self.known.get, words))
         if None in found:
-            new = list(dict.fromkeys(word for word, ids in zip(words, found, strict=True) if ids is None))
-            encoded = self.tokenizer.encode_batch_fast([word.decode(errors="replace") for word in new], add_special_tokens=False)
-            self.known.update((word, struct.pack(f"<{len(one.ids)}I", *one.ids)) for word, one in zip(new, encoded, strict=True))
+            turns = len(self.known) > KEPT_WORDS // 2
+            self.learn(words if turns else [word for word, ids in zip(words, found, strict=True) if ids is None])
             found = map(self.known.__getitem__, words)
         return b"".join(found)
 
+    def learn(self, words: list[bytes]) -> None:
+        """Makes words known, from the older ones or by the tokenizer."""
+        if len(self.known) > KEPT_WORDS // 2:
+            self.known, self.older = {}, self.known
+        new = []
+        for word in dict.fromkeys(words):
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
+        if new:
+            encoded = self.tokenizer.encode_batch_fast([word.decode(errors="replace") for word in new], add_special_tokens=False)
+            self.known.update((word, struct.pack(f"<{len(one.ids)}I", *one.ids)) for word, one in zip(new, encoded, strict=True))
+
 
 @cache
 def word_tokenizer(name: str) -> WordTokenizer:
