@@ -36,3 +36,11 @@ def test_long_conversation(spark):
     turns = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(3000)]
     got = rows(spark, turns, [*turns[:-1], (1, 2999, "user", "other")])[1]
     assert got.n_prompt_turns == 2999 and got.chosen == "<|user|>\nt2999<|end|>\n"
+
+
+def test_very_long_text(spark):
+    long = "wörd <|end|> " * 100_000
+    got = rows(spark, [(1, 0, "user", long), (1, 1, "assistant", long + "a")], [(1, 0, "user", long), (1, 1, "assistant", long + "b")])[1]
+    assert got.n_prompt_turns == 1 and len(got.prompt) > len(long) and got.chosen != got.rejected
+    a, b = map(int, got.chosen_mask.split(":"))
+    assert got.chosen[a:b].endswith("a<|end|>\n") and got.chosen[a:b].count("wörd") == 100_000

@@ -36,3 +36,10 @@ def test_sign_code(spark):
     rows = [([1.0, -1.0, 0.0, None, 2.0],), ([],), ([1.0] * 70,)]
     codes = [row[0] for row in spark.createDataFrame(rows, "v array<float>").select(topk.sign_code("v")).collect()]
     assert codes == [0b10001, 0, -1]
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(i, i * 37 % 64) for i in range(40)]
+    names = ["segment", "slot", "place", "query", "Code2", "distance", "rank", "apart", "key"]
+    frames = [spark.createDataFrame([(*row, *names) for row in own], "vec_id long, code long, " + ", ".join(f"{n} string" for n in names)) for own in (rows, rows[:5])]
+    assert {tuple(row) for row in topk.top_k(*frames, 4).collect()} == plain(rows, rows[:5], 4)
