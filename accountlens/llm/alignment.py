@@ -158,33 +158,43 @@ class Aligner:
             cuts.append(chosen[this][there[starts[this][chosen[this]]]])
         return cuts
 
-    def sizes(self, ids: list[np.ndarray], starts: list[np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
-        """For each window (its first id and their number on either side) the sizes of its groups, as pairs of 32 bits.
+    def sizes(self, ids: list[np.ndarray], starts: list[np.ndarray], counts: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window (its first id and their number on either side) how many groups it has, and all groups' sizes.
 
-        What is known by the tuples of ids is looked up; the others are laid end to end, which leaves the places of
-        their tokens relative to one another as they are, and cut together.
+        Windows that occur often are looked up by the tuples of their ids, and kept. The others are laid end to end, which
+        leaves the places of their tokens relative to one another as they are, and cut together.
         """
         flat = [x.tobytes() for x in ids]
-        bounds = [(4 * s).tolist() for s in starts], [(4 * (s + n)).tolist() for s, n in zip(starts, counts, strict=True)]
+        first, end = ([(4 * x[often]).tolist() for x in y] for y in (starts, [s + n for s, n in zip(starts, counts, strict=True)]))
         keys = list(zip(
-            [flat[0][i:j] for i, j in zip(bounds[0][0], bounds[1][0], strict=True)],
-            [flat[1][i:j] for i, j in zip(bounds[0][1], bounds[1][1], strict=True)],
+            [flat[0][i:j] for i, j in zip(first[0], end[0], strict=True)],
+            [flat[1][i:j] for i, j in zip(first[1], end[1], strict=True)],
             strict=True,
         ))
         found = list(map(self.known.get, keys))
-        new = np.array([i for i, x in enumerate(found) if x is None], np.int64)
-        if len(new):
-            own = [x[_spans(s[new], n[new])] for x, s, n in zip(ids, starts, counts, strict=True)]
-            cuts = self.shared(own, only_marked=False)
-            pairs = np.stack([np.diff(cut, append=len(x)) for cut, x in zip(cuts, own, strict=True)], axis=1).astype("<u4").tobytes()
-            window = np.searchsorted(cuts[0], np.cumsum(counts[0][new])).tolist()
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-            for i, first, end in zip(new.tolist(), [0, *window], window, strict=False):
-                found[i] = pairs[8 * first : 8 * end]
-                if len(self.known) < KEPT:
-                    self.known[keys[i]] = found[i]
-        return found
+        missed = np.array([x is None for x in found], bool)
+        fresh = np.ones(len(starts[0]), bool)
+        fresh[often[~missed]] = False
+        new, old = np.flatnonzero(fresh), often[~missed]
+        held = [x for x in found if x is not None]
+        own = [x[_spans(s[new], n[new])] for x, s, n in zip(ids, starts, counts, strict=True)]
+        cuts = self.shared(own, only_marked=False)
+        cut = np.stack([np.diff(c, append=len(x)) for c, x in zip(cuts, own, strict=True)], axis=1)
+        ends = np.searchsorted(cuts[0], np.cumsum(counts[0][new]))
+        groups = np.empty(len(fresh), np.int64)
+        groups[new] = np.diff(ends, prepend=0)
+        groups[old] = [len(x) // 8 for x in held]
+        offsets = np.cumsum(groups) - groups
+        pairs = np.empty((int(groups.sum()), 2), np.int64)
+        pairs[_spans(offsets[new], groups[new])] = cut
+        pairs[_spans(offsets[old], groups[old])] = np.frombuffer(b"".join(held), "<u4").reshape(-1, 2)
+        if len(self.known) + int(missed.sum()) > KEPT:
+            self.known.clear()
+        room, told = KEPT - len(self.known), pairs.astype("<u4").tobytes()
+        for i in np.flatnonzero(missed)[:room].tolist():
+            window = often[i]
+            self.known[keys[i]] = told[8 * offsets[window] : 8 * (offsets[window] + groups[window])]
+        return groups, pairs
 
     def align(self, texts: list[str | None]) -> Aligned:
         """All texts at once; each begins with a space on either side, so their ends are anchors as well."""
@@ -207,9 +217,8 @@ class Aligner:
         wrong = np.flatnonzero(~good)
         number[wrong] = len(one) + np.arange(len(wrong))
         one = np.concatenate([one, wrong])
-        sizes = self.sizes(ids, [s[one] for s in starts], [n[one] for n in counts])
-        groups = np.array([len(x) // 8 for x in sizes], np.int64)
-        pairs = np.frombuffer(b"".join(sizes), "<u4").reshape(-1, 2).astype(np.int64)
+        often = np.flatnonzero(np.bincount(number, minlength=len(one)) > 1)
+        groups, pairs = self.sizes(ids, [s[one] for s in starts], [n[one] for n in counts], often)
         each = groups[number]
         every = pairs[_spans((np.cumsum(groups) - groups)[number], each)]
         until = np.concatenate([[0], np.cumsum(each)])
