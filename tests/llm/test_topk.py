@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from accountlens.llm import topk
 
 
@@ -43,3 +46,28 @@ def test_columns_with_clashing_names(spark):
     names = ["segment", "slot", "place", "query", "Code2", "distance", "rank", "apart", "key"]
     frames = [spark.createDataFrame([(*row, *names) for row in own], "vec_id long, code long, " + ", ".join(f"{n} string" for n in names)) for own in (rows, rows[:5])]
     assert {tuple(row) for row in topk.top_k(*frames, 4).collect()} == plain(rows, rows[:5], 4)
+
+
+def test_lookups_far_off_are_not_shuffled(spark, monkeypatch):
+    """Groups in shares, verified in small steps; of what lies behind the k-th nothing leaves a task."""
+    monkeypatch.setattr(topk, "GROUP_CODES", 60)
+    monkeypatch.setattr(topk, "STEP", 500)
+    rng = random.Random(2)
+    centres = [rng.getrandbits(63) for _ in range(60)]
+    vectors = [(i, rng.choice(centres) ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63))) for i in range(2000)] + [(9000 + i, -1) for i in range(20)]
+    queries = vectors[::150] + [(9500, -2)]
+    assert got(spark, vectors, queries, 10) == plain(vectors, queries, 10)
+
+
+def test_a_task_gives_the_best_within_the_bound():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 1 << (topk.WIDTH - topk.FRONT), 4000) | (rng.integers(-(2**31), 2**31, 4000) << 32)
+    entries = pa.table({"code": codes, "least": np.arange(4000), "n": np.ones(4000, np.int32)})
+    asked = pa.table({"query": codes[:50] ^ 1, "bound": np.full(50, 12, np.int32), "segment": np.zeros(50, np.int32), "front": np.zeros(50, np.int32)})
+    out = topk._lookups(2, 5)(entries, asked)
+    found = set(zip(*(out[c].to_pylist() for c in ("query", "apart", "least")), strict=True))
+    wanted = set()
+    for q in (codes[:50] ^ 1).tolist():
+        apart = [(((q ^ c) % 2**64).bit_count(), i) for i, c in enumerate(codes.tolist()) if ((q ^ c) & 0xFFFF).bit_count() == 2]
+        wanted |= {(q, d, i) for d, i in sorted(x for x in apart if x[0] <= 12)[:5]}
+    assert found == wanted and len(wanted) < 50 * 5
