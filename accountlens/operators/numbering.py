@@ -30,5 +30,7 @@ def running_number(df: DataFrame, keys: list[str], order: list[str], name: str)
     earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_count").over(earlier), F.lit(0))
     shifts = ranges.select(group, part, (before - F.col(first) + 1).alias(shift))
-    joined = placed.hint("merge").join(shifts, [group, part])
+    # Shifts are few beside the rows and looked up by hash: the rows, of which a reader may need next to nothing and
+    # which then are many to a task, are not sorted for it.
+    joined = placed.join(shifts.hint("shuffle_hash"), [group, part])
     return joined.select(*df.columns, (F.col(at) + F.col(shift)).alias(name))

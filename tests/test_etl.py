@@ -155,3 +155,11 @@ def test_home_lists(spark):
     assert [(r["id"], r["formatted_amount"]) for r in home.home_renewals(renewals).collect()] == [("1", "TBD"), ("3", "$5,000")]
     trends = spark.createDataFrame([("1", T0, 0.0), ("2", T0 + timedelta(days=9), 12.25)], "id string, date timestamp, value double")
     assert [(r["id"], r["change"]) for r in home.home_trends(trends).collect()] == [("2", "12.2%"), ("1", "0%")]
+
+
+def test_numbers_are_joined_without_a_sort(spark):
+    """Next to nothing may be read of the rows, which then are very many to a task."""
+    rows = spark.createDataFrame([("a", 2), ("b", 1), ("a", 1), (None, 1)], "k string, v int")
+    numbered = running_number(rows, ["k"], ["v"], "n")
+    assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(row) for row in numbered.collect()} == {("a", 1, 1), ("a", 2, 2), ("b", 1, 1), (None, 1, 1)}
