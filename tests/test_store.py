@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from accountlens.functions.dates import within_days
@@ -352,3 +353,17 @@ def test_full_reload(spark, root, sf_dir, limit):
     again = {r["table_name"]: r["total_documents"] for r in tables.store_status(spark, root).collect()}
     assert again == counts and versions.current(spark, root).version == 1  # as it was
     assert load() == counts
+
+
+def test_the_writer_does_not_sort_again(spark, tmp_path, monkeypatch):
+    """Rows come to the writer in the order it wants, so a task holds them once."""
+    orders, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *args, **options):
+        orders.append(self._df._jdf.queryExecution().optimizedPlan().outputOrdering().size())
+        write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    assert store.append_events(calls(spark, 5), str(tmp_path), "user_events") == 5
+    assert len(orders) == 2 and min(orders) >= 2
+    assert versions.current(spark, str(tmp_path)).rows("user_events") == 5
