@@ -26,6 +26,7 @@ AS_OF_TS = "2024-01-30 12:00:00"
 COMPANY_AS_OF_DATE = date(2001, 8, 1)
 SHORT = {"as_of_date": date(2024, 1, 20), "days": 10}
 ONE_COMPANY = "NATION_3"
+BODIES_PER_FILE = 200_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -225,8 +226,10 @@ def _ingest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a body, streamed from files in several micro-batches with compaction between them."""
     root = new_shared_path(spark, "ingest")
     store.create_event_tables(spark, root)
-    staging.whole_bodies(spark, sf_dir).repartition(4).write.text(f"{root}-bodies")
-    stream = tables.event_body_stream(spark, f"{root}-bodies", files_per_batch=1)
+    # As many files as tasks, and more: a few files would be written by a few tasks, and bodies be shuffled to these.
+    staging.whole_bodies(spark, sf_dir).write.option("maxRecordsPerFile", BODIES_PER_FILE).text(f"{root}-bodies")
+    files = len(spark.read.text(f"{root}-bodies").inputFiles())
+    stream = tables.event_body_stream(spark, f"{root}-bodies", files_per_batch=max(1, files // 4))
     ingest.start_ingest(stream, root, f"{root}-checkpoint", compact_every=3).awaitTermination()
     users = tables.user_events(spark, f"{root}/user_events")
     boxes = tables.company_events(spark, f"{root}/company_events")

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from accountlens.registry import queries
 from accountlens.sources import staging, store, tables, versions
 from accountlens.streaming import ingest
 
@@ -231,3 +232,24 @@ def test_compaction_between_micro_batches(spark, tmp_path):
     assert [(r["user"], str(r["timestamp"]), r["call_duration"]) for r in rows] == [(f"u{i}", f"2024-01-0{i + 1} 08:00:00.250000", i) for i in range(5)]
     assert tables.company_events(spark, f"{root}/company_events").agg(F.sum("purchased")).first()[0] == 10
     assert tables.rejected_events(spark, f"{root}/rejects").count() == 5 and versions.current(spark, root).version > before
+
+
+class _Seen(Exception):
+    pass
+
+
+def test_whole_bodies_are_written_by_all_tasks(spark, sf_dir, monkeypatch):
+    """Files follow the rows, and some of them are a micro-batch."""
+    asked = []
+
+    def seen(spark, path, files_per_batch):
+        asked.append((len(spark.read.text(path).inputFiles()), spark.read.text(path).count(), files_per_batch))
+        raise _Seen
+
+    monkeypatch.setattr(queries, "BODIES_PER_FILE", 500, raising=False)
+    monkeypatch.setattr(queries.tables, "event_body_stream", seen)
+    with pytest.raises(_Seen):
+        queries.QUERIES["ingest_whole_bodies"](spark, sf_dir)
+    files, rows, batch = asked[0]
+    assert rows == queries.staging.whole_bodies(spark, sf_dir).count()
+    assert files >= rows / 500 and 1 < batch and files // batch >= 4
