@@ -229,7 +229,7 @@ def _ingest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     # As many files as tasks, and more: a few files would be written by a few tasks, and bodies be shuffled to these.
     staging.whole_bodies(spark, sf_dir).write.option("maxRecordsPerFile", BODIES_PER_FILE).text(f"{root}-bodies")
     files = len(spark.read.text(f"{root}-bodies").inputFiles())
-    stream = tables.event_body_stream(spark, f"{root}-bodies", files_per_batch=max(1, files // 4))
+    stream = tables.event_body_stream(spark, f"{root}-bodies", files_per_batch=-(-files // 4))
     ingest.start_ingest(stream, root, f"{root}-checkpoint", compact_every=3).awaitTermination()
     users = tables.user_events(spark, f"{root}/user_events")
     boxes = tables.company_events(spark, f"{root}/company_events")

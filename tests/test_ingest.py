@@ -252,4 +252,4 @@ def test_whole_bodies_are_written_by_all_tasks(spark, sf_dir, monkeypatch):
         queries.QUERIES["ingest_whole_bodies"](spark, sf_dir)
     files, rows, batch = asked[0]
     assert rows == queries.staging.whole_bodies(spark, sf_dir).count()
-    assert files >= rows / 500 and 1 < batch and files // batch >= 4
+    assert files >= rows / 500 and 1 < batch and -(-files // batch) in (3, 4)
