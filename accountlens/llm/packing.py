@@ -32,6 +32,8 @@ from accountlens.llm.tokens import word_tokenizer
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 CLOSING = (0).to_bytes(4, "little")
+#: Bytes of text tokenized together.
+SLICE = 4 << 20
 #: Pieces of more than capacity / LARGE tokens are grouped, in so many groups.
 LARGE, GROUPS = 6, 128
 
@@ -40,10 +42,10 @@ def _cutter(name: str, capacity: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(name)
         for batch in batches:
-            for part in parts(batch, 1):
+            for part in parts(batch, 1, SLICE):
                 row, piece, length, ids = [], [], [], []
-                for i, text in enumerate(utf8(part.column(1))):
-                    whole = memoryview(tokenizer.ids(text) + CLOSING)
+                for i, found in enumerate(tokenizer.ids_of(utf8(part.column(1)))):
+                    whole = memoryview(found + CLOSING)
                     for number, first in enumerate(range(0, len(whole), 4 * capacity)):
                         own = whole[first : first + 4 * capacity]
                         row.append(i)

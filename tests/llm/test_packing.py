@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from accountlens.llm import packing
+from accountlens.llm import packing, tokens
 from accountlens.llm.tokens import WordTokenizer
 
 PLAIN = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
@@ -71,6 +71,29 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert got + [0] == ids(text), text
 
 
+def test_texts_together_give_the_tokenizers_ids(monkeypatch):
+    rng = random.Random(5)
+    signs = [*"abstEMSÉéß×÷ñ'\"$%&()*+,-./:;<=>?@[\\]^_`{|}~!#01²ªя中—\u00a0  \n\t\x0b\x1f", "'ll", "e\u0301", "≠", "<|endoftext|>"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(4000)]
+    want = [PLAIN.encode(text, add_special_tokens=False).ids for text in texts]
+    tokenizer = WordTokenizer(packing.TOKENIZER)
+    got = tokenizer.ids_of([None, *(text.encode() for text in texts)])
+    assert got[0] == b"" and [array.array("I", own).tolist() for own in got[1:]] == want
+    monkeypatch.setattr(tokens, "STRETCH", 20)  # texts cut at white space
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 100)
+    again = WordTokenizer(packing.TOKENIZER).ids_of([text.encode() for text in texts[:1000]])
+    assert again == got[1:1001]
+
+
+def test_words_are_kept_without_marks():
+    tokenizer = WordTokenizer(packing.TOKENIZER)
+    words = [a + b for a in "abcdefghij" for b in ("x", "é")]
+    marks = ["$$$", "***", "%", ")", "\"", "...", "&&"]
+    text = " ".join(f"({word}{mark}" for word in words for mark in marks)
+    assert array.array("I", tokenizer.ids(text.encode())).tolist() + [0] == ids(text)
+    assert len(tokenizer.known) <= len(words) + len(marks) + 1
+
+
 def test_odd_rows(odd, none):
     rows = packing.place(packing.pieces(odd).drop("ids")).collect()
     assert Counter((r.doc_id, r.piece) for r in rows)[6, 0] == 2
